@@ -5,14 +5,15 @@ from jobweave import fixed
 from jobweave.checks import sql as o
 from jobweave.checks.registry import query
 from jobweave.functions import resolve_company
-from jobweave.operators.contacts import attach_contacts, contacts_of_matches
+from jobweave.operators.contacts import contacts_of_matches
 from jobweave.operators.gates import (
     detect_places, evaluate_gates, gate_experience, gate_location, gate_remote, gate_senior, with_gate_defaults,
 )
-from jobweave.operators.matching import funnel, match, match_count, posting_facts, unmatched, with_text
+from jobweave.operators.matching import funnel, match, match_count, unmatched
 from jobweave.operators.requests import job_cards
 from jobweave.operators.usage import pass_rate
-from jobweave.plans.discovery import candidates, discover, jobs_of, unique_results
+from jobweave.plans.discovery import candidates, discover, discover_with_contacts, jobs_of, unique_results
+from jobweave.session import written
 
 VIEWS = ("v_search_results", "v_postings", "v_profiles")
 
@@ -39,9 +40,9 @@ FROM v_postings v LEFT JOIN o_places p ON v.url = p.url JOIN nation n ON n.n_nat
 def location_gate(view, spark, sf_dir):
     """P-07: with a wanted country from the URL's length."""
     kept = view("v_postings").filter(F.length("text") >= 100)
-    where = detect_places(kept, "url", "location", view("v_places"))
+    where = detect_places(kept, "location", view("v_places"))
     wanted = F.concat(F.lit("NATION_"), F.length("url") % 25)
-    return kept.select("url").join(where, "url", "left").select(
+    return kept.select("url", "location").join(where, "location", "left").select(
         "url", F.col("country").alias("job_country"), gate_location(F.col("country"), wanted).alias("passed"))
 
 
@@ -54,11 +55,11 @@ def remote_gate(view, spark, sf_dir):
 
 def _gate_rows(view):
     """Each unique search result with one profile's wishes, varied by rank."""
-    places, rank = view("v_places"), F.col("rank")
+    rank = F.col("rank")
     texts = view("v_postings").filter(F.length("text") >= 100)
-    where = detect_places(texts, "url", "location", places)
+    where = detect_places(texts, "location", view("v_places"))
     return (unique_results(view("v_search_results"))
-            .join(texts.select("url", "required_text", "location"), "url", "left").join(where, "url", "left")
+            .join(texts.select("url", "required_text", "location"), "url", "left").join(where, "location", "left")
             .withColumn("years", rank % 12).withColumn("remote_only", rank % 5 == 0)
             .withColumn("wanted_country", F.concat(F.lit("NATION_"), rank % 25)))
 
@@ -160,7 +161,7 @@ def discovery_funnel_by_source(view, spark, sf_dir):
 WHERE url NOT IN (SELECT url FROM o_matches) GROUP BY url""")
 def rejected_postings(view, spark, sf_dir):
     """J-09"""
-    jobs = _jobs(view)
+    jobs = written(_jobs(view), "jobs")
     rest = unmatched(jobs.select("url", "required_text").distinct(), match(_profiles(view), jobs))
     return rest.select("url", "required_text")
 
@@ -175,10 +176,10 @@ SELECT m.profile_id, m.pos, m.url, m.company, m.team, coalesce(c.contacts, '') A
 ON m.company = c.company AND coalesce(m.team, '') = c.team""")
 def matches_with_contacts(view, spark, sf_dir):
     """J-03"""
-    found = match(_profiles(view), _jobs(view)).withColumn(
-        "company", resolve_company(F.col("company_found"), F.col("url"), F.col("source")))
+    found = discover_with_contacts(view("v_profiles"), view("v_search_results"), view("v_postings"), view("v_places"),
+                                   view("v_contacts"))
     shown = F.array_join(F.transform("contacts", lambda c: F.concat_ws("/", c["name"], c["current_role"], c["linkedin_url"])), ";")
-    return attach_contacts(found, view("v_contacts")).select(
+    return found.select(
         "profile_id", F.col("pos").cast("bigint").alias("pos"), "url", "company", "team", shown.alias("contacts"))
 
 

@@ -31,21 +31,22 @@ def gate_remote(text: Column, remote_only: Column) -> Column:
     return ~remote_only | F.coalesce(text.rlike(fixed.REMOTE), F.lit(False))
 
 
-def detect_places(df: DataFrame, key: str, text: str, places: DataFrame, max_words: int = 3) -> DataFrame:
-    """Country named by a text: one row per key whose text names places of exactly one country.
+def detect_places(df: DataFrame, text: str, places: DataFrame, max_words: int = 3) -> DataFrame:
+    """Country named by a text: one row per distinct text that names places of exactly one country.
 
     `places` has columns `place` and `country`. Each run of up to `max_words` words is looked up by
     an equi-join, so neither the texts nor the dictionary need to fit anywhere as a whole.
     """
+    texts = df.select(text).filter(F.col(text).isNotNull()).distinct()
     words = F.split(F.trim(token_text(F.col(text))), " ")
     runs = F.flatten(F.transform(
         F.sequence(F.lit(1), F.lit(max_words)),
         lambda n: F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
             lambda i: F.array_join(F.slice(words, i, n), " "))))
-    named = df.select(key, F.explode(F.array_distinct(runs)).alias("place"))
+    named = texts.select(text, F.explode(F.array_distinct(runs)).alias("place"))
     lookup = places.select(F.trim(token_text(F.col("place"))).alias("place"), "country").distinct()
-    found = named.join(lookup, "place").groupBy(key).agg(
+    found = named.join(lookup, "place").groupBy(text).agg(
         F.min("country").alias("country"), F.max("country").alias("_other"))
     return found.filter(F.col("country") == F.col("_other")).drop("_other")
 

@@ -14,6 +14,7 @@ from jobweave.functions.experience import senior_title
 from jobweave.operators.filters import min_length
 from jobweave.operators.gates import detect_places, gate_senior
 from jobweave.operators.ordered import dedupe_first, top_k
+from jobweave.session import written
 
 SEQ = ["source_order", "rank", "url"]
 PROFILE_CLASS = ["query_id", "years", "country", "remote_only"]
@@ -30,14 +31,13 @@ def source_order(source: Column) -> Column:
 
 def posting_facts(postings: DataFrame, places: DataFrame) -> DataFrame:
     """What the gates need to know of each posting with enough text, without the text itself."""
-    kept = min_length(postings, "text")
-    facts = kept.select(
-        "url", extract_requirement(F.col("text")).alias("required_text"),
+    where = detect_places(postings, "location", places).withColumnRenamed("country", "job_country")
+    facts = min_length(postings, "text").select(
+        "url", "location", extract_requirement(F.col("text")).alias("required_text"),
         extract_company(F.col("text")).alias("company_found"), extract_team(F.col("text")).alias("team"),
         F.coalesce(F.col("location").rlike(fixed.REMOTE), F.lit(False)).alias("is_remote"))
-    where = detect_places(postings.filter(F.col("location").isNotNull()), "url", "location", places)
     return (facts.withColumn("min_required", parse_years(F.col("required_text")))
-            .join(where.withColumnRenamed("country", "job_country"), "url", "left"))
+            .join(where, "location", "left").drop("location"))
 
 
 def with_text(results: DataFrame, facts: DataFrame) -> DataFrame:
@@ -56,9 +56,9 @@ def _one_search(profiles: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFr
     return profiles.withColumn("query_id", F.lit(0)), once.withColumn("query_id", F.lit(0))
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """Postings a class may see: those of its own country and those without one."""
-    return classes.withColumn("bucket", F.explode(F.array_distinct(F.array("country", F.lit("")))))
+def _buckets(df: DataFrame) -> DataFrame:
+    """Postings a profile may see: those of its own country and those without one."""
+    return df.withColumn("bucket", F.explode(F.array_distinct(F.array("country", F.lit("")))))
 
 
 def _pre_filtered() -> Column:
@@ -78,14 +78,19 @@ def _gated(experience_gate: bool) -> Column:
 
 def class_matches(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCHES,
                   tolerance: float = fixed.POST_TOLERANCE, experience_gate: bool = True) -> DataFrame:
-    """The first k postings for each class of profiles, numbered in `pos`."""
-    usable = jobs.filter("has_text")
-    firsts = top_k(usable, ["query_id", *JOB_CLASS], SEQ, k, ["url"]).drop("pos")
-    classes = profiles.select(*PROFILE_CLASS).distinct()
-    pairs = (_buckets(classes)
-             .join(firsts.withColumn("bucket", F.coalesce("job_country", F.lit(""))), ["query_id", "bucket"])
-             .filter(~_pre_filtered() & _gated(experience_gate) & ~_beyond(tolerance)))
-    return top_k(pairs.drop("bucket"), PROFILE_CLASS, SEQ, k, ["url"])
+    """The first k postings for each class of profiles, numbered in `pos`.
+
+    Country is part of the join key, so the other facts of a profile meet the postings of one country,
+    and those of none, just once for all profiles that share them.
+    """
+    firsts = top_k(jobs.filter("has_text"), ["query_id", *JOB_CLASS], SEQ, k, ["url"]).drop("pos")
+    classes = _buckets(profiles.select(*PROFILE_CLASS).distinct())
+    seen_by = ["query_id", "bucket", "years", "remote_only"]
+    passed = (classes.select(*seen_by).distinct()
+              .join(firsts.withColumn("bucket", F.coalesce("job_country", F.lit(""))), ["query_id", "bucket"])
+              .filter(~_pre_filtered() & _gated(experience_gate) & ~_beyond(tolerance)))
+    per_bucket = top_k(passed, seen_by, SEQ, k).drop("pos")
+    return top_k(classes.join(per_bucket, seen_by).drop("bucket"), PROFILE_CLASS, SEQ, k)
 
 
 def match(profiles: DataFrame, jobs: DataFrame, on_query: bool = True, tolerance: float = fixed.POST_TOLERANCE,
@@ -116,7 +121,9 @@ def funnel(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCHES, tol
     Result rows beyond the last cut fall into one segment without being compared with the others.
     """
     by = list(by)
+    jobs = written(jobs.select("query_id", *SEQ, *JOB_CLASS, "has_text", *by), "funnel-jobs")
     picked = class_matches(profiles, jobs, k, tolerance, experience_gate).withColumn("seq", F.struct(*SEQ))
+    picked = written(picked.select(*PROFILE_CLASS, "pos", "seq", *by), "funnel-matches")
     matched = picked.groupBy(*PROFILE_CLASS, *by).agg(F.count("*").alias("matched"))
     cut = picked.filter(F.col("pos") == k).select(*PROFILE_CLASS, F.col("seq").alias("cut"))
     cuts = cut.groupBy("query_id").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
@@ -125,7 +132,7 @@ def funnel(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCHES, tol
     segment = (F.when(F.col("cuts").isNull(), 0)
                .when(seq > F.element_at("cuts", -1), F.size("cuts"))
                .otherwise(F.size(F.filter("cuts", lambda c: c < seq))))
-    facts = ["title_senior", "gate_senior", "min_required", "job_country", "is_remote", "has_text"]
+    facts = [*JOB_CLASS, "has_text"]
     counted = (jobs.join(cuts, "query_id", "left").withColumn("segment", segment)
                .groupBy("query_id", "segment", *facts, *by).agg(F.count("*").alias("n")))
     classes = (profiles.select(*PROFILE_CLASS).distinct()

@@ -16,21 +16,23 @@ def dedupe_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(first).select(*key, "first.*").select(*df.columns)
 
 
-def top_k(df: DataFrame, by: list[str], order: list[Column | str], k: int, spread: list[str],
+def top_k(df: DataFrame, by: list[str], order: list[Column | str], k: int, spread: list[str] | None = None,
           pos: str = "pos", parts: int = 16) -> DataFrame:
     """T-01..T-05: the k first rows of every group, numbered from 1 in column `pos`.
 
-    Every group is cut into `parts` by a hash of the `spread` columns and reduced to k rows per
-    part, then the parts are merged. Both steps are group limits, which Spark also applies before
-    the shuffle, so no task sorts a hot group as a whole.
+    Groups of any size need `spread`: each group is cut into `parts` by a hash of those columns and
+    reduced to k rows per part, then the parts are merged. Both steps are group limits, which Spark
+    also applies before the shuffle, so no task sorts a hot group as a whole. Without `spread`, for
+    groups that are known to be small, there is one step.
     """
-    number = F.row_number()
-    part = F.pmod(F.xxhash64(*spread), F.lit(parts))
-    local = Window.partitionBy(*by, "_part").orderBy(*order)
-    merged = Window.partitionBy(*by).orderBy(*order)
-    return (df.withColumn("_part", part)
-            .withColumn(pos, number.over(local)).filter(F.col(pos) <= k).drop("_part")
-            .withColumn(pos, number.over(merged)).filter(F.col(pos) <= k))
+    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn(pos, number).filter(F.col(pos) <= k)
+
+    if spread:
+        part = F.pmod(F.xxhash64(*spread), F.lit(parts))
+        df = first(df.withColumn("_part", part), [*by, "_part"]).drop("_part")
+    return first(df, by)
 
 
 def union_sources(sources: dict[str, DataFrame | None]) -> DataFrame:

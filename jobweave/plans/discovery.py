@@ -8,6 +8,7 @@ from jobweave.operators.contacts import attach_contacts
 from jobweave.operators.filters import filter_source_urls
 from jobweave.operators.matching import match, posting_facts, source_order, with_text
 from jobweave.operators.ordered import dedupe_first
+from jobweave.session import written
 
 
 def unique_results(results: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def discover(profiles: DataFrame, results: DataFrame, postings: DataFrame, place
 
 def discover_with_contacts(profiles: DataFrame, results: DataFrame, postings: DataFrame, places: DataFrame,
                            contacts: DataFrame) -> DataFrame:
-    """Matches with their company and its contacts."""
+    """Matches with their company and its contacts; matches are written once and read twice."""
     found = discover(profiles, results, postings, places)
     named = found.withColumn("company", resolve_company(F.col("company_found"), F.col("url"), F.col("source")))
-    return attach_contacts(named, contacts)
+    return attach_contacts(written(named, "matches"), contacts)

@@ -2,7 +2,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the joins rely on: sizes are checked at run time and hot join keys are split.
 ADAPTIVE = {
@@ -30,3 +30,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="jobweave-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared work folder, for results that several steps read.
+
+    It cuts the lineage: a lost executor costs a re-read, not a new run of what came before.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
