@@ -34,7 +34,7 @@ def truncate(s: Column, n: int) -> Column:
 
 def word_count(s: Column) -> Column:
     """F-11: number of words between Unicode spaces."""
-    return F.size(F.filter(F.split(s, fixed.JS_SPACE + "+"), lambda w: w != ""))
+    return F.regexp_count(s, F.lit("[^" + fixed.JS_SPACE[1:] + "+"))
 
 
 def with_protocol(url: Column) -> Column:
@@ -54,12 +54,13 @@ def extract_company(text: Column) -> Column:
 
 def extract_team(text: Column) -> Column:
     """F-05: the name after `Team:`, null when there is none."""
-    return F.nullif(F.regexp_extract(text, fixed.TEAM, 1), F.lit(""))
+    return F.when(F.contains(text, F.lit("eam:")), F.nullif(F.regexp_extract(text, fixed.TEAM, 1), F.lit("")))
 
 
 def extract_emails(text: Column) -> Column:
-    """P-21: all e-mail addresses, in text order."""
-    return F.regexp_extract_all(text, F.lit(f"({fixed.EMAIL})"), F.lit(1))
+    """P-21: all e-mail addresses, in text order; only texts with an `@` are searched."""
+    found = F.regexp_extract_all(text, F.lit(f"({fixed.EMAIL})"), F.lit(1))
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
 
 
 def extract_phones(text: Column) -> Column:
@@ -69,7 +70,8 @@ def extract_phones(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """P-21: replace e-mail addresses and phone numbers."""
-    return F.regexp_replace(F.regexp_replace(text, fixed.EMAIL, "[email]"), fixed.PHONE, "[phone]")
+    mailed = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, fixed.EMAIL, "[email]")).otherwise(text)
+    return F.regexp_replace(mailed, fixed.PHONE, "[phone]")
 
 
 def skill_overlap(skills: Column, text: Column) -> Column:
