@@ -12,7 +12,7 @@ from jobweave.operators.gates import (
 from jobweave.operators.matching import funnel, match, match_count, unmatched
 from jobweave.operators.requests import job_cards
 from jobweave.operators.usage import pass_rate
-from jobweave.plans.discovery import candidates, discover, discover_with_contacts, jobs_of, unique_results
+from jobweave.plans.discovery import candidates, discover, discover_cards, discover_with_contacts, jobs_of, unique_results
 from jobweave.session import written
 
 VIEWS = ("v_search_results", "v_postings", "v_profiles")
@@ -183,6 +183,20 @@ def matches_with_contacts(view, spark, sf_dir):
         "profile_id", F.col("pos").cast("bigint").alias("pos"), "url", "company", "team", shown.alias("contacts"))
 
 
+@query(o.ctes(_NAMED, o.best_contacts("o_named"), views=(*VIEWS, "v_contacts")) + """
+SELECT m.profile_id, m.pos, sha256(m.url) AS id, m.company, p.job_title, m.url, m.team, m.required_text AS required_experience,
+'Exp: Passed — JD requires ' || m.required_text || ', candidate has ' || m.years || ' yrs. | Loc: Passed — location ' || coalesce(m.job_country, 'not stated') AS reason,
+coalesce(c.n, 0) AS contacts
+FROM o_named m JOIN v_profiles p ON m.profile_id = p.profile_id
+LEFT JOIN (SELECT company, coalesce(team, '') AS team, count(*) AS n FROM o_best GROUP BY ALL) c
+ON m.company = c.company AND coalesce(m.team, '') = c.team""")
+def discovered_cards(view, spark, sf_dir):
+    """The discovery request: P-09 and P-12 over J-01 and J-03."""
+    cards = discover_cards(view("v_profiles"), view("v_search_results"), view("v_postings"), view("v_places"), view("v_contacts"))
+    return cards.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "id", "company", "job_title", "url", "team",
+                        "required_experience", "reason", F.size("poc_profiles").cast("bigint").alias("contacts"))
+
+
 @query(o.ctes(_NAMED, views=(*VIEWS, "v_contacts")) + """SELECT name, url, company FROM v_contacts
 WHERE company IN (SELECT company FROM o_named)""")
 def contacts_of_matched_companies(view, spark, sf_dir):

@@ -91,7 +91,7 @@ def call_outcomes(view, spark, sf_dir):
 
 
 @query(o.ctes(OUTCOME, views=("v_attempts",)) + """, o_numbered AS (
-  SELECT * REPLACE (ROW_NUMBER() OVER (PARTITION BY request_id, model_no ORDER BY event_id) AS attempt_no) FROM o_tried),
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id, model_no ORDER BY event_id) AS attempt_no FROM o_tried),
 o_models AS (
   SELECT request_id, model_no, count(*) AS n, bool_or(attempt_no = 1 AND (coalesce(status IN (500, 503, 429), false) OR outcome = 'request')) AS again
   FROM o_numbered GROUP BY ALL),
@@ -101,11 +101,8 @@ o_last AS (SELECT request_id, arg_max(outcome, (model_no, attempt_no)) AS outcom
 SELECT l.request_id, g.payload, CASE WHEN g.request_id IS NULL THEN l.outcome END AS error, e.attempts, e.log_ok
 FROM o_last l JOIN o_legal e ON l.request_id = e.request_id LEFT JOIN o_good g ON l.request_id = g.request_id""")
 def resolved_attempts(view, spark, sf_dir):
-    """N-05: attempts of a model numbered by event id."""
-    from pyspark.sql import Window
-    numbered = view("v_attempts").withColumn("attempt_no", F.row_number().over(
-        Window.partitionBy("request_id", "model_no").orderBy("event_id")))
-    return resolve_attempts(numbered)
+    """N-05: attempts in the order of their events."""
+    return resolve_attempts(view("v_attempts").withColumn("attempt_no", F.col("event_id")))
 
 
 @query(o.ctes(views=("v_drafts",)) + """SELECT request_id, coalesce(subject, '') AS subject, coalesce(b, '') AS body, coalesce(critique_notes, '') AS critique_notes,

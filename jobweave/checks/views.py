@@ -40,7 +40,8 @@ FROM (SELECT w.url, w.k,
 JOIN documents d ON d.doc_id = u.k % (SELECT COUNT(*) FROM documents)""",
     "v_profiles": """
 SELECT c.c_custkey AS profile_id, c.c_custkey % 50 AS query_id, c.c_custkey % 12 AS years, n.n_name AS location,
-       c.c_custkey % 5 = 0 AS remote_only, c.c_mktsegment AS industry
+       c.c_custkey % 5 = 0 AS remote_only, c.c_mktsegment AS industry,
+       CONCAT(c.c_mktsegment, ' analyst') AS job_title
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "v_places": "SELECT n_name AS place, n_name AS country FROM nation",
     "v_roles": """
@@ -82,7 +83,7 @@ SELECT event_id, ts, CONCAT('job-', user_id, '-poc-', event_id % 2) AS profile_k
        CASE event_type WHEN 'error' THEN 'down' ELSE 'up' END AS vote FROM events""",
     "v_attempts": """
 SELECT user_id * 1000 + CAST(FLOOR(event_id / 40) AS BIGINT) % 40 AS request_id, event_id % 4 AS model_no,
-       event_id % 3 + 1 AS attempt_no, event_id,
+       event_id,
        CASE event_id % 5 WHEN 0 THEN CONCAT('<think>a', CHR(10), 'b</think>```json', CHR(10), props, CHR(10), '```')
          WHEN 1 THEN CONCAT('```', CHR(10), props, CHR(10), '```') WHEN 2 THEN props
          WHEN 3 THEN CONCAT('  ', props, '  ') ELSE 'no json here' END AS raw,

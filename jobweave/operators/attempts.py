@@ -21,8 +21,9 @@ def resolve_attempts(log: DataFrame) -> DataFrame:
     """N-05: per request the first success by (model, attempt), else the outcome of the last attempt.
 
     `log_ok` tells whether the log itself keeps the retry rule: at most two attempts per model, and a
-    second one only after a status worth retrying or a generic error. Everything is an aggregate, so
-    a request with very many attempts is combined before the shuffle.
+    second one only after a status worth retrying or a generic error. `attempt_no` only has to rise
+    within a model. Everything is an aggregate, so a request with very many attempts is combined
+    before the shuffle.
     """
     order = F.struct("model_no", "attempt_no")
     tried = classify_attempts(log)
@@ -30,14 +31,12 @@ def resolve_attempts(log: DataFrame) -> DataFrame:
     retryable = F.col("status").isin(*fixed.RETRY_STATUS) | (F.col("outcome") == "request")
     per_model = tried.groupBy("request_id", "model_no").agg(
         F.count("*").alias("n"),
-        F.min("attempt_no").alias("low"), F.max("attempt_no").alias("high"),
         F.min_by(F.coalesce(retryable, F.lit(False)), "attempt_no").alias("first_retryable"),
         F.min(F.when(good, order)).alias("first_good"),
         F.min_by(F.when(good, clean_output(F.col("raw"))), F.when(good, order)).alias("payload"),
         F.max(order).alias("last"),
         F.max_by("outcome", order).alias("last_outcome"))
-    legal = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (
-        (F.col("n") == 1) | ((F.col("n") == 2) & F.col("first_retryable")))
+    legal = (F.col("n") == 1) | ((F.col("n") == 2) & F.col("first_retryable"))
     return (per_model.groupBy("request_id").agg(
         F.min_by("payload", "first_good").alias("payload"),
         F.when(F.min("first_good").isNull(), F.max_by("last_outcome", "last")).alias("error"),

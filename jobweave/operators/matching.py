@@ -94,15 +94,16 @@ def class_matches(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCH
 
 
 def match(profiles: DataFrame, jobs: DataFrame, on_query: bool = True, tolerance: float = fixed.POST_TOLERANCE,
-          k: int = fixed.MAX_MATCHES, experience_gate: bool = True) -> DataFrame:
+          k: int = fixed.MAX_MATCHES, experience_gate: bool = True, keep: tuple = ()) -> DataFrame:
     """J-01 with T-01: the first k postings each profile passes all gates for, in order of arrival.
 
     `on_query` restricts a profile to the results of its own search; else it sees all results.
+    `keep` names more columns of the profiles to carry along.
     """
     if not on_query:
         profiles, jobs = _one_search(profiles, jobs)
     picked = class_matches(profiles, jobs, k, tolerance, experience_gate)
-    return profiles.select("profile_id", *PROFILE_CLASS).join(picked, PROFILE_CLASS)
+    return profiles.select("profile_id", *keep, *PROFILE_CLASS).join(picked, PROFILE_CLASS)
 
 
 def match_count(profiles: DataFrame, jobs: DataFrame, **options) -> DataFrame:

@@ -6,8 +6,10 @@ from jobweave import fixed
 from jobweave.functions import resolve_company
 from jobweave.operators.contacts import attach_contacts
 from jobweave.operators.filters import filter_source_urls
+from jobweave.operators.gates import evaluate_gates
 from jobweave.operators.matching import match, posting_facts, source_order, with_text
 from jobweave.operators.ordered import dedupe_first
+from jobweave.operators.requests import job_cards
 from jobweave.session import written
 
 
@@ -45,3 +47,15 @@ def discover_with_contacts(profiles: DataFrame, results: DataFrame, postings: Da
     found = discover(profiles, results, postings, places)
     named = found.withColumn("company", resolve_company(F.col("company_found"), F.col("url"), F.col("source")))
     return attach_contacts(written(named, "matches"), contacts)
+
+
+def discover_cards(profiles: DataFrame, results: DataFrame, postings: DataFrame, places: DataFrame,
+                   contacts: DataFrame) -> DataFrame:
+    """P-12 for every match, with the trace of its gates and its contacts; profiles have a `job_title`."""
+    found = match(candidates(profiles, places), jobs_of(results, postings, places), keep=("job_title",))
+    judged = evaluate_gates(
+        found.withColumn("company", resolve_company(F.col("company_found"), F.col("url"), F.col("source")))
+        .withColumn("wanted_country", F.col("country")).withColumn("country", F.col("job_country"))
+        .withColumn("location", F.when(F.col("is_remote"), "Remote")))
+    carded = attach_contacts(written(judged, "matches"), contacts)
+    return job_cards(carded.withColumn("confidence", F.lit(None).cast("double")))
