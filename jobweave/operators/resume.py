@@ -20,17 +20,22 @@ def heading(text: Column) -> Column:
 
 
 def resume_sections(lines: DataFrame) -> DataFrame:
-    """N-03: the section each line belongs to; null before the first heading."""
-    blocks = lines.withColumn("block", F.floor(F.col("line_no") / BLOCK)).withColumn("heading", heading(F.col("text")))
-    ends = (blocks.filter(F.col("heading").isNotNull()).groupBy("doc_id", "block")
-            .agg(F.max(F.struct("line_no", "heading"))["heading"].alias("ends_in")))
-    known = blocks.select("doc_id", "block").distinct().join(ends, ["doc_id", "block"], "left")
+    """N-03: the section each line belongs to; null before the first heading.
+
+    The section a block starts in is put before its lines as one more row, so a window within the
+    block carries it on.
+    """
+    blocks = (lines.select("doc_id", "line_no", "text").withColumn("block", F.floor(F.col("line_no") / BLOCK))
+              .withColumn("heading", heading(F.col("text"))).withColumn("given", F.lit(True)))
+    last_heading = F.max(F.when(F.col("heading").isNotNull(), F.struct("line_no", "heading")))["heading"]
     earlier = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = known.select("doc_id", "block", F.last("ends_in", ignorenulls=True).over(earlier).alias("starts_in"))
+    starts = blocks.groupBy("doc_id", "block").agg(last_heading.alias("heading")).select(
+        "doc_id", (F.col("block") * BLOCK - 1).alias("line_no"), F.lit(None).cast("string").alias("text"), "block",
+        F.last("heading", ignorenulls=True).over(earlier).alias("heading"), F.lit(False).alias("given"))
     inside = Window.partitionBy("doc_id", "block").orderBy("line_no")
-    return (blocks.join(starts, ["doc_id", "block"])
-            .withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(inside), "starts_in"))
-            .select("doc_id", "line_no", "text", "section"))
+    return (blocks.unionByName(starts)
+            .withColumn("section", F.last("heading", ignorenulls=True).over(inside))
+            .filter("given").select("doc_id", "line_no", "text", "section"))
 
 
 def resume_roles(lines: DataFrame, sections: DataFrame | None = None) -> DataFrame:
