@@ -26,11 +26,11 @@ def employment_flags(view, spark, sf_dir):
                                      name_collision(name, snippet, company).alias("collides"))
 
 
-@query(o.ctes(views=("v_contacts",)) + f"""SELECT rank, {o.department_rank('role', "CASE rank % 3 WHEN 0 THEN 'Growth' WHEN 1 THEN 'Product' END")} AS dept FROM v_contacts""")
+@query(o.ctes(views=("v_contacts",)) + f"""SELECT rank, coalesce({o.department_rank('role', "CASE rank % 3 WHEN 0 THEN 'Growth' WHEN 1 THEN 'Product' END")}, -1) AS dept FROM v_contacts""")
 def department_ranks(view, spark, sf_dir):
-    """P-15"""
+    """P-15: -1 where the role does not fit."""
     team = F.expr("CASE rank % 3 WHEN 0 THEN 'Growth' WHEN 1 THEN 'Product' END")
-    return view("v_contacts").select("rank", department_rank(F.col("role"), team).alias("dept"))
+    return view("v_contacts").select("rank", F.coalesce(department_rank(F.col("role"), team), F.lit(-1)).alias("dept"))
 
 
 @query(o.ctes(o.CURRENT, views=("v_contacts",)) + "SELECT company, result, name, url FROM o_current")
