@@ -4,6 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobweave.checks.views import tables, view
+from jobweave.session import use_local_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -13,7 +14,7 @@ def query(sql: str | None = None):
     """Register a function of (view lookup, session, folder) under its own name."""
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tables(spark, sf_dir)
+            tables(use_local_folder(spark), sf_dir)
             return fn(lambda name: view(spark, name), spark, sf_dir)
 
         QUERIES[fn.__name__] = run

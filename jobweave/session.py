@@ -1,4 +1,5 @@
 """Session settings and the shared work folder."""
+import re
 import tempfile
 import uuid
 
@@ -22,16 +23,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared checkpoint folder, for stream state and written tables."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="jobweave-")
-        sc.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def use_local_folder(spark: SparkSession) -> SparkSession:
+    """For tests and benches on one machine: where no shared folder is named, take a new local one. A cluster gets none."""
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+    if unset and re.match(r"local(\[[^,\]]*(,\s*\d+)?\])?$", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobweave-"))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared work folder, for results that several steps read.
 
