@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import packing, tokens
+from jobweave.llm import language, mixing, packing, quality, tokens
 from jobweave.llm.text import documents
 from jobweave.session import use_local_folder
 
@@ -33,6 +33,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
 
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdict of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+
+
+@_query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.predict_language(documents(spark, sf_dir))
+
+
+@_query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+LLM_ORACLE["op8_source_mix"] = mixing.ORACLE
+
+
 @_query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
