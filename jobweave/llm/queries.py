@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import language, mixing, packing, quality, tokens
+from jobweave.llm import language, mixing, neardup, packing, quality, tokens
 from jobweave.llm.text import documents
 from jobweave.session import use_local_folder
 
@@ -46,6 +46,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(documents(spark, sf_dir))
 
 
+@_query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+LLM_ORACLE["op6_near_duplicates"] = neardup.ORACLE
+
+
 @_query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
