@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobweave.llm import language, mixing, neardup, packing, quality, tokens
+from jobweave.llm import language, mixing, neardup, packing, pii, quality, tokens
 from jobweave.llm.text import documents
 from jobweave.session import use_local_folder
 
@@ -68,3 +69,12 @@ LLM_ORACLE["op8_source_mix"] = mixing.ORACLE
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return tokens.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), vocabulary()).drop("text")
+
+
+@_query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(pii.number(F.col("base_spans"), k).alias(f"n_{k}") for k in pii.PATTERNS),
+        F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"))
