@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import language, mixing, neardup, packing, pii, quality, tokens
+from jobweave.llm import language, licenses, mixing, neardup, packing, pii, quality, tokens
 from jobweave.llm.text import documents
 from jobweave.session import use_local_folder
 
@@ -47,6 +47,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(documents(spark, sf_dir))
 
 
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+LLM_ORACLE["op5_license_scan"] = licenses.oracle()
+
+
 @_query
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near duplicates of every document."""
