@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import language, licenses, mixing, neardup, packing, pii, quality, tokens
+from jobweave.llm import fingerprint, language, licenses, mixing, neardup, packing, pii, quality, tokens
 from jobweave.llm.text import documents
 from jobweave.session import use_local_folder
 
@@ -41,6 +41,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
 
 
+@_query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 @_query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
