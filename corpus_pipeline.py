@@ -1,11 +1,65 @@
 """Documents to packed sequences: quality rules, near duplicates, personal data, mix of sources, packing."""
 from __future__ import annotations
 
-from jobweave.llm import queries  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from jobweave.llm import mixing, neardup, packing, pii, quality
+from jobweave.llm.queries import vocabulary
+from jobweave.llm.text import documents
+from jobweave.session import use_local_folder, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the isolation forest keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_rules(docs, labels).where("kept").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data, and terms that disclose it, generalised to tags; n_chars follows."""
+    found = pii.find_personal_data(docs).withColumn("text", pii.sanitise(F.col("text"), F.col("all_spans")))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes its words, rounded to whole copies."""
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    taken = (mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), copies.alias("_copies"))
+             .where("_copies > 0").dropDuplicates(["_id", "_source"]))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("personal data", personal_data_stage),
+    ("source mix", mix_stage),
+    ("packing", packing_stage),
+]
+
+# A forest, token ids and a curve are no SQL; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
-def pipeline(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents of a folder; each stage's rows are a table in the shared folder."""
+    docs = documents(use_local_folder(spark), sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+pipeline = run

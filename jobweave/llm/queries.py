@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import fingerprint, language, licenses, mixing, neardup, packing, pii, quality, tokens
+from jobweave.llm import fingerprint, language, licenses, mixing, neardup, packing, pii, quality, suffix, tokens
 from jobweave.llm.text import documents
 from jobweave.session import use_local_folder
 
@@ -71,6 +71,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_ORACLE["op6_near_duplicates"] = neardup.ORACLE
 
 
+@_query
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 200 bytes cover which start more than once."""
+    return suffix.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
 @_query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
