@@ -9,12 +9,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from jobweave.session import configure
+    from jobweave.session import configure, use_local_folder
     session = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
-    yield configure(session)
+    yield use_local_folder(configure(session))
     session.stop()
 
 

@@ -5,21 +5,22 @@ import pytest
 
 import __spark_entry__ as entry
 from jobweave.checks.compare import difference, oracle_rows
+from jobweave.checks.registry import ORACLE, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     rows = [tuple(r) for r in df.collect()]
-    columns, expected = oracle_rows(SF_DIR, entry.oracle_sql()[name])
+    columns, expected = oracle_rows(SF_DIR, ORACLE[name])
     assert difference(df.columns, rows, columns, expected) == ""
     assert rows
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):

@@ -29,6 +29,7 @@ def test_work_folder_follows_the_session():
     assert work_folder(cluster, "x").startswith("s3a://shared/work/x-")
     unset = mock.Mock()
     unset.conf.get.return_value = unset.sparkContext.getCheckpointDir.return_value = None
-    unset.sparkContext.master = "yarn"
-    with pytest.raises(ValueError):
-        work_folder(unset, "x")
+    for master in ("yarn", "local[8]"):
+        unset.sparkContext.master = master
+        with pytest.raises(ValueError):
+            work_folder(unset, "x")
