@@ -21,7 +21,9 @@ TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 
 # A term: a run of letters, with marks, apostrophes and hyphens inside.
 WORD = r"\p{L}[\p{L}\p{M}'-]{2,}+"
-SPANS = "array<struct<kind:string,begin:int,end:int,value:string>>"
+SPAN = "struct<kind:string,begin:int,end:int,value:string>"
+# Items of a text whose results gather in one array before they join the others.
+BLOCK = 256
 
 
 def _digits(match: Column) -> Column:
@@ -55,7 +57,27 @@ def _holds(kind: str, match: Column) -> Column:
 
 
 def _none() -> Column:
-    return F.array().cast(SPANS)
+    return F.array().cast(f"array<{SPAN}>")
+
+
+def _scan(items: Column, kind: str, after, piece) -> Column:
+    """Walk through an array with a running place: `after` moves it on by an item, `piece` gives an array of 0 or more results.
+
+    Results gather by blocks of BLOCK items, as appending to one array would take the square of their number.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(block: Column, at: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            return F.struct(after(state["at"], x).alias("at"), F.concat(state["out"], piece(state["at"], x)).alias("out"))
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def outer(state: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, state["at"], after).alias("at"), F.concat(state["out"], F.array(inner(block, state["at"]))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.aggregate(blocks, start, outer, lambda s: F.flatten(s["out"]))).otherwise(none)
 
 
 def spans_of(text: Column, kind: str, holds=None) -> Column:
@@ -66,17 +88,16 @@ def spans_of(text: Column, kind: str, holds=None) -> Column:
     holds = holds or (lambda value: _holds(kind, value))
     pattern = PATTERNS.get(kind, WORD)
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+
+    def after(at: Column, pair: Column) -> Column:
+        return at + pair["gap"] + F.length(pair["hit"])
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        here = F.struct(F.lit(kind).alias("kind"), begin.alias("begin"), end.alias("end"), pair["hit"].alias("value"))
-        out = F.when(holds(pair["hit"]), F.concat(state["out"], F.array(here))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def piece(at: Column, pair: Column) -> Column:
+        here = F.struct(F.lit(kind).alias("kind"), (at + pair["gap"]).alias("begin"), after(at, pair).alias("end"), pair["hit"].alias("value"))
+        return F.when(holds(pair["hit"]), F.array(here)).otherwise(_none())
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(_none())
+    return F.when(F.size(found) > 0, F.transform(F.array(pairs), lambda p: _scan(p, SPAN, after, piece))[0]).otherwise(_none())
 
 
 def base_spans(text: Column) -> Column:
@@ -145,12 +166,20 @@ def sanitise(text: Column, spans: Column) -> Column:
     kinds = F.create_map(*(F.lit(x) for pair in TAGS.items() for x in pair))
     in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
 
-    def step(state: Column, s: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, s["begin"] - state["at"])
-        new = s["begin"] >= state["at"]
-        return F.struct(F.greatest(state["at"], -s["less"]).alias("at"),
-                        F.when(new, F.concat(state["out"], F.array(before, kinds[s["kind"]]))).otherwise(state["out"]).alias("out"))
+    def clean(x: Column) -> Column:  # the text's characters, and its spans in order
+        letters = x["letters"]
+
+        def after(at: Column, s: Column) -> Column:
+            return F.greatest(at, -s["less"])
+
+        def piece(at: Column, s: Column) -> Column:
+            before = F.array_join(F.slice(letters, at + 1, F.greatest(s["begin"] - at, F.lit(0))), "")
+            return F.when(s["begin"] >= at, F.array(before, kinds[s["kind"]])).otherwise(F.array().cast("array<string>"))
+
+        last = F.array_max(F.transform(x["own"], lambda s: -s["less"]))
+        rest = F.array_join(F.slice(letters, last + 1, F.greatest(F.size(letters) - last, F.lit(0))), "")
+        return F.concat(F.array_join(_scan(x["own"], "string", after, piece), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(in_order, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    parts = F.struct(F.split(text, "").alias("letters"), in_order.alias("own"))
+    done = F.transform(F.array(parts), clean)[0]
     return F.when(F.size(spans) > 0, done).otherwise(text)
