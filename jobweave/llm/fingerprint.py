@@ -66,9 +66,14 @@ def minima(hashes: Column) -> Column:
 
 
 def packed(least: Column) -> Column:
-    """The low bits of the minima, packed into longs; null without any."""
+    """The low bits of the minima, packed into longs.
+
+    The bits are those of a hash with the bin's number: bins filled by the same minimum then agree or differ by chance each
+    on its own, as the correction for chance supposes.
+    """
+    own = F.transform(least, lambda x, b: F.xxhash64(x, b))
     return F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), lambda k: F.aggregate(
-        F.slice(least, k * PER_LONG + 1, PER_LONG), F.lit(0).cast("long"),
+        F.slice(own, k * PER_LONG + 1, PER_LONG), F.lit(0).cast("long"),
         lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x.bitwiseAND(F.lit(2 ** BITS - 1)))))
 
 
