@@ -12,10 +12,10 @@ from jobweave.operators.gates import (
 from jobweave.operators.matching import funnel, match, match_count, unmatched
 from jobweave.operators.requests import job_cards
 from jobweave.operators.usage import pass_rate
-from jobweave.plans.discovery import candidates, discover, discover_cards, discover_with_contacts, jobs_of, unique_results
+from jobweave.plans.discovery import candidates, discover, discover_cards, discover_with_contacts, jobs_of, source_label, unique_results
 from jobweave.session import written
 
-VIEWS = ("v_search_results", "v_postings", "v_profiles")
+VIEWS = ("v_search_results", "v_postings", "v_profiles", "v_places")
 
 
 def _jobs(view):
@@ -35,31 +35,31 @@ def experience_gate(view, spark, sf_dir):
         F.col("title"), req, F.col("query_id") % 9).alias("passed"))
 
 
-@query(o.ctes(o.PLACES_OF, views=("v_postings",)) + """SELECT v.url, p.job_country, coalesce(p.job_country = n.n_name, true) AS passed
+@query(o.ctes(o.PLACES_OF, views=("v_postings", "v_places")) + """SELECT v.url, p.job_country, coalesce(p.job_country = n.n_name, true) AS passed
 FROM v_postings v LEFT JOIN o_places p ON v.url = p.url JOIN nation n ON n.n_nationkey = length(v.url) % 25 WHERE length(text) >= 100""")
 def location_gate(view, spark, sf_dir):
     """P-07: with a wanted country from the URL's length."""
-    kept = view("v_postings").filter(F.length("text") >= 100)
-    where = detect_places(kept, "location", view("v_places"))
+    kept = view("v_postings").filter(F.length("text") >= 100).withColumn("whole", F.concat_ws("\n", "location", "text"))
+    where = detect_places(kept, "url", "whole", view("v_places"))
     wanted = F.concat(F.lit("NATION_"), F.length("url") % 25)
-    return kept.select("url", "location").join(where, "location", "left").select(
+    return kept.select("url").join(where, "url", "left").select(
         "url", F.col("country").alias("job_country"), gate_location(F.col("country"), wanted).alias("passed"))
 
 
-@query(f"SELECT p_partkey, p_size % 2 = 0 OR {o.remote('t')} AS passed FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'Fully REMOTE' WHEN 1 THEN 'Remoteness' WHEN 2 THEN 'work from anywhere, ' || p_name END AS t FROM part)")
+@query(o.ctes(views=("v_postings",)) + f"SELECT url, length(url) % 2 = 0 OR {o.remote(o.WHOLE)} AS passed FROM v_postings")
 def remote_gate(view, spark, sf_dir):
-    """P-08"""
-    text = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'Fully REMOTE' WHEN 1 THEN 'Remoteness' WHEN 2 THEN concat('work from anywhere, ', p_name) END")
-    return view("part").select("p_partkey", gate_remote(text, F.col("p_size") % 2 == 1).alias("passed"))
+    """P-08: on whole postings."""
+    whole = F.concat_ws("\n", "location", "text")
+    return view("v_postings").select("url", gate_remote(whole, F.length("url") % 2 == 1).alias("passed"))
 
 
 def _gate_rows(view):
     """Each unique search result with one profile's wishes, varied by rank."""
     rank = F.col("rank")
-    texts = view("v_postings").filter(F.length("text") >= 100)
-    where = detect_places(texts, "location", view("v_places"))
+    texts = view("v_postings").filter(F.length("text") >= 100).withColumn("location", F.concat_ws("\n", "location", "text"))
+    where = detect_places(texts, "url", "location", view("v_places"))
     return (unique_results(view("v_search_results"))
-            .join(texts.select("url", "required_text", "location"), "url", "left").join(where, "location", "left")
+            .join(texts.select("url", "required_text", "location"), "url", "left").join(where, "url", "left")
             .withColumn("years", rank % 12).withColumn("remote_only", rank % 5 == 0)
             .withColumn("wanted_country", F.concat(F.lit("NATION_"), rank % 25)))
 
@@ -67,9 +67,9 @@ def _gate_rows(view):
 _GATES = f"""o_gates AS (
   SELECT u.query_id, u.url, u.source, u.title, u.rank % 12 AS years, v.url IS NOT NULL AS evaluated, v.required_text, job_country,
          NOT ({o.gate_senior('u.title')} AND u.rank % 12 < 5) AND coalesce({o.parse_years('v.required_text')} <= u.rank % 12 + 1, true) AS g1,
-         coalesce(job_country = 'NATION_' || (u.rank % 25), true) AS g2, u.rank % 5 <> 0 OR {o.remote('v.location')} AS g3,
+         coalesce(job_country = 'NATION_' || (u.rank % 25), true) AS g2, u.rank % 5 <> 0 OR {o.remote('v.whole')} AS g3,
          u.rank % 5 = 0 AS remote_only
-  FROM o_unique u LEFT JOIN (SELECT * FROM v_postings WHERE length(text) >= 100) v ON u.url = v.url
+  FROM o_unique u LEFT JOIN (SELECT *, {o.WHOLE} AS whole FROM v_postings WHERE length(text) >= 100) v ON u.url = v.url
   LEFT JOIN o_places p ON u.url = p.url)"""
 
 
@@ -115,13 +115,13 @@ def profile_matches(view, spark, sf_dir):
         "profile_id", F.col("pos").cast("bigint").alias("pos"), "url", "source", "title", "required_text")
 
 
-@query(o.ctes(o.JOBS, views=VIEWS) + """, o_once AS (
+@query(o.ctes(o.JOBS, o.PROFILES, views=VIEWS) + """, o_once AS (
   SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY url ORDER BY source_order, rank, query_id) AS o FROM o_jobs) WHERE o = 1),
 o_lists AS (
   SELECT p.profile_id, arg_min(j.url, (source_order, rank, j.url), 10) AS urls
-  FROM v_profiles p JOIN o_once j ON has_text
+  FROM o_profiles p JOIN o_once j ON has_text
      AND NOT (title_senior AND years < 5) AND NOT (gate_senior AND years < 5) AND coalesce(min_required <= years + 1, true)
-     AND (NOT remote_only OR is_remote) AND coalesce(job_country = p.location, true) GROUP BY p.profile_id)
+     AND (NOT remote_only OR is_remote) AND coalesce(job_country = p.country, true) GROUP BY p.profile_id)
 SELECT profile_id, pos, urls[pos] AS url FROM (SELECT profile_id, urls, unnest(generate_series(1, len(urls))) AS pos FROM o_lists)""")
 def matches_across_searches(view, spark, sf_dir):
     """J-01 with on_query=False: every profile against the results of all searches."""
@@ -167,7 +167,7 @@ def rejected_postings(view, spark, sf_dir):
 
 
 _NAMED = f"""{o.MATCHES}, o_named AS (
-  SELECT *, coalesce(company_found, {o.company_from_url('url', 'source')}) AS company FROM o_matches)"""
+  SELECT *, coalesce(company_found, {o.company_from_url('url', o.LABEL)}) AS company FROM o_matches)"""
 
 
 @query(o.ctes(_NAMED, o.best_contacts("o_named"), views=(*VIEWS, "v_contacts")) + """
@@ -202,7 +202,7 @@ WHERE company IN (SELECT company FROM o_named)""")
 def contacts_of_matched_companies(view, spark, sf_dir):
     """J-08"""
     found = match(_profiles(view), _jobs(view)).select(
-        resolve_company(F.col("company_found"), F.col("url"), F.col("source")).alias("company"))
+        resolve_company(F.col("company_found"), F.col("url"), source_label(F.col("url"), F.col("source"))).alias("company"))
     return contacts_of_matches(view("v_contacts"), found).select("name", "url", "company")
 
 

@@ -64,6 +64,9 @@ def remote(x: str) -> str:
     return f"coalesce(regexp_matches({x}, '{fixed.REMOTE}'), false)"
 
 
+LABEL = """CASE WHEN source = 'Board' THEN CASE WHEN contains(url, 'greenhouse') THEN 'Greenhouse' WHEN contains(url, 'lever') THEN 'Lever'
+  WHEN contains(url, 'workday') THEN 'Workday' ELSE 'JobBoard' END ELSE source END"""
+
 SOURCE_ORDER = "CASE source WHEN 'LinkedIn' THEN 0 WHEN 'Naukri' THEN 1 ELSE 2 END"
 
 FITS = """CASE source WHEN 'LinkedIn' THEN contains(url, 'linkedin.com/jobs')
@@ -76,17 +79,27 @@ UNIQUE = f"""o_unique AS (
            ROW_NUMBER() OVER (PARTITION BY query_id, url ORDER BY {SOURCE_ORDER}, rank, title) AS rn
     FROM v_search_results WHERE {FITS}) WHERE rn = 1)"""
 
-PLACES_OF = f"""o_places AS (
-  SELECT url, min(n_name) AS job_country FROM v_postings JOIN nation
-    ON contains({token_text('location')}, {token_text('n_name')})
-  WHERE length(text) >= 100 GROUP BY url HAVING count(DISTINCT n_name) = 1)"""
+WHOLE = "concat_ws(chr(10), location, text)"
+
+# Country named by location and text of each posting; and by the location of each profile, whose years are rounded.
+PLACES_OF = f"""o_named_places AS MATERIALIZED (SELECT country, {token_text('place')} AS place FROM v_places),
+o_tokens AS MATERIALIZED (SELECT url, {token_text(WHOLE)} AS tokens FROM v_postings WHERE length(text) >= 100),
+o_places AS (
+  SELECT url, min(country) AS job_country FROM o_tokens JOIN o_named_places ON contains(tokens, place)
+  GROUP BY url HAVING count(DISTINCT country) = 1)"""
+
+PROFILES = f"""o_profiles AS (
+  SELECT p.* EXCLUDE (years, location), CAST(floor(coalesce(years, 0) + 0.5) AS INTEGER) AS years, c.country
+  FROM v_profiles p LEFT JOIN (
+    SELECT profile_id, min(country) AS country FROM v_profiles JOIN o_named_places ON contains({token_text('location')}, place)
+    GROUP BY profile_id HAVING count(DISTINCT country) = 1) c ON p.profile_id = c.profile_id)"""
 
 # What the gates read of each posting with enough text.
 FACTS = f"""{PLACES_OF}, o_facts AS (
   SELECT v.url, {requirement('text')} AS required_text, {parse_years(requirement('text'))} AS min_required,
          nullif(regexp_extract(text, '{fixed.COMPANY}', 1), '') AS company_found,
          nullif(regexp_extract(text, '{fixed.TEAM}', 1), '') AS team,
-         {remote('location')} AS is_remote, job_country
+         {remote(WHOLE)} AS is_remote, job_country
   FROM v_postings v LEFT JOIN o_places p ON v.url = p.url WHERE length(text) >= 100)"""
 
 # Search results with those facts.
@@ -104,14 +117,14 @@ def stages(experience_gate: bool = True, tolerance: float = fixed.POST_TOLERANCE
     if experience_gate:
         gate = ("NOT (gate_senior AND years < 5) "
                 f"AND coalesce(min_required <= years + {fixed.GATE_TOLERANCE}, true)")
-    return f"""{JOBS}, o_stages AS (
-  SELECT p.profile_id, p.years, p.location AS country, j.*,
+    return f"""{JOBS}, {PROFILES}, o_stages AS (
+  SELECT p.profile_id, p.years, p.country, j.*,
          CASE WHEN title_senior AND years < 5 THEN 'pre_filtered'
               WHEN NOT has_text THEN 'no_text'
-              WHEN NOT ((NOT remote_only OR is_remote) AND coalesce(job_country = p.location, true) AND {gate}) THEN 'rejected'
+              WHEN NOT ((NOT remote_only OR is_remote) AND coalesce(job_country = p.country, true) AND {gate}) THEN 'rejected'
               WHEN coalesce(min_required > years + {tolerance}, false) THEN 'post_filtered'
               ELSE 'matched' END AS stage
-  FROM v_profiles p JOIN o_jobs j ON {on})"""
+  FROM o_profiles p JOIN o_jobs j ON {on})"""
 
 
 MATCHES = f"""{stages()}, o_matches AS (

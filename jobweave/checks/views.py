@@ -29,7 +29,9 @@ SELECT u.url,
        CASE WHEN u.k % 4 = 0 THEN d.text
             ELSE CONCAT('About Acme Labs ', u.k % (SELECT COUNT(*) FROM supplier), CHR(10),
               CASE u.k % 3 WHEN 0 THEN 'Team: Growth' WHEN 1 THEN 'Team: Product' ELSE 'All teams' END, CHR(10),
-              'Experience: ', u.required, CHR(10), d.text) END AS text,
+              'Experience: ', u.required, CHR(10),
+              CASE u.k % 7 WHEN 1 THEN CONCAT('Office hours as in NATION_', (u.k + u.k % 2) % 25) WHEN 2 THEN 'Fully remote, work from anywhere'
+                WHEN 3 THEN CONCAT('Based in the United Lands of Region ', u.k % 5, ' North.') ELSE 'On site' END, CHR(10), d.text) END AS text,
        u.required AS required_text,
        CASE WHEN u.k % 3 = 0 THEN 'Remote' WHEN u.k % 3 = 1 THEN CONCAT('Office in NATION_', u.k % 25) ELSE NULL END AS location
 FROM (SELECT w.url, w.k,
@@ -39,11 +41,18 @@ FROM (SELECT w.url, w.k,
       FROM (SELECT url, LENGTH(url) * 7 + MIN(rank) AS k FROM v_search_results GROUP BY url) w) u
 JOIN documents d ON d.doc_id = u.k % (SELECT COUNT(*) FROM documents)""",
     "v_profiles": """
-SELECT c.c_custkey AS profile_id, c.c_custkey % 50 AS query_id, c.c_custkey % 12 AS years, n.n_name AS location,
+SELECT c.c_custkey AS profile_id, c.c_custkey % 50 AS query_id,
+       CASE WHEN c.c_custkey % 17 = 0 THEN NULL WHEN c.c_custkey % 7 = 0 THEN CAST(c.c_custkey % 12 + 0.67 AS DOUBLE)
+         ELSE CAST(c.c_custkey % 12 AS DOUBLE) END AS years,
+       CASE c.c_custkey % 8 WHEN 0 THEN LOWER(n.n_name) WHEN 1 THEN CONCAT('City ', c.c_custkey % 9, ', ', n.n_name)
+         WHEN 2 THEN CONCAT(n.n_name, ' or NATION_', c.c_custkey % 25) WHEN 3 THEN CASE WHEN c.c_custkey % 3 = 0 THEN 'Nowhere' END
+         WHEN 4 THEN CONCAT('united lands of region ', c.c_custkey % 5, ' north') ELSE n.n_name END AS location,
        c.c_custkey % 5 = 0 AS remote_only, c.c_mktsegment AS industry,
        CONCAT(c.c_mktsegment, ' analyst') AS job_title
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
-    "v_places": "SELECT n_name AS place, n_name AS country FROM nation",
+    "v_places": """
+SELECT n_name AS place, n_name AS country FROM nation
+UNION ALL SELECT CONCAT('United Lands of Region ', r_regionkey, ' North'), CONCAT('NATION_', r_regionkey * 5) FROM region""",
     "v_roles": """
 SELECT o.o_custkey AS profile_id, o.o_orderkey AS role_id, o.o_orderpriority AS title,
        CAST(o.o_orderdate AS DATE) AS start_date, CAST(s.ship AS DATE) AS end_date, o.o_orderstatus <> 'F' AS active

@@ -21,9 +21,11 @@ def gate_experience(title: Column, req: Column, years: Column, tolerance: float
 
 
 def gate_location(country: Column, wanted: Column, body_country: Column | None = None) -> Column:
-    """P-07: no country found, or the wanted one, in the location and (where given) in the text."""
-    passed = country.isNull() | (country == wanted)
-    return passed if body_country is None else passed & (body_country.isNull() | (body_country == wanted))
+    """P-07: no country found, none wanted, or the wanted one, in the location and (where given) in the text."""
+    def fits(found: Column) -> Column:
+        return found.isNull() | wanted.isNull() | (found == wanted)
+
+    return fits(country) if body_country is None else fits(country) & fits(body_country)
 
 
 def gate_remote(text: Column, remote_only: Column) -> Column:
@@ -31,30 +33,33 @@ def gate_remote(text: Column, remote_only: Column) -> Column:
     return ~remote_only | F.coalesce(text.rlike(fixed.REMOTE), F.lit(False))
 
 
-def detect_places(df: DataFrame, text: str, places: DataFrame, max_words: int = 3) -> DataFrame:
-    """Country named by a text: one row per distinct text that names places of exactly one country.
+def detect_places(df: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
+    """Country named by a text: one row (key, country) per key whose texts name places of exactly one country.
 
-    `places` has columns `place` and `country`. Each run of up to `max_words` words is looked up by
-    an equi-join, so neither the texts nor the dictionary need to fit anywhere as a whole.
+    `places` has columns `place` and `country`; a place may have any number of words. Each word and the one after it are
+    looked up by an equi-join on a place's first words; places of more than two words are then sought in the whole text.
     """
-    texts = df.select(text).filter(F.col(text).isNotNull()).distinct()
-    words = F.split(F.trim(token_text(F.col(text))), " ")
-    runs = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(max_words)),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice(words, i, n), " "))))
-    named = texts.select(text, F.explode(F.array_distinct(runs)).alias("place"))
-    lookup = places.select(F.trim(token_text(F.col("place"))).alias("place"), "country").distinct()
-    found = named.join(lookup, "place").groupBy(text).agg(
-        F.min("country").alias("country"), F.max("country").alias("_other"))
+    name = F.trim(token_text(F.col("place")))
+    lookup = places.select(name.alias("place"), "country").where("place <> ''").distinct()
+    lookup = lookup.select("*", F.split_part("place", F.lit(" "), F.lit(1)).alias("first"),
+                           F.nullif(F.split_part("place", F.lit(" "), F.lit(2)), F.lit("")).alias("second"),
+                           (F.split_part("place", F.lit(" "), F.lit(3)) != "").alias("longer"))
+    tokens = df.select(key, token_text(F.col(text)).alias("tokens")).where("tokens is not null")
+    split = tokens.select(key, F.split(F.trim("tokens"), " ").alias("words"))
+    pairs = split.select(key, F.explode(F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get("words", i + 1).alias("after")))).alias("p"))
+    named = (pairs.select(key, "p.*").join(lookup, F.col("word") == F.col("first")).where("second is null or second = after")
+             .select(key, "place", "country", "longer"))
+    longer = (named.where("longer").distinct().join(tokens, key).where(F.contains("tokens", F.concat(F.lit(" "), "place", F.lit(" ")))))
+    found = named.where("not longer").select(key, "country").unionByName(longer.select(key, "country"))
+    found = found.groupBy(key).agg(F.min("country").alias("country"), F.max("country").alias("_other"))
     return found.filter(F.col("country") == F.col("_other")).drop("_other")
 
 
 def evaluate_gates(df: DataFrame) -> DataFrame:
     """P-09: verdict and trace per row.
 
-    Reads columns `title, required_text, years, country, wanted_country, location, remote_only`.
+    Reads columns `title, required_text, years, country, wanted_country, location, remote_only`; `location` is the text that
+    says where the work is done, such as the whole posting.
     A row without `required_text` counts as one whose evaluation failed (P-10).
     """
     req, years = F.col("required_text"), F.col("years")

@@ -18,6 +18,8 @@ from jobweave.session import written
 
 SEQ = ["source_order", "rank", "url"]
 PROFILE_CLASS = ["query_id", "years", "country", "remote_only"]
+# Country of a profile whose location names none, or several.
+ANYWHERE = "*"
 JOB_CLASS = ["title_senior", "gate_senior", "min_required", "job_country", "is_remote"]
 
 
@@ -30,14 +32,17 @@ def source_order(source: Column) -> Column:
 
 
 def posting_facts(postings: DataFrame, places: DataFrame) -> DataFrame:
-    """What the gates need to know of each posting with enough text, without the text itself."""
-    where = detect_places(postings, "location", places).withColumnRenamed("country", "job_country")
-    facts = min_length(postings, "text").select(
-        "url", "location", extract_requirement(F.col("text")).alias("required_text"),
+    """What the gates need to know of each posting with enough text, without the text itself.
+
+    Country and remote work are read from the location and the whole text; several countries count as none.
+    """
+    kept = min_length(postings, "text").withColumn("whole", F.concat_ws("\n", "location", "text"))
+    where = detect_places(kept, "url", "whole", places).withColumnRenamed("country", "job_country")
+    facts = kept.select(
+        "url", extract_requirement(F.col("text")).alias("required_text"),
         extract_company(F.col("text")).alias("company_found"), extract_team(F.col("text")).alias("team"),
-        F.coalesce(F.col("location").rlike(fixed.REMOTE), F.lit(False)).alias("is_remote"))
-    return (facts.withColumn("min_required", parse_years(F.col("required_text")))
-            .join(where, "location", "left").drop("location"))
+        F.coalesce(F.col("whole").rlike(fixed.REMOTE), F.lit(False)).alias("is_remote"))
+    return facts.withColumn("min_required", parse_years(F.col("required_text"))).join(where, "url", "left")
 
 
 def with_text(results: DataFrame, facts: DataFrame) -> DataFrame:
@@ -57,8 +62,14 @@ def _one_search(profiles: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _buckets(df: DataFrame) -> DataFrame:
-    """Postings a profile may see: those of its own country and those without one."""
-    return df.withColumn("bucket", F.explode(F.array_distinct(F.array("country", F.lit("")))))
+    """Postings a profile may see: those of its own country and those without one; all, for a profile of no known country."""
+    own = F.when(F.col("country") == ANYWHERE, F.array(F.lit(ANYWHERE))).otherwise(F.array_distinct(F.array("country", F.lit(""))))
+    return df.withColumn("bucket", F.explode(own))
+
+
+def _in_buckets(jobs: DataFrame) -> DataFrame:
+    """Postings by the buckets they are seen in: that of their country, and the one of all."""
+    return jobs.withColumn("bucket", F.explode(F.array(F.coalesce("job_country", F.lit("")), F.lit(ANYWHERE))))
 
 
 def _pre_filtered() -> Column:
@@ -87,7 +98,7 @@ def class_matches(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCH
     classes = _buckets(profiles.select(*PROFILE_CLASS).distinct())
     seen_by = ["query_id", "bucket", "years", "remote_only"]
     passed = (classes.select(*seen_by).distinct()
-              .join(firsts.withColumn("bucket", F.coalesce("job_country", F.lit(""))), ["query_id", "bucket"])
+              .join(_in_buckets(firsts), ["query_id", "bucket"])
               .filter(~_pre_filtered() & _gated(experience_gate) & ~_beyond(tolerance)))
     per_bucket = top_k(passed, seen_by, SEQ, k).drop("pos")
     return top_k(classes.join(per_bucket, seen_by).drop("bucket"), PROFILE_CLASS, SEQ, k)
@@ -146,7 +157,7 @@ def funnel(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCHES, tol
     pre = (classes.filter(F.col("years") < fixed.SENIOR_YEARS).join(senior, "query_id").filter(in_reach)
            .groupBy(*PROFILE_CLASS, *by).agg(F.sum("n").alias("pre_filtered")))
     post = (_buckets(classes)
-            .join(counted.withColumn("bucket", F.coalesce("job_country", F.lit(""))), ["query_id", "bucket"])
+            .join(_in_buckets(counted), ["query_id", "bucket"])
             .filter(in_reach & ~_pre_filtered() & _gated(experience_gate) & _beyond(tolerance))
             .groupBy(*PROFILE_CLASS, *by).agg(F.sum("n").alias("post_filtered")))
     stages = [matched.withColumnRenamed("matched", "n").withColumn("stage", F.lit("matched")),

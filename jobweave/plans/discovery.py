@@ -1,13 +1,14 @@
 """Search results and postings to job cards."""
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave import fixed
 from jobweave.functions import resolve_company
+from jobweave.functions.company import board_source
 from jobweave.operators.contacts import attach_contacts
 from jobweave.operators.filters import filter_source_urls
-from jobweave.operators.gates import evaluate_gates
-from jobweave.operators.matching import match, posting_facts, source_order, with_text
+from jobweave.operators.gates import detect_places, evaluate_gates
+from jobweave.operators.matching import ANYWHERE, match, posting_facts, source_order, with_text
 from jobweave.operators.ordered import dedupe_first
 from jobweave.operators.requests import job_cards
 from jobweave.session import written
@@ -25,17 +26,23 @@ def jobs_of(results: DataFrame, postings: DataFrame, places: DataFrame) -> DataF
 
 
 def candidates(profiles: DataFrame, places: DataFrame) -> DataFrame:
-    """Profiles ready for matching: defaults filled in, location looked up as a country.
+    """Profiles ready for matching: defaults filled in, years rounded half up, the country that the location names.
 
-    A location that is no known place stands for itself.
+    A location that names no known place, or places of several countries, rules no posting out. Whole years also keep the
+    classes of profiles few.
     """
-    lookup = places.select(F.col("place").alias("location"), F.col("country").alias("_country")).dropDuplicates(["location"])
     filled = profiles.withColumn("location", F.coalesce(F.nullif("location", F.lit("")), F.lit(fixed.DEFAULT_LOCATION)))
-    return (filled.join(lookup, "location", "left")
-            .withColumn("country", F.coalesce("_country", "location")).drop("_country")
+    where = detect_places(filled.select("location").distinct(), "location", "location", places)
+    return (filled.join(where, "location", "left").withColumn("country", F.coalesce("country", F.lit(ANYWHERE)))
+            .withColumn("years", F.floor(F.coalesce("years", F.lit(0)) + 0.5).cast("int"))
             .withColumn("remote_only", F.coalesce("remote_only", F.lit(False))))
 
 
+def source_label(url: Column, source: Column) -> Column:
+    """A board result goes by the name of its board."""
+    return F.when(source == "Board", board_source(url)).otherwise(source)
+
+
 def discover(profiles: DataFrame, results: DataFrame, postings: DataFrame, places: DataFrame) -> DataFrame:
     """At most ten matches per profile, in order of arrival."""
     return match(candidates(profiles, places), jobs_of(results, postings, places))
@@ -45,7 +52,7 @@ def discover_with_contacts(profiles: DataFrame, results: DataFrame, postings: Da
                            contacts: DataFrame) -> DataFrame:
     """Matches with their company and its contacts; matches are written once and read twice."""
     found = discover(profiles, results, postings, places)
-    named = found.withColumn("company", resolve_company(F.col("company_found"), F.col("url"), F.col("source")))
+    named = found.withColumn("company", resolve_company(F.col("company_found"), F.col("url"), source_label(F.col("url"), F.col("source"))))
     return attach_contacts(written(named, "matches"), contacts)
 
 
@@ -54,8 +61,8 @@ def discover_cards(profiles: DataFrame, results: DataFrame, postings: DataFrame,
     """P-12 for every match, with the trace of its gates and its contacts; profiles have a `job_title`."""
     found = match(candidates(profiles, places), jobs_of(results, postings, places), keep=("job_title",))
     judged = evaluate_gates(
-        found.withColumn("company", resolve_company(F.col("company_found"), F.col("url"), F.col("source")))
-        .withColumn("wanted_country", F.col("country")).withColumn("country", F.col("job_country"))
+        found.withColumn("company", resolve_company(F.col("company_found"), F.col("url"), source_label(F.col("url"), F.col("source"))))
+        .withColumn("wanted_country", F.nullif(F.col("country"), F.lit(ANYWHERE))).withColumn("country", F.col("job_country"))
         .withColumn("location", F.when(F.col("is_remote"), "Remote")))
     carded = attach_contacts(written(judged, "matches"), contacts)
     return job_cards(carded.withColumn("confidence", F.lit(None).cast("double")))
