@@ -66,11 +66,10 @@ _FITS = f"regexp_matches({o.token_text('role')}, ' ({'|'.join(fixed.REFERRER_WOR
 
 @query(o.ctes(views=("v_contacts", "v_companies")) + f"""SELECT trim(split_part(title, '-', 1)) AS name, url AS linkedin, company, pos FROM (
 SELECT *, ROW_NUMBER() OVER (PARTITION BY company ORDER BY rank, url) AS pos FROM v_contacts WHERE {_FITS}
-AND company IN (SELECT company FROM v_companies WHERE company_id % 2 = 0)) WHERE pos <= 5""")
+AND company IN (SELECT company FROM v_companies)) WHERE pos <= 5""")
 def company_referrers(view, spark, sf_dir):
-    """J-05, T-05: for every second company as the asked-for ones."""
-    asked = view("v_companies").filter("company_id % 2 = 0")
-    return referrals(asked, view("v_contacts")).withColumn("pos", F.col("pos").cast("bigint"))
+    """J-05, T-05: for all companies."""
+    return referrals(view("v_companies"), view("v_contacts")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("""SELECT c_custkey, c_name, d.s_name AS email FROM (SELECT *, split_part(c_name, '#', 1) AS f, split_part(c_name, '#', 2) AS l,
@@ -108,17 +107,17 @@ def news_of_companies(view, spark, sf_dir):
     return attach_news(view("v_companies"), view("v_news"), AS_OF).select("company_id", F.array_join("news", "; ").alias("titles"))
 
 
-@query(o.ctes(_RECENT, views=("v_news",)) + """SELECT c_custkey AS request_id, 'Acme Labs ' || (c_custkey % 10) AS company, c_mktsegment AS job_title,
+@query(o.ctes(_RECENT, views=("v_news",)) + """SELECT c_custkey AS request_id, 'Acme Labs ' || (c_custkey % (SELECT count(*) FROM supplier)) AS company, c_mktsegment AS job_title,
 CASE WHEN c_custkey % 3 = 0 THEN 'Hiring Team' ELSE c_name END AS poc_name,
 'Engineer with ' || (c_custkey % 12) || ' years exp. Skills: SQL, Figma' AS profile_summary, coalesce(n.titles, '') AS news_snippet
 FROM customer LEFT JOIN (SELECT company, string_agg(title, chr(10) ORDER BY pos) AS titles FROM o_recent GROUP BY company) n
-ON n.company = 'Acme Labs ' || (c_custkey % 10)""")
+ON n.company = 'Acme Labs ' || (c_custkey % (SELECT count(*) FROM supplier))""")
 def draft_request_rows(view, spark, sf_dir):
     """Drafting request: J-04 with F-16."""
     requests = view("customer").select(
         F.col("c_custkey").alias("request_id"), F.lit("Engineer").alias("job_title"), (F.col("c_custkey") % 12).alias("actual_years_exp"),
         F.array(F.lit("SQL"), F.lit("Figma")).alias("skills"), F.col("c_mktsegment").alias("target_title"),
-        F.concat(F.lit("Acme Labs "), F.col("c_custkey") % 10).alias("company"),
+        F.concat(F.lit("Acme Labs "), F.col("c_custkey") % view("supplier").count()).alias("company"),
         F.expr("CASE WHEN c_custkey % 3 <> 0 THEN c_name END").alias("poc_name"))
     return draft_requests(requests, view("v_news"), AS_OF)
 

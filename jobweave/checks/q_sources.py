@@ -24,7 +24,7 @@ def explode_search_results(view, spark, sf_dir):
     return explode_results(view("v_responses"), "body")
 
 
-@query("""SELECT conv_id, 0::BIGINT AS part, string_agg(text || chr(10), '' ORDER BY turn) AS text
+@query("""SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text
 FROM conversations WHERE text <> '' GROUP BY conv_id""")
 def assembled_pages(view, spark, sf_dir):
     """S-02"""
@@ -58,17 +58,18 @@ def page_main_content(view, spark, sf_dir):
 
 
 @query(ctes(UNIQUE, views=("v_search_results", "v_postings")) + """
-SELECT u.url, CASE WHEN contains(u.url, 'linkedin.com') THEN coalesce(b.location, '')
-       ELSE coalesce(a.required_text, b.location, '') END AS text
+SELECT u.url, length(t) AS chars, md5(t) AS digest FROM (
+SELECT u.url, CASE WHEN contains(u.url, 'linkedin.com') THEN coalesce(b.text, '') ELSE coalesce(a.text, b.text, '') END AS t
 FROM (SELECT DISTINCT url FROM o_unique) u
-LEFT JOIN (SELECT url, required_text FROM v_postings WHERE required_text <> 'Not specified') a ON u.url = a.url
-LEFT JOIN (SELECT url, location FROM v_postings WHERE location IS NOT NULL) b ON u.url = b.url""")
+LEFT JOIN (SELECT url, text FROM v_postings WHERE required_text <> 'Not specified') a ON u.url = a.url
+LEFT JOIN (SELECT url, concat_ws(chr(10), location, text) AS text FROM v_postings WHERE location IS NOT NULL) b ON u.url = b.url) u""")
 def posting_text_fallback(view, spark, sf_dir):
-    """S-05"""
+    """S-05: whole texts, shown as length and digest."""
     postings = view("v_postings")
-    primary = postings.filter("required_text <> 'Not specified'").select("url", F.col("required_text").alias("text"))
-    fallback = postings.filter("location IS NOT NULL").select("url", F.col("location").alias("text"))
-    return resolve_text(unique_results(view("v_search_results")).select("url").distinct(), primary, fallback)
+    primary = postings.filter("required_text <> 'Not specified'").select("url", "text")
+    fallback = postings.filter("location IS NOT NULL").select("url", F.concat_ws("\n", "location", "text").alias("text"))
+    texts = resolve_text(unique_results(view("v_search_results")).select("url").distinct(), primary, fallback)
+    return texts.select("url", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("""SELECT 'data: ' || to_json(struct_pack(s_suppkey := s_suppkey, s_name := s_name, s_nationkey := s_nationkey))

@@ -58,6 +58,7 @@ OPEN_END_CUTS = ["present", "current"]
 DATE_LAYOUTS = [
     "M/yyyy", "MMM yyyy", "MMMM yyyy", "yyyy-M", "yyyy/M", "yyyy", "yyyy-M-d", "M/d/yyyy",
     "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM, yyyy", "MMMM, yyyy",
+    "M-yyyy", "M.yyyy", "MMM-yyyy", "MMMM-yyyy", "MMM. yyyy", "MMM.yyyy", "d/M/yyyy", "d.M.yyyy",
 ]
 
 # Whitespace as Python's and JavaScript's trimming sees it (regex classes).

@@ -4,6 +4,12 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed
 
+# The patterns of `fixed` for matching in the JVM: repeats are possessive and an address is sought from the begin of its run
+# of characters, so that long inputs take linear time and constant stack.
+COMPANY = r"\b(?:About|at)\s++([A-Z0-9][A-Za-z0-9&-]*+(?: [A-Z0-9][A-Za-z0-9&-]*+)*+)"
+EMAIL = (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9.-]*\.[A-Za-z]{2})"
+         r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+
 
 def py_strip(s: Column) -> Column:
     """Trim every Unicode space at both ends."""
@@ -49,7 +55,7 @@ def referrer_name(title: Column) -> Column:
 
 def extract_company(text: Column) -> Column:
     """F-05: the name after `About` or `at`, null when there is none."""
-    return F.nullif(F.regexp_extract(text, fixed.COMPANY, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, COMPANY, 1), F.lit(""))
 
 
 def extract_team(text: Column) -> Column:
@@ -58,8 +64,9 @@ def extract_team(text: Column) -> Column:
 
 
 def extract_emails(text: Column) -> Column:
-    """P-21: all e-mail addresses, in text order; only texts with an `@` are searched."""
-    found = F.regexp_extract_all(text, F.lit(f"({fixed.EMAIL})"), F.lit(1))
+    """P-21: all e-mail addresses, in text order; only texts with an `@` are searched. An address ends with letters."""
+    found = F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1))
+    found = F.filter(F.transform(found, lambda a: F.regexp_extract(a, r"^([^@]*@.*\.[A-Za-z]{2,})", 1)), lambda a: a != "")
     return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -70,7 +77,7 @@ def extract_phones(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """P-21: replace e-mail addresses and phone numbers."""
-    mailed = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, fixed.EMAIL, "[email]")).otherwise(text)
+    mailed = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, "[email]")).otherwise(text)
     return F.regexp_replace(mailed, fixed.PHONE, "[phone]")
 
 

@@ -86,9 +86,10 @@ def referrals(companies: DataFrame, people: DataFrame, k: int = fixed.MAX_REFERR
 
 
 def attach_email(contacts: DataFrame, directory: DataFrame) -> DataFrame:
-    """J-06: e-mail by (first name, last name, domain); no domain or no entry gives null."""
-    keyed = contacts.withColumn("domain", company_domain(F.col("company")))
-    return keyed.join(directory, ["first_name", "last_name", "domain"], "left")
+    """J-06: e-mail by (first name, last name, domain); no domain or no entry gives null, of several entries the least counts."""
+    keys = ["first_name", "last_name", "domain"]
+    once = directory.groupBy(*keys).agg(*[F.min(c).alias(c) for c in directory.columns if c not in keys])
+    return contacts.withColumn("domain", company_domain(F.col("company"))).join(once, keys, "left")
 
 
 def recent_news(news: DataFrame, as_of: str, months: int = 6, k: int = fixed.MAX_NEWS) -> DataFrame:

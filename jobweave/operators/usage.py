@@ -1,11 +1,10 @@
 """Metering of service calls. `calls` has columns `call_id, ts, service, ok`."""
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import fixed
-from jobweave.operators.ordered import top_k
 
 
 def _limit(limits: dict[str, int], default: int) -> Column:
@@ -46,29 +45,32 @@ def admit_calls(calls: DataFrame, limits: dict[str, int] = fixed.DAILY_LIMITS, s
                 default_limit: int = fixed.DEFAULT_LIMIT, used: DataFrame | None = None) -> DataFrame:
     """N-02: flag `admitted`, true while the good calls before it stay below share of the daily limit.
 
-    Usage only grows within a day, so the verdict flips once per (day, service): after the n-th good
-    call that fills the share. That call is found as a top-k, which a hot day passes in parts, and
-    no running sum over a whole day is needed. `used` gives good calls of (day, service) from before.
+    Usage only grows within a day, so the verdict flips once per (day, service): after the n-th good call that fills the
+    share. Good calls are counted per second, a running sum over the at most 86,400 seconds of a day finds the one in
+    which the n-th call lies, and only that second's calls are numbered. `used` gives good calls of (day, service) from
+    before.
     """
     needed = _limit({s: _calls_to_stop(n, share) for s, n in limits.items()}, _calls_to_stop(default_limit, share))
-    most = max([_calls_to_stop(n, share) for n in limits.values()] + [_calls_to_stop(default_limit, share)])
+    key, second = ["day", "service"], F.date_trunc("second", "ts")
     calls = calls.withColumn("day", F.to_date("ts"))
-    good = calls.filter("ok").select("day", "service", "ts", "call_id")
-    nth = top_k(good, ["day", "service"], ["ts", "call_id"], most, ["call_id"])
-    if used is None:
-        left = needed
-        open_days = None
-    else:
-        before = used.select("day", "service", F.col("used").alias("_used"))
-        nth = nth.join(before, ["day", "service"], "left")
+    good = calls.filter("ok").select(*key, "ts", "call_id", second.alias("second"))
+    counts = good.groupBy(*key, "second").agg(F.count("*").alias("n"))
+    left, open_days = needed, None
+    if used is not None:
+        before = used.select(*key, F.col("used").alias("_used"))
+        counts = counts.join(before, key, "left")
         left = needed - F.coalesce("_used", F.lit(0))
-        open_days = before.filter(needed <= F.col("_used")).select("day", "service", F.lit(True).alias("_full"))
-    last = (nth.filter(F.col("pos") == left)
-            .select("day", "service", F.struct("ts", "call_id").alias("_last")))
-    flagged = calls.join(last, ["day", "service"], "left")
+        open_days = before.filter(needed <= F.col("_used")).select(*key, F.lit(True).alias("_full"))
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("second"))
+    flip = (counts.withColumn("_upto", upto).filter((F.col("_upto") >= left) & (F.col("_upto") - F.col("n") < left))
+            .select(*key, "second", (left - F.col("_upto") + F.col("n")).alias("_nth")))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("ts", "call_id"))
+    last = (good.join(flip, [*key, "second"]).withColumn("_place", place).filter("_place = _nth")
+            .select(*key, F.struct("ts", "call_id").alias("_last")))
+    flagged = calls.join(last, key, "left")
     admitted = F.coalesce(F.struct("ts", "call_id") <= F.col("_last"), F.lit(True))
     if open_days is not None:
-        flagged = flagged.join(open_days, ["day", "service"], "left")
+        flagged = flagged.join(open_days, key, "left")
         admitted = admitted & F.col("_full").isNull()
     return flagged.withColumn("admitted", admitted).drop("_last", "_full")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from jobweave.functions import parse_role_date
 from jobweave.operators.experience import experience_by_title, total_experience
 from jobweave.operators.resume import distinct_roles, resume_roles, resume_sections
-from jobweave.sources.pages import assemble_pages, document_lines
+from jobweave.sources.pages import page_lines
 
 
 def dated_roles(roles: DataFrame, as_of) -> DataFrame:
@@ -24,4 +24,4 @@ def parse_lines(lines: DataFrame, as_of) -> DataFrame:
 
 def parse_resumes(pages: DataFrame, as_of) -> DataFrame:
     """Experience total and bucket per resume, from pages `doc_id, page_no, text`."""
-    return parse_lines(document_lines(assemble_pages(pages, "doc_id", "page_no", "text"), "doc_id", "text"), as_of)
+    return parse_lines(page_lines(pages, "doc_id", "page_no", "text"), as_of)

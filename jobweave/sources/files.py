@@ -39,6 +39,6 @@ def to_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("data: "), F.to_json(F.struct("*")), F.lit("\n\n")).alias("value"))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """S-07: rows as JSON files."""
-    df.write.mode("overwrite").json(path)
+def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """S-07: rows as JSON files; what lies at the path stays unless `mode` says otherwise."""
+    df.write.mode(mode).json(path)

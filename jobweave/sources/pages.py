@@ -1,26 +1,31 @@
 """Page texts of documents."""
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions import main_content as content_of
 
 
-def assemble_pages(df: DataFrame, doc: str, page_no: str, text: str, pages_per_part: int = 10_000) -> DataFrame:
-    """S-02: the non-empty pages of a document in order, a newline after each.
+def assemble_pages(df: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
+    """S-02: the non-empty pages of a document in order, a newline after each: one text per document.
 
-    Pages are joined in parts of `pages_per_part`, so no task holds more than that of one document;
-    a document of usual length is part 0 alone.
+    The text is an output; what works on lines takes `page_lines`, which never holds a whole document.
     """
-    part = F.floor(F.col(page_no) / pages_per_part).alias("part")
     pages = F.array_sort(F.collect_list(F.struct(F.col(page_no), F.col(text).alias("text"))))
     joined = F.array_join(F.transform(pages, lambda p: F.concat(p["text"], F.lit("\n"))), "")
-    return df.filter(F.col(text) != "").groupBy(doc, part).agg(joined.alias("text"))
+    return df.filter(F.col(text) != "").groupBy(doc).agg(joined.alias("text"))
 
 
-def document_lines(df: DataFrame, doc: str, text: str, part: str = "part") -> DataFrame:
-    """Lines of assembled documents: `doc_id, line_no, text`, numbered across the parts."""
-    rows = df.select(F.col(doc).alias("doc_id"), F.col(part).alias("part"), F.posexplode(F.split(text, "\n")).alias("n", "text"))
-    return rows.select("doc_id", (F.col("part") * F.lit(2 ** 40) + F.col("n")).cast("bigint").alias("line_no"), "text")
+def page_lines(df: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
+    """Lines of documents straight from their pages: `doc_id, line_no, text`, numbered without a gap across pages.
+
+    Only the pages' line counts are summed along a document; page numbers are unique within one.
+    """
+    pages = df.filter(F.col(text) != "").select(F.col(doc).alias("doc_id"), F.col(page_no).alias("page_no"), F.split(text, "\n").alias("lines"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))
+    first = (pages.select("doc_id", "page_no", F.size("lines").cast("long").alias("n"))
+             .withColumn("first", F.coalesce(before, F.lit(0).cast("long"))).drop("n"))
+    rows = pages.join(first, ["doc_id", "page_no"]).select("doc_id", "first", F.posexplode("lines").alias("n", "text"))
+    return rows.select("doc_id", (F.col("first") + F.col("n")).alias("line_no"), "text")
 
 
 def main_content(df: DataFrame, html: str) -> DataFrame:

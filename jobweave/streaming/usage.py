@@ -15,6 +15,20 @@ def usage_windows(calls: DataFrame, delay: str = "1 day") -> DataFrame:
             .select(F.to_date("window.start").alias("day"), "service", "used"))
 
 
+def write_usage(calls: DataFrame, folder: str, delay: str = "1 day") -> StreamingQuery:
+    """W-03: the counts that each batch changed, days still open included, below `folder`/used; see `read_usage`."""
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/used/batch={n}")
+
+    return (usage_windows(calls, delay).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+
+
+def read_usage(spark, folder: str) -> DataFrame:
+    """Good calls per day and service, as counted so far."""
+    return spark.read.parquet(f"{folder}/used").groupBy("day", "service").agg(F.max_by("used", "batch").alias("used"))
+
+
 def stream_quota(calls: DataFrame, folder: str, limits: dict[str, int] = fixed.DAILY_LIMITS,
                  share: float = fixed.STOP_SHARE) -> StreamingQuery:
     """W-06: calls with flag `admitted`, written below `folder`/calls; the count starts anew every day.

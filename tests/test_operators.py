@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from jobweave import functions as fn
 from jobweave.operators import matching
 from jobweave.operators.contacts import attach_contacts, current_employee, department_rank, name_collision
 from jobweave.operators.edits import apply_skill_edits
@@ -15,7 +16,7 @@ from jobweave.operators.usage import _calls_to_stop, admit_calls, alert_report,
 from jobweave.operators.gates import detect_places
 from jobweave.plans.resume import dated_roles, parse_resumes
 from jobweave.sources.files import append_calls, read_call_lines, read_calls, write_results
-from jobweave.sources.pages import assemble_pages, document_lines
+from jobweave.sources.pages import assemble_pages, page_lines
 from jobweave.sources.search import explode_results, resolve_text
 
 
@@ -139,7 +140,9 @@ def test_resume_pages_to_totals(spark):
     df = spark.createDataFrame(pages, "doc_id int, page_no int, text string")
     text = assemble_pages(df, "doc_id", "page_no", "text")
     assert text.collect()[0].text == RESUME + "\n"
-    rows = document_lines(text, "doc_id", "text")
+    rows = page_lines(df, "doc_id", "page_no", "text")
+    assert [r.text for r in rows.orderBy("line_no").collect()] == lines
+    assert [r.line_no for r in rows.orderBy("line_no").collect()] == list(range(len(lines)))
     sections = resume_sections(rows)
     roles = resume_roles(rows, sections).orderBy("line_no")
     assert [(r.title, r.company, r.start_date) for r in roles.collect()] == [
@@ -157,10 +160,32 @@ def test_sections_of_a_long_document(spark):
     assert {r.section: r["count"] for r in got.collect()} == {None: 10, "skills": 2490, "experience": 2500}
 
 
-def test_pages_in_parts(spark):
-    df = spark.createDataFrame([(1, n, f"p{n}") for n in range(7)], "d int, n int, t string")
-    got = assemble_pages(df, "d", "n", "t", pages_per_part=3).orderBy("part").collect()
-    assert [r.text for r in got] == ["p0\np1\np2\n", "p3\np4\np5\n", "p6\n"]
+@pytest.mark.parametrize("cut", range(1, 12))
+def test_roles_across_every_page_seam(spark, cut):
+    lines = RESUME.split("\n")
+    whole = spark.createDataFrame([(7, 0, RESUME)], "doc_id int, page_no int, text string")
+    parts = spark.createDataFrame([(7, 9_998, "\n".join(lines[:cut])), (7, 10_001, "\n".join(lines[cut:]))], "doc_id int, page_no int, text string")
+    def roles(pages):
+        rows = page_lines(pages, "doc_id", "page_no", "text")
+        return [tuple(r) for r in resume_roles(rows, resume_sections(rows)).orderBy("line_no").collect()]
+    assert roles(parts) == roles(whole)
+
+
+def test_quota_above_a_thousand(spark):
+    t0 = datetime.datetime(2024, 1, 1, 8)
+    calls = spark.range(6000).selectExpr("id AS call_id", f"timestamp'{t0}' + make_interval(0, 0, 0, 0, 0, 0, int(id / 700)) AS ts", "'groq' AS service", "id % 3 <> 0 AS ok")
+    got = admit_calls(calls, {"groq": 4000}, share=0.6)
+    assert got.filter("admitted").agg({"call_id": "max"}).first()[0] == 3599  # the 2400th good call
+    assert got.filter("admitted").count() == 3600
+
+
+def test_long_inputs_take_linear_time(spark):
+    n = 300_000
+    texts = ["at " + "Aa " * n, "a@" + "b." * n + "com", "x" * n + "@", "a." * n, "+1" * n, "<nav>" * 20_000, "&amp;" * n, "About " + "A" * n]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    t = F.col("t")
+    got = df.select(F.length(fn.extract_company(t)), F.size(fn.extract_emails(t)), F.length(fn.redact(t)), fn.extract_team(t), fn.extract_requirement(t))
+    assert len(got.collect()) == len(texts)
 
 
 def test_quota_admits_the_first_fifteen_of_twenty_five(spark):
@@ -229,9 +254,11 @@ def test_matches_without_contacts_stay(spark):
 
 
 def test_places(spark):
-    places = spark.createDataFrame([("New Delhi", "India"), ("India", "India"), ("Spain", "Spain")], "place string, country string")
-    df = spark.createDataFrame([("New Delhi, India",), ("Spain or India",), ("Remote",), (None,)], "location string")
-    assert {r.location: r.country for r in detect_places(df, "location", places).collect()} == {"New Delhi, India": "India"}
+    places = spark.createDataFrame([("New Delhi", "India"), ("India", "India"), ("Spain", "Spain"), ("United Lands of the Far North", "North")], "place string, country string")
+    df = spark.createDataFrame([("New Delhi, India",), ("Spain or India",), ("Remote",), (None,), ("off the united lands of the far north, remote",),
+                                ("united lands of the far",)], "location string")
+    assert {r.location: r.country for r in detect_places(df, "location", "location", places).collect()} == {
+        "New Delhi, India": "India", "off the united lands of the far north, remote": "North"}
 
 
 def test_search_sources(spark):
