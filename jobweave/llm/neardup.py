@@ -7,7 +7,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.graph import components
@@ -21,8 +21,10 @@ HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 # A pair whose estimate is below this is no link: six standard errors of the estimate below 0.75.
 LEAST_ESTIMATE = 0.5
-# Documents of a prefix bucket that are compared with all its others in one round.
-HEADS = 32
+# One-bit minima of the long signatures, and the least estimate from them: almost five standard errors below 0.75.
+LONG_HASHES, LEAST_LONG = 2048, 0.68
+# Members of a bucket that are compared in one task with as many others.
+BLOCK = 512
 
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -89,7 +91,12 @@ def _linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int)
     sig_a = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     sig_b = signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     near = pairs.join(sig_a, "a").join(sig_b, "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE).select("a", "b")
-    full = (near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    return _confirmed(near, sets, percent)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets."""
+    full = (pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"))
     both = F.size(F.array_intersect("x", "y"))
     return full.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
@@ -100,15 +107,58 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (item, id, size, place) of the rarest items of each set, so many that sets linked to it share one of them."""
-    items = sets.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count("*").alias("times")).where("times > 1")
-    ranked = (items.join(often, "item", "left").groupBy("id", "size")
-              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "item"))).alias("own")))
-    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    return ranked.select("id", "size", F.posexplode(F.slice("own", F.lit(1), length.cast("int"))).alias("place", "own")).where("own.times > 1").select(
-        F.col("own.item").alias("item"), "id", "size", "place")
+def _long_signatures(sets: DataFrame) -> DataFrame:
+    """id and one low bit of each of LONG_HASHES minima, packed."""
+    factors = mix(np.arange(10_001, 10_001 + LONG_HASHES, dtype=np.uint64)) | np.uint64(1)
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("items")
+            h, size = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+            at = np.cumsum(size) - size
+            bits = np.zeros((len(size), LONG_HASHES), np.uint8)
+            for j, factor in enumerate(factors if len(h) else []):
+                bits[:, j] = mix(np.minimum.reduceat(h * factor, at)) & np.uint64(1)
+            packed = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "long"])
+
+    return sets.where(F.size("items") > 0).mapInArrow(run, f"id {kind}, long binary")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's members that lie in different components and may be linked by their long signatures.
+
+    `rows` has band, members (the bucket's number of them), id, component, long and bands. A large bucket is split by a hash
+    of the id, and each two of its parts meet in a task of their own, so that a task holds some 2 x BLOCK rows. A pair that
+    shares several buckets comes out of the first one only.
+    """
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("id"), parts).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "long", "bands")
+    kind = dict(rows.dtypes)["id"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sig = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        bands = pa.concat_arrays(table["bands"].chunks).flatten().to_numpy().reshape(table.num_rows, -1)
+        code = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+        part, here = table["part"].to_numpy(), table["band"][0].as_py()
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        a, b = [], []
+        for x in range(table.num_rows if code.max() > 0 else 0):
+            rest = np.arange(x + 1, table.num_rows)
+            rest = rest[(code[rest] != code[x]) & ((part[rest] != part[x]) | (not across))]
+            agree = 1 - np.bitwise_count(sig[rest] ^ sig[x]).sum(1) / LONG_HASHES
+            rest = rest[2 * agree - 1 >= LEAST_LONG]
+            rest = rest[bands[x][(bands[rest] == bands[x]).argmax(1)] == here] if len(rest) else rest
+            a += [x] * len(rest)
+            b += rest.tolist()
+        ids = table["id"]
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -120,11 +170,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     1. Equal sets are one class, found by a 128-bit hash of the set; only its smallest doc_id goes on.
     2. Band keys of minima give buckets. Every member of a bucket is compared with its smallest id only, never with all:
        first by bit counts of the packed signatures, then on full sets. These links give first components.
-    3. Buckets whose other members still lie in several components leave possible links unseen. Their members meet again
-       in an exact join on the rarest shingles of each set (prefix, length and positional filters). In each bucket of it a
-       bounded number of members, those of the smallest components first, is compared with the members of other
-       components, in rounds, until no bucket holds two components. Shingles that very many documents share come last in the
-       order and so rarely make a bucket.
+    3. Buckets whose other members still lie in several components leave possible links unseen. Their members get long
+       signatures and meet in tasks of bounded size that compare the packed bits of members of different components only;
+       what may be a link is confirmed on full sets. A bucket's work here grows with the square of its members that
+       step 2 has not brought together, spread over tasks; nothing is left out.
 
     Null and empty texts have no shingles and no links; a null doc_id cannot be named, so its row is linked with nothing,
     has a null component and is kept; rows that share a doc_id count as one document; other columns are ignored.
@@ -148,30 +197,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = links.unionByName(tied)
     found = components(links)
 
-    mixed = (_labelled(members.select("band", "id"), found).groupBy("band")
-             .agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("band"))
-    rest = members.join(mixed, "band", "left_semi").select("id").distinct()
-    open_rows = written(_prefixes(sets.join(rest, "id", "left_semi"), percent), "prefixes")
-    while True:
-        rows = _labelled(open_rows, found)
-        several = rows.groupBy("item").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("item")
-        rows = written(rows.join(several, "item", "left_semi"), "open")
-        if rows.isEmpty():
-            break
-        sizes = rows.groupBy("item", "component").agg(F.count("*").alias("weight"))
-        first = F.row_number().over(Window.partitionBy("item").orderBy("weight", "id"))
-        heads = written(rows.join(sizes, ["item", "component"]).withColumn("first", first).where(F.col("first") <= HEADS)
-                        .select("item", *(F.col(c).alias(f"h_{c}") for c in ("id", "size", "place", "component"))), "heads")
-        both = rows.join(heads, "item").where(
-            (F.col("component") != F.col("h_component"))
-            & (100 * F.least("size", "h_size") >= percent * F.greatest("size", "h_size"))
-            # the most that can be common: all before the shared item, and all after it
-            & ((100 + percent) * (F.least(F.col("size") - F.col("place"), F.col("h_size") - F.col("h_place")) + F.least("place", "h_place"))
-               >= percent * (F.col("size") + F.col("h_size"))))
-        pairs = both.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
-        links = written(links.unionByName(_linked(pairs, ones, sets, percent)).distinct(), "pairs")
-        found = components(links)
-        open_rows = rows.join(heads.select("item", F.col("h_id").alias("id")), ["item", "id"], "left_anti").select("item", "id", "size", "place")
+    rows = _labelled(members, found)
+    mixed = (rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("z"), F.count("*").alias("members"))
+             .where("x <> z").select("band", "members"))
+    rows = written(rows.join(mixed, "band").select("band", "members", "id", "component"), "mixed-buckets")
+    rest = rows.select("id").distinct()
+    long = written(_long_signatures(sets.join(rest, "id", "left_semi")).join(ones.select("id", "bands"), "id"), "long-signatures")
+    more = _confirmed(_candidates(rows.join(long, "id")), sets, percent)
+    found = components(written(links.unionByName(more), "pairs"))
 
     named = found.withColumnRenamed("component", "named")
     result = (signed.where("n_shingles > 0").join(classes, ["s1", "s2"], "left").join(named, "id", "left")
