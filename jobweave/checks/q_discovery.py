@@ -12,7 +12,7 @@ from jobweave.operators.gates import (
 from jobweave.operators.matching import funnel, match, match_count, unmatched
 from jobweave.operators.requests import job_cards
 from jobweave.operators.usage import pass_rate
-from jobweave.plans.discovery import candidates, discover, discover_cards, discover_with_contacts, jobs_of, source_label, unique_results
+from jobweave.plans.discovery import candidates, discover, discover_cards, discover_responses, discover_with_contacts, jobs_of, source_label, unique_results
 from jobweave.session import written
 
 VIEWS = ("v_search_results", "v_postings", "v_profiles", "v_places")
@@ -115,6 +115,18 @@ def profile_matches(view, spark, sf_dir):
         "profile_id", F.col("pos").cast("bigint").alias("pos"), "url", "source", "title", "required_text")
 
 
+@query(o.ctes(o.MATCHES, views=VIEWS) + "SELECT profile_id, pos, url, source, title FROM o_matches")
+def discovery_request(view, spark, sf_dir):
+    """S-01, S-05, P-01, N-01, J-02 and J-01 in a row: from raw responses and fetched texts to matches."""
+    item = F.struct("title", F.col("url").alias("link"))
+    responses = view("v_search_results").select("query_id", "source", F.col("rank").alias("first_rank"),
+                                                F.to_json(F.struct(F.array(item).alias("organic"))).alias("body"))
+    postings = view("v_postings")
+    texts = postings.select("url", "text")
+    found = discover_responses(view("v_profiles"), responses, texts, texts, view("v_places"), postings.select("url", "location"))
+    return found.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "url", "source", "title")
+
+
 @query(o.ctes(o.JOBS, o.PROFILES, views=VIEWS) + """, o_once AS (
   SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY url ORDER BY source_order, rank, query_id) AS o FROM o_jobs) WHERE o = 1),
 o_lists AS (

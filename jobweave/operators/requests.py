@@ -61,7 +61,7 @@ def draft_text(name: Column, company: Column, title: Column) -> Column:
 def job_cards(df: DataFrame) -> DataFrame:
     """P-12: one card per match.
 
-    Reads `company_found, url, source, job_title, team, required_text, reasoning_trace, confidence, contacts`.
+    Reads `company` (or else `company_found`), `url, source, job_title, team, required_text, reasoning_trace, confidence, contacts`.
     """
     trace = F.col("reasoning_trace")
     reason = F.concat(F.lit("Exp: "), F.coalesce(trace["experience_gate"], F.lit("")),
@@ -69,7 +69,7 @@ def job_cards(df: DataFrame) -> DataFrame:
     kept = [c for c in ("profile_id", "pos") if c in df.columns]
     return df.select(
         *kept, F.sha2("url", 256).alias("id"),
-        resolve_company(F.col("company_found"), F.col("url"), F.col("source")).alias("company"),
+        (F.col("company") if "company" in df.columns else resolve_company(F.col("company_found"), F.col("url"), F.col("source"))).alias("company"),
         F.col("job_title"), F.col("url"), F.col("url").alias("linkedin"), F.col("team"),
         F.col("required_text").alias("required_experience"), reason.alias("reason"),
         F.col("confidence"), F.col("contacts").alias("poc_profiles"))

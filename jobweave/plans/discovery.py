@@ -12,6 +12,7 @@ from jobweave.operators.matching import ANYWHERE, match, posting_facts, source_o
 from jobweave.operators.ordered import dedupe_first
 from jobweave.operators.requests import job_cards
 from jobweave.session import written
+from jobweave.sources.search import explode_results, resolve_text
 
 
 def unique_results(results: DataFrame) -> DataFrame:
@@ -48,6 +49,20 @@ def discover(profiles: DataFrame, results: DataFrame, postings: DataFrame, place
     return match(candidates(profiles, places), jobs_of(results, postings, places))
 
 
+def discover_responses(profiles: DataFrame, responses: DataFrame, primary: DataFrame, fallback: DataFrame, places: DataFrame,
+                       locations: DataFrame | None = None) -> DataFrame:
+    """The discovery request from raw tables: at most ten matches per profile.
+
+    `responses` has `query_id, source, first_rank, body`, a search response as it came; `primary` and `fallback` have the texts
+    that two ways of fetching gave for a `url`; `locations` may name a place for it.
+    """
+    found = explode_results(responses, "body").withColumn("rank", F.col("first_rank") + F.col("rank"))
+    results = unique_results(found.select("query_id", "source", "rank", "url", "title"))
+    texts = resolve_text(results.select("url").distinct(), primary, fallback)
+    texts = texts.join(locations, "url", "left") if locations is not None else texts.withColumn("location", F.lit(None).cast("string"))
+    return match(candidates(profiles, places), with_text(results, posting_facts(texts, places)))
+
+
 def discover_with_contacts(profiles: DataFrame, results: DataFrame, postings: DataFrame, places: DataFrame,
                            contacts: DataFrame) -> DataFrame:
     """Matches with their company and its contacts; matches are written once and read twice."""
