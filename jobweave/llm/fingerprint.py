@@ -137,8 +137,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     its own next; an empty table gives none; other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("n"), "text")
-    order = written(neighbours(rows.select("doc_id", "hash", "n")), "neighbours")
+    # both joins below read the same three columns by the same keys, so that Spark shuffles the texts once for the two
+    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    order = written(neighbours(rows.select("doc_id", "hash", F.length("text").alias("n"))), "neighbours")
 
     def same(a: DataFrame, b: DataFrame, id_b: str, hash_b: str) -> Column:
         return a["doc_id"].eqNullSafe(b[id_b]) & (a["hash"] == b[hash_b])
@@ -148,9 +149,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
              .groupBy("prev_id", "prev_hash").agg(F.max("gift").alias("gift")))
     on = order.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "next_id", "next_hash")
     joined = rows.join(gifts, same(rows, gifts, "prev_id", "prev_hash"))
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n") - F.floor(F.col("n") / 4).cast("int")), "gift")
+    n = F.length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), "gift")
     signed = written(joined.withColumn("edited", edited).select(
-        "doc_id", "hash", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "hash", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("sig"), fingerprint(F.col("edited")).alias("edited_sig")), "fingerprints")
     after = signed.dropDuplicates(["doc_id", "hash"]).select(F.col("doc_id").alias("n_id"), F.col("hash").alias("n_hash"), F.col("sig").alias("next_sig"))
     on = on.join(after, on["next_id"].eqNullSafe(after["n_id"]) & (on["next_hash"] == after["n_hash"]))
