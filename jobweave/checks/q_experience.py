@@ -1,4 +1,5 @@
 """Checks of resumes, experience totals and profile edits."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobweave import fixed
@@ -8,7 +9,7 @@ from jobweave.functions import experience_bucket
 from jobweave.operators.edits import apply_role_edits, apply_skill_edits
 from jobweave.operators.experience import bucket_histogram, experience_by_title, group_titles, total_experience
 from jobweave.operators.resume import distinct_roles, resume_roles, resume_sections, resume_skills
-from jobweave.plans.resume import parse_lines
+from jobweave.plans.resume import parse_lines, parse_profiles
 
 AS_OF = "2024-02-01"
 
@@ -116,6 +117,35 @@ def _month(x: str) -> str:
     return f"make_date(CAST(split_part({x}, '/', 2) AS INT), CAST(split_part({x}, '/', 1) AS INT), 1)"
 
 
+_SKILLS = """SELECT doc_id, skill, min(line_no) AS line_no FROM (
+SELECT doc_id, line_no, regexp_replace(trim(unnest(string_split(CASE WHEN heading IS NOT NULL THEN regexp_replace(text, '^[^:]*:?', '') ELSE text END, ','))), '\\.$', '') AS skill
+FROM o_sections WHERE section = 'skills') WHERE skill <> '' GROUP BY ALL"""
+
+_MONTHS = f"""o_months AS (
+  SELECT doc_id, title, CAST(round(sum({o.role_months('s', 'e')}) / 12, 2) AS DECIMAL(12,2)) AS years FROM (
+    SELECT doc_id, title, {_month('start_date')} AS s, CASE WHEN end_date = 'present' THEN DATE '{AS_OF}' ELSE {_month('end_date')} END AS e
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, company, title ORDER BY line_no) AS n FROM o_roles) WHERE n = 1)
+  GROUP BY doc_id, title)"""
+
+
+@query(o.ctes(_ROLES, views=("v_resume_lines",)) + f""", {_MONTHS}, o_skills AS ({_SKILLS}),
+o_people AS (SELECT DISTINCT doc_id FROM v_resume_lines),
+o_totals AS (SELECT doc_id, sum(years) AS t, string_agg(title || '=' || years, ';' ORDER BY title) AS titles FROM o_months GROUP BY doc_id),
+o_lists AS (SELECT doc_id, string_agg(skill, ';' ORDER BY skill) AS skills FROM o_skills GROUP BY doc_id)
+SELECT p.doc_id AS profile_id, CAST(coalesce(t, 0) AS DOUBLE) AS total_years, {o.bucket('coalesce(t, 0)')} AS bucket,
+       coalesce(titles, '') AS titles, coalesce(skills, '') AS skills
+FROM o_people p LEFT JOIN o_totals x ON p.doc_id = x.doc_id LEFT JOIN o_lists y ON p.doc_id = y.doc_id""")
+def parsed_profiles(view, spark, sf_dir):
+    """The whole resume request, from pages of seven lines."""
+    lines = view("v_resume_lines").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")))
+    pages = lines.groupBy("doc_id", F.floor(F.col("n") / 7).alias("page_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    titles = F.transform("titles", lambda t: F.concat(t["title"], F.lit("="), t["years"].cast("string")))
+    return parse_profiles(pages, AS_OF).select(
+        "profile_id", F.col("total_years").cast("double").alias("total_years"), "bucket",
+        F.array_join(titles, ";").alias("titles"), F.array_join(F.array_sort("skills"), ";").alias("skills"))
+
+
 @query(o.ctes(_ROLES, views=("v_resume_lines",)) + f""", o_months AS (
   SELECT doc_id, title, round(sum({o.role_months('s', 'e')}) / 12, 2) AS years FROM (
     SELECT doc_id, title, {_month('start_date')} AS s, CASE WHEN end_date = 'present' THEN DATE '{AS_OF}' ELSE {_month('end_date')} END AS e

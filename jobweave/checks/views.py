@@ -174,9 +174,16 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in wanted)
 
 
+_KNOWN: dict[str, str] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> None:
-    """Make the driver's tables known by name."""
+    """Make the driver's tables known by name; once for the same session and folder in a row."""
     configure(spark)
+    session = f"{spark.sparkContext.applicationId}/{id(spark)}"
+    if _KNOWN.get(session) == sf_dir:
+        return
+    _KNOWN[session] = sf_dir
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
