@@ -156,3 +156,16 @@ def test_gates(column):
     assert column(gate_location, [("India", "India"), (None, "India"), ("Spain", "India")], "a string, b string") == [True, True, False]
     assert column(gate_remote, [("WFH ok", True), ("Remoteness", True), (None, True), (None, False)], "t string, r boolean") == [
         True, False, False, True]
+
+
+def test_json_is_judged_like_a_strict_reader(column):
+    from jobweave.functions.output import is_json
+    good = ['{"a":1}', '{"a":1,"a":2}', "null", " null ", '"x"', "12", "[]", "{}", '{"a":[{"b":null}]}', '{"a":1}\n', '{"it\'s":"\\"\'"}']
+    bad = ['{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', "", "[1,2", '{"a":}', '{"a":1]', "x", "]", "],[", "1]", "{a:1}", "{'a':1}", "[1,]", "01", "1 2", None]
+    assert column(is_json, [(t,) for t in good + bad], "t string") == [True] * len(good) + [False] * len(bad)
+
+
+def test_more_date_layouts(column):
+    texts = ["01-2020", "Jan-2020", "Jan. 2020", "01.2020", "15/01/2020"]
+    got = column(lambda t: fn.parse_role_date(t, "2025-03-15"), [(t,) for t in texts], "t string")
+    assert [(d.year, d.month) for d in got] == [(2020, 1)] * len(texts)
