@@ -31,6 +31,10 @@ DEFAULT_LIMIT = 1000
 STOP_SHARE = 0.6
 ALERT_PERCENT = 60
 
+# Wording of an alert, and the head of a day's report.
+ALERT_TEXT = "> [!WARNING]\n> **%s** usage: %d/%d (%.1f%%). Limit alert triggered!"
+REPORT_HEAD = "# API Usage Alerts - "
+
 # Result sizes and text lengths.
 MAX_MATCHES = 10
 MAX_SNIPPETS = 10

@@ -26,8 +26,7 @@ def usage_alerts(usage: DataFrame, limits: dict[str, int] = fixed.DAILY_LIMITS,
                  percent: float = fixed.ALERT_PERCENT) -> DataFrame:
     """A-06: known services at or above the alert percentage, with the alert text."""
     share = F.col("used") / F.col("limit") * 100
-    text = F.format_string("> [!WARNING]\n> **%s** usage: %d/%d (%.1f%%). Limit alert triggered!",
-                           F.upper("service"), F.col("used"), F.col("limit"), F.col("percent"))
+    text = F.format_string(fixed.ALERT_TEXT, F.upper("service"), F.col("used"), F.col("limit"), F.col("percent"))
     known = usage.filter(F.col("service").isin(*limits)).withColumn("limit", _limit(limits, 1))
     return known.withColumn("percent", share).filter(F.col("percent") >= percent).withColumn("alert", text)
 
@@ -37,7 +36,7 @@ def alert_report(alerts: DataFrame, limits: dict[str, int] = fixed.DAILY_LIMITS)
     place = F.array_position(F.array(*map(F.lit, limits)), F.col("service"))
     ordered = F.array_sort(F.collect_list(F.struct(place.alias("place"), "alert")))
     body = F.array_join(F.transform(ordered, lambda a: a["alert"]), "\n\n")
-    head = F.concat(F.lit("# API Usage Alerts - "), F.col("day").cast("string"), F.lit("\n\n"))
+    head = F.concat(F.lit(fixed.REPORT_HEAD), F.col("day").cast("string"), F.lit("\n\n"))
     return alerts.groupBy("day").agg(body.alias("body")).select("day", F.concat(head, "body").alias("report"))
 
 
