@@ -14,6 +14,10 @@ from jobweave.session import written
 
 # Bytes of a repeated string, and of the anchors: short strings that both copies of a repeated one choose alike.
 LENGTH, ANCHOR = 200, 32
+# Lengths to which an anchor is extended on either side, to see how far any other occurrence can agree.
+LEVELS = (6, 24, 84, 144, LENGTH - ANCHOR)
+# Bytes of text that a task works on at once: its arrays are a hundred times as large.
+PIECE = 256 << 10
 
 _SECOND = 0xD6E8FEB86659FD93
 _SECOND_SYMBOLS = mix(np.arange(1001, 1257, dtype=np.uint64))
@@ -54,7 +58,7 @@ class Runs:
         self.data, self.at = data, at
         self.prefix, self.back = prefix_hashes(data), inverse_powers(len(data) + 1)
         empty = np.zeros(0, np.int64)
-        self.row = self.low = self.high = self.number = empty
+        self.row = self.low = self.high = self.number = self.place = empty
         self.anchor = self.content = empty.view(np.uint64)
         if len(data) < LENGTH:
             return
@@ -70,8 +74,9 @@ class Runs:
         cut = np.flatnonzero(first)
         self.row, self.low, self.high = row[cut], starts[cut], np.append(starts[cut[1:] - 1], starts[-1])
         self.number = np.arange(len(cut)) - np.searchsorted(self.row, self.row)
-        self.anchor = value[anchor[self.low]]
-        place = (anchor[self.low] - self.low).astype(np.uint64)
+        self.place = anchor[self.low]
+        self.anchor = value[self.place]
+        place = (self.place - self.low).astype(np.uint64)
         end = self.high + LENGTH
         self.content = mix(stretch_hashes(self.prefix, self.back, self.low, end) + mix((end - self.low).astype(np.uint64) << np.uint64(20) | place))
 
@@ -177,10 +182,41 @@ def _chosen(rows: pa.RecordBatch, runs: Runs, states: tuple[int, ...]) -> np.nda
     return np.unique(place[ok])
 
 
-def _starts(runs: Runs, places: np.ndarray) -> np.ndarray:
-    """All starts of the runs at the places."""
-    low, size = runs.low[places], runs.high[places] - runs.low[places] + 1
-    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+def _extensions(texts: DataFrame) -> DataFrame:
+    """Rows (h, doc_id, key, number, side, level): hashes of the anchors of runs that are to be compared, with LEVELS more bytes."""
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in pieces(batches, most=PIECE):
+            r = Runs(data, at)
+            places = _chosen(rows, r, (SINGLE, SHARED))
+            out = []
+            for side in (0, 1):
+                for level, n in enumerate(LEVELS):
+                    low, high = (r.place - n, r.place + ANCHOR) if side == 0 else (r.place, r.place + ANCHOR + n)
+                    ok = places[(low[places] >= at[r.row[places]]) & (high[places] <= at[r.row[places] + 1])]
+                    h = mix(stretch_hashes(r.prefix, r.back, low[ok], high[ok]) + np.uint64(1 + side * len(LEVELS) + level))
+                    out.append((ok, h, np.full(len(ok), side), np.full(len(ok), level)))
+            ok, h, side, level = (np.concatenate([x[i] for x in out]) for i in range(4))
+            row = pa.array(r.row[ok])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), rows.column("doc_id").take(row), rows.column("key").take(row), pa.array(r.number[ok].astype(np.int32)),
+                 pa.array(side.astype(np.int8)), pa.array(level.astype(np.int8))], ["h", "doc_id", "key", "number", "side", "level"])
+
+    return texts.mapInArrow(run, f"h long, doc_id {kind}, key long, number int, side byte, level byte")
+
+
+def _starts(rows: pa.RecordBatch, runs: Runs) -> np.ndarray:
+    """Starts of the runs in the column `limits` (number, left, right) that reach no further than these from their anchor."""
+    lists = rows.column("limits")
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    number, left, right = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+    place = np.searchsorted(runs.row, row) + number
+    low = np.maximum(runs.low[place], runs.place[place] - left)
+    high = np.minimum(runs.high[place], runs.place[place] + ANCHOR + right - LENGTH)
+    size = np.maximum(high - low + 1, 0)
+    return np.sort(np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum()))
 
 
 def find_runs(docs: DataFrame) -> DataFrame:
@@ -188,7 +224,7 @@ def find_runs(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in pieces(batches, most=2 << 20):
+        for rows, data, at in pieces(batches, most=PIECE):
             r = Runs(data, at)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").take(pa.array(r.row)), pa.array(r.anchor.view(np.int64)), pa.array(r.content.view(np.int64)),
@@ -202,9 +238,9 @@ def _windows(texts: DataFrame, counted: bool) -> DataFrame:
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in pieces(batches, most=2 << 20):
+        for rows, data, at in pieces(batches, most=PIECE):
             r = Runs(data, at)
-            starts = _starts(r, _chosen(rows, r, (SINGLE, SHARED)))
+            starts = _starts(rows, r)
             if counted:
                 starts, n = Suffixes(data, r.prefix, r.back).classes(starts) if len(starts) else (starts, starts)
                 h1, h2 = _window_hashes(data, r, starts)
@@ -235,9 +271,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Every string belongs to a run of neighbouring starts with a common anchor (see `Runs`), one run for some 80 bytes.
     1. Anchors that occur once are done: their strings are unique. Counts and least and greatest content hash of each
        anchor come from one aggregation with sums per task.
-    2. Runs whose whole content occurs again are removed whole. Where an anchor has different contents, each different one
-       is cut into its single strings: tasks sort these as suffixes (`Suffixes`), so that equal ones become one row with
-       a number, and the numbers meet by a 128-bit hash.
+    2. Runs whose whole content occurs again are removed whole. Where an anchor has different contents, hashes of the anchor
+       extended to some lengths on either side tell how far any other occurrence can agree. Only strings within that
+       reach are left: tasks sort these as suffixes (`Suffixes`), so that equal ones become one row with a number, and the
+       numbers meet by a 128-bit hash.
     3. Texts that have any such run travel once to their runs, and once to the strings found.
 
     The result is exact but for collisions of hashes: 64 bits among runs of one anchor, 128 among strings. Strings are judged
@@ -264,12 +301,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = written(joined.select("doc_id", "runs", F.when(some, F.xxhash64("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"),
                                   F.when(~some, F.sha2("text", 256)).alias("sha"), F.when(some, F.col("text")).alias("text")), "texts")
     open_texts = texts.where(F.exists("runs", lambda r: r["state"].isin(SINGLE, SHARED)))
+    shared = _extensions(open_texts)
+    agreed = shared.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    beyond = F.array(*map(F.lit, [n - 1 for n in LEVELS] + [LEVELS[-1]]))  # less than the first length that nobody shares
+
+    def reach(side: int) -> Column:
+        return F.element_at(beyond, F.coalesce(F.max(F.when(F.col("side") == side, F.col("level").cast("int"))), F.lit(-1)) + 2)
+
+    limits = (shared.join(agreed, "h").groupBy("doc_id", "key", "number").agg(reach(0).alias("left"), reach(1).alias("right"))
+              .where(F.col("left") + F.col("right") >= LENGTH - ANCHOR)
+              .groupBy("doc_id", "key").agg(F.collect_list(F.struct("number", "left", "right")).alias("limits"))
+              .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "limits"))
+    open_texts = open_texts.select("doc_id", "key", "text")
+    open_texts = written(open_texts.join(limits, _null_safe(open_texts, limits, "doc_id", "_id") & _null_safe(open_texts, limits, "key", "_key"))
+                         .select("doc_id", "key", "text", "limits"), "open-texts")
     twice = written(_windows(open_texts, True).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"), "strings")
     places = (_windows(open_texts, False).join(twice, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
               .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in pieces(batches, most=2 << 20):
+        for rows, data, at in pieces(batches, most=PIECE):
             r = Runs(data, at)
             change = np.zeros(len(data) + 1, np.int64)
             whole = _chosen(rows, r, (WHOLE, SHARED))
