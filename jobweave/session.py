@@ -13,6 +13,8 @@ ADAPTIVE = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Turn on adaptive execution with skew handling; dates are read in UTC."""
@@ -42,6 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage: a lost executor costs a re-read, not a new run of what came before.
     """
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, spark = work_folder(df.sparkSession, name), df.sparkSession
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")  # once the rows are written, their shuffle files only take disk
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
