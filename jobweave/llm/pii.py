@@ -110,12 +110,12 @@ def disclosing_terms(docs: DataFrame, share: float, least: int) -> DataFrame:
 
     An entity is the value of a base span. With N lines in the corpus, n(e) lines with e, n(t) with t and n(e, t) with both,
     a term discloses the share log(N n(e,t) / (n(e) n(t))) / log(N / n(e)) of what the entity itself tells. Pairs count from
-    `share` up if they stand in at least `least` different lines; copies of an entity's line count once.
+    `share` up if they stand in at least `least` lines. All four counts are over the same lines: copies count as often as they stand.
     """
     held = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     terms = F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("terms")
     marked = held.where(F.col("line").rlike("@|[0-9]{2}|[0-9][.]"))  # no base kind does without
-    lines = (marked.select("line", base_spans(F.col("line")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["line"])
+    lines = (marked.select("line", base_spans(F.col("line")).alias("spans")).where(F.size("spans") > 0)
              .select(F.array_distinct(F.transform("spans", lambda s: s["value"])).alias("entities"), terms))
     entities = written(lines.select(F.explode("entities").alias("entity"), "terms"), "entities")
     often = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least)

@@ -414,3 +414,12 @@ def test_disclosing_terms_and_sanitised_texts(spark):
                 text += r["text"][at:s["begin"]] + pii.TAGS[s["kind"]]
                 at = s["end"]
         assert r["clean"] == text + r["text"][at:]
+
+
+def test_copied_documents_keep_their_disclosing_terms(spark):
+    texts = [f"Zorblax writes from z@corp.example number {'abc'[k]}" for k in range(3)] * 50
+    texts += [f"others go their own way {'abcdefghij'[k % 10]}" for k in range(850)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in pii.find_personal_data(df).collect():
+        values = {s["value"] for s in r["all_spans"]}
+        assert {"z@corp.example", "Zorblax"} <= values if r["doc_id"] < 150 else not values
