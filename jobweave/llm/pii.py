@@ -19,6 +19,9 @@ TERM = "term"
 # What a span is generalised to.
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[TERM]"}
 
+# What the search for spans starts from.
+MARKED = "@|[0-9]{2}|[0-9][.]"
+
 # A term: a run of letters, with marks, apostrophes and hyphens inside.
 WORD = r"\p{L}[\p{L}\p{M}'-]{2,}+"
 SPAN = "struct<kind:string,begin:int,end:int,value:string>"
@@ -105,30 +108,52 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(spans_of(text, k) for k in PATTERNS))
 
 
-def disclosing_terms(docs: DataFrame, share: float, least: int) -> DataFrame:
-    """(entity, term): terms whose lines give away an entity, by pointwise mutual information over all lines.
+def _values(text: Column) -> Column:
+    """The different values of a text's base spans."""
+    return F.array_distinct(F.transform(base_spans(text), lambda s: s["value"]))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text that hold more than white space."""
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
 
-    An entity is the value of a base span. With N lines in the corpus, n(e) lines with e, n(t) with t and n(e, t) with both,
-    a term discloses the share log(N n(e,t) / (n(e) n(t))) / log(N / n(e)) of what the entity itself tells. Pairs count from
-    `share` up if they stand in at least `least` lines. All four counts are over the same lines: copies count as often as they stand.
+def lines_near_entities(docs: DataFrame) -> DataFrame:
+    """(entities, terms) of each line that is near an entity: it or a neighbouring line has it; blank lines part no neighbours."""
+    nothing = F.array().cast("array<string>")
+    own = F.transform("lines", lambda line: F.when(line.rlike(MARKED), _values(line)).otherwise(nothing))
+    marked = docs.where(F.col("text").rlike(MARKED)).select(_lines(F.col("text")).alias("lines")).select("lines", own.alias("own"))
+    near = marked.where(F.exists("own", lambda values: F.size(values) > 0)).withColumns({
+        "before": F.concat(F.array(nothing), F.slice("own", F.lit(1), F.size("own") - 1)), "after": F.concat(F.slice("own", F.lit(2), F.size("own")), F.array(nothing))})
+    line = near.select(F.explode(F.arrays_zip("lines", "own", "before", "after")).alias("x")).select(
+        F.col("x.lines").alias("line"), F.array_distinct(F.concat("x.own", "x.before", "x.after")).alias("entities"))
+    return line.where(F.size("entities") > 0).select("entities", _terms(F.col("line")).alias("terms"))
+
+
+def disclosing_terms(docs: DataFrame, share: float) -> DataFrame:
+    """(entity, term): terms that give away an entity, by smoothed pointwise mutual information over all lines.
+
+    An entity is the value of a base span, however seldom it stands. A line is near it if it or a neighbouring line has it (see
+    `lines_near_entities`). All four counts are over the same lines: those of all texts that are not blank; copies count as
+    often as they stand. With N lines, n(e) near e, n(t) with t and n(e, t) with t near e, a term discloses the share
+    log(N n(e,t) / (n(e) n(t))) / log(N / n(e)) of what the entity itself tells, and counts from `share` up. Half a line is
+    added to each of the four cells (with and without t, near e or not), as counts of one or two are uncertain.
     """
-    held = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    terms = F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("terms")
-    marked = held.where(F.col("line").rlike("@|[0-9]{2}|[0-9][.]"))  # no base kind does without
-    lines = (marked.select("line", base_spans(F.col("line")).alias("spans")).where(F.size("spans") > 0)
-             .select(F.array_distinct(F.transform("spans", lambda s: s["value"])).alias("entities"), terms))
-    entities = written(lines.select(F.explode("entities").alias("entity"), "terms"), "entities")
-    often = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least)
-    joint = written(entities.join(often, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-                    .groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= least), "joint")
-    wanted = written(joint.select("term").distinct(), "terms")
-    n_term = held.select(F.explode(terms).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(held.count())
-    told = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return joint.join(n_term, "term").where((F.col("n_e") < n) & (told >= share * F.log(n / F.col("n_e")))).select("entity", "term")
-
-
-def find_personal_data(docs: DataFrame, share: float = 0.8, least: int = 3) -> DataFrame:
+    lines = docs.where("text is not null").select(_lines(F.col("text")).alias("lines"))
+    near = written(lines_near_entities(docs), "near").select(F.explode("entities").alias("entity"), "terms")
+    n_entity = near.groupBy("entity").agg(F.count("*").alias("n_e"))
+    joint = near.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    n_term = lines.select(F.explode("lines").alias("line")).select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n = F.lit(lines.agg(F.sum(F.size("lines").cast("long"))).first()[0] or 0)
+    told = F.log((n + 2) * (F.col("n_et") + 0.5) / ((F.col("n_e") + 1) * (F.col("n_t") + 1)))
+    return joint.join(n_entity, "entity").join(n_term, "term").where((F.col("n_e") < n) & (told >= share * F.log((n + 2) / (F.col("n_e") + 1)))).select("entity", "term")
+
+
+def find_personal_data(docs: DataFrame, share: float = 0.8) -> DataFrame:
     """Rows of `docs` with base_spans and all_spans: arrays of (kind, begin, end, value) by kind, then begin.
 
     Base spans match the kinds' patterns and conditions. The method's spans (kind `term`) are words of a text that disclose
@@ -137,18 +162,27 @@ def find_personal_data(docs: DataFrame, share: float = 0.8, least: int = 3) -> D
     none; columns with the names of results are replaced. All expressions run in the JVM.
     """
     docs = docs.drop("base_spans", "all_spans", "_hash", "_terms")
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    pairs = written(disclosing_terms(docs, share, least), "disclosing")
-    values = (hashed.where(F.col("text").rlike("@|[0-9]{2}|[0-9][.]")).select("doc_id", "_hash", F.explode(base_spans(F.col("text"))).alias("s"))
-              .select("doc_id", "_hash", F.col("s.value").alias("entity")).distinct())
-    told = written(values.join(pairs, "entity").groupBy("doc_id", "_hash").agg(F.collect_set("term").alias("_terms")), "told")
-    told = told.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_terms")
-    rows = hashed.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    rows = rows.withColumn("base_spans", base_spans(F.col("text")))
-    own = spans_of(F.col("text"), TERM, lambda value: F.array_contains("_terms", value))
+    text, key = F.col("text"), ["doc_id", "_hash"]
+    holds = text.rlike(MARKED) & (F.size(base_spans(text)) > 0)
+    marked = docs.where(holds).withColumn("_hash", F.xxhash64("text"))
+    pairs = written(disclosing_terms(docs, share), "disclosing")
+    held = written(marked.select(*key, _values(text).alias("entities"), _terms(text).alias("terms")).dropDuplicates(key), "held")
+
+    def same(other: DataFrame, one: DataFrame) -> Column:
+        return one["doc_id"].eqNullSafe(other["_id"]) & (one["_hash"] == other["_h"])
+
+    # By term first: a term discloses few entities, while an entity in many texts may have many terms.
+    near = held.select(*key, F.explode("terms").alias("term")).join(pairs, "term")
+    values = held.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.explode("entities").alias("_entity"))
+    told = near.join(values, same(values, near) & (near["entity"] == values["_entity"]), "left_semi").groupBy(*key).agg(F.collect_set("term").alias("_terms"))
+    told = written(told.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_terms"), "told")
+    rows = marked.join(told, same(told, marked), "left").withColumn("base_spans", base_spans(text))
+    own = spans_of(text, TERM, lambda value: F.array_contains("_terms", value))
     outside = F.filter(own, lambda t: ~F.exists("base_spans", lambda s: (s["begin"] < t["end"]) & (t["begin"] < s["end"])))
-    return rows.withColumn("all_spans", F.when(F.col("_terms").isNull(), F.col("base_spans")).otherwise(F.concat("base_spans", outside))).drop(
+    rows = rows.withColumn("all_spans", F.when(F.col("_terms").isNull(), F.col("base_spans")).otherwise(F.concat("base_spans", outside))).drop(
         "_hash", "_id", "_h", "_terms")
+    # Texts without spans, by far the most, take no part in the join.
+    return docs.where(~F.coalesce(holds, F.lit(False))).withColumns({"base_spans": _none(), "all_spans": _none()}).unionByName(rows)
 
 
 def number(spans: Column, kind: str) -> Column:

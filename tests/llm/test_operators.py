@@ -423,3 +423,14 @@ def test_copied_documents_keep_their_disclosing_terms(spark):
     for r in pii.find_personal_data(df).collect():
         values = {s["value"] for s in r["all_spans"]}
         assert {"z@corp.example", "Zorblax"} <= values if r["doc_id"] < 150 else not values
+
+
+def test_terms_of_rare_entities_and_neighbouring_lines(spark):
+    texts = ["common words Ysolde Quennell q@corp.example common words", "common words\nOrsolya Vantongeren\n \nv@corp.example\ncommon words\nfar away Tamsin",
+             "common words +49 30 1234567 Wendeline", "common +49 30 1234567 words", "Ysolde Quennell elsewhere"] + ["common words far away elsewhere"] * 400
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, None)], "doc_id long, text string").repartition(3)
+    found = [(r["text"], {s["value"] for s in r["all_spans"] if s["kind"] == pii.TERM}) for r in pii.find_personal_data(df).collect()]
+    assert len(found) == len(texts) + 2
+    want = {texts[0]: {"Ysolde", "Quennell"}, texts[1]: {"Orsolya", "Vantongeren"}, texts[2]: {"Wendeline"}}
+    for text, terms in found:
+        assert terms == want.get(text, set()), text
