@@ -19,8 +19,8 @@ TERM = "term"
 # What a span is generalised to.
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[TERM]"}
 
-# What the search for spans starts from.
-MARKED = "@|[0-9]{2}|[0-9][.]"
+# No base kind does without: an address has an @, a phone a digit after its plus, the others two digits with at most one sign between.
+MARKED = r"@|[0-9][\x20.-]?[0-9]|\+[0-9]"
 
 # A term: a run of letters, with marks, apostrophes and hyphens inside.
 WORD = r"\p{L}[\p{L}\p{M}'-]{2,}+"

@@ -434,3 +434,11 @@ def test_terms_of_rare_entities_and_neighbouring_lines(spark):
     want = {texts[0]: {"Ysolde", "Quennell"}, texts[1]: {"Orsolya", "Vantongeren"}, texts[2]: {"Wendeline"}}
     for text, terms in found:
         assert terms == want.get(text, set()), text
+
+
+def test_values_without_adjacent_digits_disclose_terms(spark):
+    values = ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "+4 9 1 5 1 2 3 4", "+1(2)3(4)5(6)7(8)9"]
+    texts = [f"Wendeline{'abcd'[i]} has {v} here" for i, v in enumerate(values)] + ["nobody has anything here"] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: [s["value"] for s in r["all_spans"]] for r in pii.find_personal_data(df).collect()}
+    assert all(found[i] == [v, f"Wendeline{'abcd'[i]}"] for i, v in enumerate(values)) and not any(found[i] for i in range(4, len(texts)))
