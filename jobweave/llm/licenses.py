@@ -76,8 +76,8 @@ def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
     (paragraphs: what blank lines part): a block gets a template's label if it holds at least `share` of the template's
     distinct words (all of them if they are few). Found exactly, without comparing all pairs: the template words are put in order of their frequency in
     the whole corpus, rarest first; a block can only qualify if it holds one of the first n - ceil(share n) + 1 words of a
-    template of n words (prefix), has enough distinct words (length), and the words from its first prefix word on can
-    still suffice (position). Candidates are counted in full. score is the largest share held by any block that
+    template of n words (prefix) and has enough distinct words (length). Position prunes nothing: the condition on a prefix
+    word's place always holds, and the block's words are not ordered. Candidates are counted in full. score is the largest share held by any block that
     qualifies, 1 if there is only a base label, else 0.
 
     Only the templates' few words are counted over the corpus, summed per task. Null and empty texts have no words and no
