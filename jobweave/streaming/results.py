@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobweave.functions import py_strip
 from jobweave.operators.matching import PROFILE_CLASS, class_matches
+from jobweave.operators.ordered import dedupe_first
 
 CLOSE = "event: close"
 
@@ -76,16 +77,24 @@ def stream_cut(lines: DataFrame, folder: str) -> StreamingQuery:
 def stream_matches(profiles: DataFrame, jobs: DataFrame, folder: str, k: int = 10) -> StreamingQuery:
     """W-05: matches as postings arrive, at most k per profile over the whole stream.
 
-    The state is the number of matches per class of profiles, so its size follows the distinct facts.
+    The state is the number of matches per class of profiles, so its size follows the distinct facts, and every (query, URL)
+    that has arrived: the first arrival counts, later ones take no place.
     A batch fills each class up to k in its order of arrival; new matches go to `folder`/matches,
     one row per class, to be joined with the profiles by `matches_of`.
     """
+    address = ", ".join(f"{c} {jobs.schema[c].dataType.simpleString()}" for c in ("query_id", "url"))
     state = ", ".join(f"{c} {profiles.schema[c].dataType.simpleString()}" for c in PROFILE_CLASS) + ", found bigint"
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         found = _previous(spark, f"{folder}/state", n, state)
-        picked = (class_matches(profiles, batch, k).join(found, PROFILE_CLASS, "left")
+        first = dedupe_first(batch, ["query_id", "url"], ["source_order", "rank"])
+        if n > 0:
+            seen = spark.read.schema(address + ", batch bigint").parquet(f"{folder}/seen").filter(F.col("batch") < n)
+            seen = seen.select(F.col("query_id").alias("_query"), F.col("url").alias("_url"))
+            first = first.join(seen, F.col("query_id").eqNullSafe(F.col("_query")) & F.col("url").eqNullSafe(F.col("_url")), "left_anti")
+        first.select("query_id", "url").write.mode("overwrite").parquet(f"{folder}/seen/batch={n}")
+        picked = (class_matches(profiles, first, k).join(found, PROFILE_CLASS, "left")
                   .withColumn("pos", F.col("pos") + F.coalesce("found", F.lit(0))).filter(F.col("pos") <= k).drop("found"))
         picked.write.mode("overwrite").parquet(f"{folder}/matches/batch={n}")
         new = spark.read.parquet(f"{folder}/matches/batch={n}").groupBy(*PROFILE_CLASS).agg(F.count("*").alias("found"))

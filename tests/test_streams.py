@@ -32,6 +32,15 @@ def test_matches_fill_up_over_batches(spark, tmp_path):
     assert results.matches_of(pdf, folder).count() == len(got)
 
 
+def test_a_url_that_arrives_again_takes_no_second_place(spark, tmp_path):
+    profiles = spark.createDataFrame([(1, 7, 5, "A", False)], P_SCHEMA)
+    urls = ["a", "a", "b", "c", "b", "a", "d", "c", "e", "f", "g", "h", "i", "j", "k", "l"]
+    jobs = spark.createDataFrame([(7, 0, i, u, False, False, None, "A", False, True) for i, u in enumerate(urls)], J_SCHEMA)
+    results.stream_matches(profiles, _arrive(spark, jobs, str(tmp_path / "in"), ["rank"]), str(tmp_path / "run")).awaitTermination()
+    got = sorted((r.pos, r.url) for r in results.matches_of(profiles, str(tmp_path / "run")).collect())
+    assert got == list(enumerate("abcdefghij", 1))
+
+
 def test_quota_over_batches(spark, tmp_path):
     rng, t0 = random.Random(9), datetime.datetime(2024, 1, 1)
     calls = [(i, t0 + datetime.timedelta(minutes=5 * i), rng.choice("aab"), rng.random() < 0.8) for i in range(600)]
