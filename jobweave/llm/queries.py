@@ -7,9 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import fingerprint, language, licenses, mixing, neardup, packing, pii, quality, suffix, tokens
+from jobweave.llm import chat, fim, fingerprint, language, licenses, mixing, neardup, packing, pii, quality, suffix, tokens, vectors
 from jobweave.llm.text import documents
-from jobweave.session import use_local_folder
+from jobweave.session import configure, use_local_folder
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -17,7 +17,7 @@ LLM_ORACLE: dict[str, str] = {}
 
 def _query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(use_local_folder(spark), sf_dir)
+        return fn(configure(use_local_folder(spark)), sf_dir)
 
     LLM_QUERIES[fn.__name__] = run
     return fn
@@ -99,3 +99,35 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(pii.number(F.col("base_spans"), k).alias(f"n_{k}") for k in pii.PATTERNS),
         F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"))
+
+
+@_query
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one whose texts look like marks, read back from the formatted text."""
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.TRAP).alias("text"))
+    return chat.chat_report(turns.unionByName(trap))
+
+
+LLM_ORACLE["op11_chat_formatting"] = chat.ORACLE
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, form and digests of every document, and of its text rebuilt from the output."""
+    cut = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+LLM_ORACLE["op12_fill_in_middle"] = fim.ORACLE
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    return vectors.code_report(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
+LLM_ORACLE["op13_vector_codes"] = vectors.oracle()

@@ -1,4 +1,6 @@
 """Plain versions of the operators, for small tables."""
+import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -96,3 +98,61 @@ def pieces_by_document(rows):
     for r in rows:
         out[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]))
     return out
+
+
+def escaped(text):
+    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+
+
+def chats(rows):
+    """{conv_id: (turns, formatted, text of assistants)} of rows (conv_id, turn, role, text)."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        out[conv].append(((turn is not None, turn or 0), (role is not None, role or ""), escaped(text or ""), role or "", text or ""))
+    result = {}
+    for conv, own in out.items():
+        own.sort()
+        line = "".join("<|im_start|>" + escaped(r).replace("\n", "\\n") + "\n" + t + "<|im_end|>\n" for _, _, t, r, _ in own)
+        result[conv] = [(r, t) for *_, r, t in own], line, "".join(t for *_, r, t in own if r == "assistant")
+    return result
+
+
+def fill_in_middle(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)"""
+    text = text or ""
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h, n = [int(digest[8 * i:8 * i + 8], 16) for i in range(4)], len(text)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    if h[3] % 100 < 20:
+        return n, "spm", a, b - a, f"<S>{text[b:]}<P>{text[:a]}<M>{text[a:b]}"
+    return n, "psm", a, b - a, f"<P>{text[:a]}<S>{text[b:]}<M>{text[a:b]}"
+
+
+def vector_codes(rows, parts=4, entries=256, rounds=4):
+    """(rows of (id, label, code, error), codebooks) of rows (id, vector, label), by all distances in every round."""
+    kept = [(i, [math.floor(1024 * x) for x in v], label) for i, v, label in rows
+            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = -(-max((len(v) for _, v, _ in kept), default=0) // parts) * parts
+    kept = [(i, v + [0] * (width - len(v)), label) for i, v, label in kept]
+    per = width // parts
+    seeds = {}
+    for i, v, _ in sorted(kept, key=lambda r: ((r[0] is None, r[0] or 0), r[1])):
+        seeds.setdefault(i, v)
+    books = [[v[p * per:(p + 1) * per] for v in list(seeds.values())[:entries]] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), j) for j, e in enumerate(book))
+
+    for n in range(rounds + 1):
+        got = [[nearest(v[p * per:(p + 1) * per], books[p]) for p in range(parts)] for _, v, _ in kept]
+        if n == rounds:
+            break
+        for p in range(parts):
+            own = defaultdict(list)
+            for (_, v, _), near in zip(kept, got):
+                own[near[p][1]].append(v[p * per:(p + 1) * per])
+            for j, xs in own.items():
+                books[p][j] = [sum(c) // len(xs) for c in zip(*xs)]
+    return [(i, label, "".join(f"{j:02x}" for _, j in near), sum(d for d, _ in near)) for (i, _, label), near in zip(kept, got)], books
