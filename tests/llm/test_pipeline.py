@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -80,6 +81,17 @@ def test_run_is_the_stages_in_a_row(spark, folder):
     assert rows and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
 
 
+def test_stages_carry_columns_of_any_name(spark, folder):
+    names = ["n_words", "kept", "_hash", "_id", "_h", "_terms", "all_spans", "base_spans", "_copies", "_copy", "_source", "taken", "size", "hash", "key", "ids", "a b", "TEXT2"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is null or doc_id < 1020").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in names)
+    assert corpus_pipeline.packing_stage(spark, docs, folder).count() > 0
+
+
 def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
