@@ -110,7 +110,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         held = None
-        for rows, data, at in pieces(batches, "ids", 16 << 20):
+        for rows, data, at in pieces(batches, "ids", 4 << 20):
             ids, at = data.view("<u2") if len(data) else np.zeros(0, np.uint16), at // 2
             doc_id, start, total = rows.column("doc_id"), np.zeros(len(at) - 1, np.int64), np.diff(at)
             if held:

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text that a Python task handles at once; one longer document is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 # The six characters that part words.
 SPACES = b" \t\n\x0b\x0c\r"
