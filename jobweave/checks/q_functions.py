@@ -50,11 +50,15 @@ def truncated_texts(view, spark, sf_dir):
     return view("documents").select("doc_id", kept.alias("kept"), truncate(kept, fixed.EVALUATION_CHARS).alias("evaluated"))
 
 
-@query(o.ctes(views=("v_date_texts",)) + f"""SELECT role_id, date_text, CAST(CASE role_id % 9
+@query(o.ctes(views=("v_date_texts",)) + f"""SELECT role_id, date_text, CAST(CASE role_id % 24
 WHEN 3 THEN make_date(year(d), 1, 1) WHEN 4 THEN DATE '{AS_OF}' WHEN 6 THEN DATE '{AS_OF}' WHEN 7 THEN DATE '{AS_OF}'
+WHEN 10 THEN d WHEN 11 THEN make_date(year(d), month(d), 3) WHEN 12 THEN make_date(2000, month(d), 1)
+WHEN 13 THEN CASE WHEN year(d) % 100 > 31 THEN date_trunc('month', d) WHEN year(d) % 100 = 0 THEN DATE '{AS_OF}' ELSE make_date(2000, month(d), year(d) % 100) END WHEN 14 THEN d WHEN 15 THEN d
+WHEN 17 THEN CASE WHEN day(d) > 12 THEN d ELSE make_date(year(d), day(d), month(d)) END WHEN 18 THEN make_date(2000, 1, month(d))
+WHEN 19 THEN d WHEN 20 THEN d WHEN 22 THEN d WHEN 23 THEN DATE '{AS_OF}'
 ELSE date_trunc('month', d) END AS DATE)::VARCHAR AS role_date FROM v_date_texts""")
 def role_dates(view, spark, sf_dir):
-    """F-07"""
+    """F-07: two dozen layouts, and texts that are no dates."""
     return view("v_date_texts").select("role_id", "date_text",
                                        parse_role_date(F.col("date_text"), AS_OF).cast("string").alias("role_date"))
 

@@ -58,12 +58,16 @@ BUCKETS = [
 OPEN_END_WORDS = ["present", "current", "now", "null"]
 OPEN_END_CUTS = ["present", "current"]
 
-# Date layouts tried in this order.
-DATE_LAYOUTS = [
-    "M/yyyy", "MMM yyyy", "MMMM yyyy", "yyyy-M", "yyyy/M", "yyyy", "yyyy-M-d", "M/d/yyyy",
-    "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM, yyyy", "MMMM, yyyy",
-    "M-yyyy", "M.yyyy", "MMM-yyyy", "MMMM-yyyy", "MMM. yyyy", "MMM.yyyy", "d/M/yyyy", "d.M.yyyy",
+# Names of months and weekdays, and words that may stand in a date without a meaning.
+MONTH_NAMES = [
+    ("jan", "january"), ("feb", "february"), ("mar", "march"), ("apr", "april"), ("may",), ("jun", "june"),
+    ("jul", "july"), ("aug", "august"), ("sep", "sept", "september"), ("oct", "october"), ("nov", "november"), ("dec", "december"),
 ]
+WEEKDAY_NAMES = [
+    ("mon", "monday"), ("tue", "tuesday"), ("wed", "wednesday"), ("thu", "thursday"), ("fri", "friday"),
+    ("sat", "saturday"), ("sun", "sunday"),
+]
+DATE_FILLERS = ["at", "on", "and", "ad", "m", "t", "of", "st", "nd", "rd", "th"]
 
 # Whitespace as Python's and JavaScript's trimming sees it (regex classes).
 PY_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

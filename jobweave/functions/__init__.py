@@ -1,7 +1,8 @@
 """Column expressions; every function takes Columns and returns one Column."""
 from jobweave.functions.company import board_source, company_domain, company_from_url, resolve_company
+from jobweave.functions.dates import lenient_date, parse_role_date
 from jobweave.functions.experience import (
-    experience_bucket, experience_mismatch, extract_requirement, parse_role_date, parse_years, role_months, too_senior,
+    experience_bucket, experience_mismatch, extract_requirement, parse_years, role_months, too_senior,
 )
 from jobweave.functions.output import call_outcome, clean_output, draft_check, draft_body, is_json
 from jobweave.functions.text import (

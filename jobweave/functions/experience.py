@@ -1,5 +1,4 @@
 """Years of experience: requirements, role dates, durations and buckets."""
-import datetime
 from functools import reduce
 from operator import or_
 
@@ -9,6 +8,11 @@ from pyspark.sql import functions as F
 from jobweave import fixed
 
 
+# The pattern of `fixed` for the JVM: each run of digits is tried once, from its begin, and repeats are possessive, so long
+# texts take linear time.
+REQUIREMENT = r"(?i)(?<!\d)(\d++\s*+(?:[-–]\s*+\d++|\+)?+\s*+(?:years?|yrs?))"
+
+
 def parse_years(req: Column) -> Column:
     """F-03: the least number of years a requirement text asks for, null when it names none."""
     sp = fixed.PY_SPACE
@@ -19,7 +23,7 @@ def parse_years(req: Column) -> Column:
 
 def extract_requirement(text: Column) -> Column:
     """F-04: the first phrase such as `3-5 years`, else `Not specified`."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, fixed.REQUIREMENT, 1), F.lit("")), F.lit("Not specified"))
+    return F.coalesce(F.nullif(F.regexp_extract(text, REQUIREMENT, 1), F.lit("")), F.lit("Not specified"))
 
 
 def experience_mismatch(req: Column, years: Column, tolerance: float = fixed.POST_TOLERANCE) -> Column:
@@ -38,17 +42,6 @@ def too_senior(title: Column, url: Column, years: Column, keywords=None) -> Colu
     return (years < fixed.SENIOR_YEARS) & senior_title(title, url, keywords)
 
 
-def parse_role_date(s: Column, as_of) -> Column:
-    """F-07: lenient date; missing, open-ended or unreadable texts mean `as_of`."""
-    now = F.lit(as_of if isinstance(as_of, datetime.date) else str(as_of)).cast("date")
-    text = F.lower(F.trim(s))
-    for word in fixed.OPEN_END_CUTS:
-        text = F.replace(text, F.lit(word), F.lit(""))
-    text = F.regexp_replace(F.trim(text), r"\bsept\b", "sep")
-    is_open = s.isNull() | F.lower(s).isin(*fixed.OPEN_END_WORDS)
-    return F.when(is_open, now).otherwise(F.coalesce(*[F.try_to_date(text, f) for f in fixed.DATE_LAYOUTS], now))
-
-
 def role_months(start: Column, end: Column) -> Column:
     """F-08: whole months with month ends clipped; never below 0, and 1 when only the month differs."""
     span = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)

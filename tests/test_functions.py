@@ -1,5 +1,6 @@
 """Edge cases of the scalar functions."""
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,45 @@ def test_json_is_judged_like_a_strict_reader(column):
 
 
 def test_more_date_layouts(column):
-    texts = ["01-2020", "Jan-2020", "Jan. 2020", "01.2020", "15/01/2020"]
+    texts = ["01-2020", "Jan-2020", "Jan. 2020", "15/01/2020", "2020 Jan", "Jan 3rd 2020", "20200103", "2020-01-05T10:00:00Z", "3 January, 2020"]
     got = column(lambda t: fn.parse_role_date(t, "2025-03-15"), [(t,) for t in texts], "t string")
     assert [(d.year, d.month) for d in got] == [(2020, 1)] * len(texts)
+
+
+# Texts and the dates they mean, missing parts taken from 2000-01-01; None is unreadable.
+LENIENT = {
+    "2019 Mar": "2019-03-01", "03 March, 2019": "2019-03-03", "Mar 3rd 2019": "2019-03-03", "March": "2000-03-01", "Mar '19": "2000-03-19",
+    "Mar '99": "1999-03-01", "20190301": "2019-03-01", "2019-03-01T00:00:00": "2019-03-01", "2019-03-01 10:30 PM": "2019-03-01", "03/2019": "2019-03-01",
+    "03.2019": "2000-01-03", "01.02.2019": "2019-01-02", "13.02.2019": "2019-02-13", "2019/13/02": None, "5 Mar 75": "1975-03-05", "5 Mar 74": "2074-03-05",
+    "5 Mar 76": "1976-03-05", "12": "2000-01-12", "45": "2045-01-01", "monday": "2000-01-03", "Monday, 5 March 2018": "2018-03-05", "Feb 30 2019": None,
+    "Feb 29 2020": "2020-02-29", "March of 2019": "2019-03-01", "jan feb 2019": None, "1 2 3 4": None, "soon": None, "mar 2019 -": "2019-03-01",
+    "31/12/2019": "2019-12-31", "12/31/2019": "2019-12-31", "2019-12-31": "2019-12-31", "99-01-02": "1999-01-02", "2019mar": None, "3mar 2019": "2019-03-03",
+    "mar2019": "2019-03-01", "Jan-": None, "2019 to 2020": None, "x" * 500: None,
+}
+
+
+def test_lenient_dates(column):
+    got = column(lambda t: fn.lenient_date(t, F.lit(2025)), [(t,) for t in LENIENT], "t string")
+    assert {t: d and str(d) for t, d in zip(LENIENT, got)} == LENIENT
+
+
+def test_lenient_dates_equal_the_parser_rules():
+    parser = pytest.importorskip("dateutil.parser")
+    default = datetime.datetime(2000, 1, 1)
+    for text, want in LENIENT.items():
+        if text[-2:] in ("74", "75", "76"):  # its century follows the clock
+            continue
+        try:
+            got = str(parser.parse(text, default=default).date())
+        except (ValueError, OverflowError):
+            got = None
+        assert got == want, text
+
+
+def test_patterns_take_a_megabyte(column):
+    """Long runs of digits, dates and blanks: linear time."""
+    long = ["1" * 1_000_000, "1 " * 500_000, "1-" * 500_000, "+1" * 500_000, "1/" * 500_000, "(" * 1_000_000, "march " * 170_000]
+    start = time.time()
+    column(lambda t: F.concat_ws("|", fn.extract_requirement(t), fn.parse_role_date(t, "2025-03-15").cast("string"), F.size(fn.extract_phones(t)).cast("string")),
+           [(t,) for t in long], "t string")
+    assert time.time() - start < 30
