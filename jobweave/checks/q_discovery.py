@@ -7,7 +7,7 @@ from jobweave.checks.registry import query
 from jobweave.functions import resolve_company
 from jobweave.operators.contacts import contacts_of_matches
 from jobweave.operators.gates import (
-    detect_places, evaluate_gates, gate_experience, gate_location, gate_remote, gate_senior, with_gate_defaults,
+    Places, evaluate_gates, gate_experience, gate_location, gate_remote, stated_country, with_gate_defaults,
 )
 from jobweave.operators.matching import funnel, match, match_count, unmatched
 from jobweave.operators.requests import job_cards
@@ -35,15 +35,29 @@ def experience_gate(view, spark, sf_dir):
         F.col("title"), req, F.col("query_id") % 9).alias("passed"))
 
 
-@query(o.ctes(o.PLACES_OF, views=("v_postings", "v_places")) + """SELECT v.url, p.job_country, coalesce(p.job_country = n.n_name, true) AS passed
-FROM v_postings v LEFT JOIN o_places p ON v.url = p.url JOIN nation n ON n.n_nationkey = length(v.url) % 25 WHERE length(text) >= 100""")
+@query(o.ctes(o.PLACES_OF, views=("v_postings", "v_places")) + f"""SELECT url, job_country, coalesce(job_country = n_name, true) AS passed
+FROM (SELECT url, {o.stated('location_country', 'body_country')} AS job_country FROM o_places) JOIN nation ON n_nationkey = length(url) % 25""")
 def location_gate(view, spark, sf_dir):
     """P-07: with a wanted country from the URL's length."""
-    kept = view("v_postings").filter(F.length("text") >= 100).withColumn("whole", F.concat_ws("\n", "location", "text"))
-    where = detect_places(kept, "url", "whole", view("v_places"))
+    known = Places(view("v_places"))
+    kept = view("v_postings").filter(F.length("text") >= 100).select(
+        "url", known.begins(F.col("location")).alias("l"), known.begins(F.col("text")).alias("b"))
+    kept = written(kept, "places")
+    where = known.countries(kept, ["url"], {"location_country": "l", "body_country": "b"})
+    country = stated_country(F.col("location_country"), F.col("body_country"))
     wanted = F.concat(F.lit("NATION_"), F.length("url") % 25)
-    return kept.select("url").join(where, "url", "left").select(
-        "url", F.col("country").alias("job_country"), gate_location(F.col("country"), wanted).alias("passed"))
+    return kept.select("url").join(where, "url", "left").select("url", country.alias("job_country"), gate_location(country, wanted).alias("passed"))
+
+
+@query(o.ctes(o.JOBS, views=VIEWS) + """SELECT query_id, url, title_country, location_country, body_country, job_country,
+contains(coalesce(job_country, ''), ' / ') AS conflict, coalesce(job_country = coalesce(title_country, location_country, body_country), true) AS passed FROM o_jobs""")
+def country_conflicts(view, spark, sf_dir):
+    """P-07: title or location against the text; the wanted country is the first that is named."""
+    country = F.col("job_country")
+    return _jobs(view).select(
+        "query_id", "url", "title_country", "location_country", "body_country", "job_country",
+        F.coalesce(F.contains(country, F.lit(" / ")), F.lit(False)).alias("conflict"),
+        gate_location(country, F.coalesce("title_country", "location_country", "body_country")).alias("passed"))
 
 
 @query(o.ctes(views=("v_postings",)) + f"SELECT url, length(url) % 2 = 0 OR {o.remote(o.WHOLE)} AS passed FROM v_postings")
@@ -56,28 +70,23 @@ def remote_gate(view, spark, sf_dir):
 def _gate_rows(view):
     """Each unique search result with one profile's wishes, varied by rank."""
     rank = F.col("rank")
-    texts = view("v_postings").filter(F.length("text") >= 100).withColumn("location", F.concat_ws("\n", "location", "text"))
-    where = detect_places(texts, "url", "location", view("v_places"))
-    return (unique_results(view("v_search_results"))
-            .join(texts.select("url", "required_text", "location"), "url", "left").join(where, "url", "left")
+    return (_jobs(view).withColumn("country", F.col("job_country")).withColumn("location", F.when(F.col("is_remote"), "Remote"))
             .withColumn("years", rank % 12).withColumn("remote_only", rank % 5 == 0)
             .withColumn("wanted_country", F.concat(F.lit("NATION_"), rank % 25)))
 
 
 _GATES = f"""o_gates AS (
-  SELECT u.query_id, u.url, u.source, u.title, u.rank % 12 AS years, v.url IS NOT NULL AS evaluated, v.required_text, job_country,
-         NOT ({o.gate_senior('u.title')} AND u.rank % 12 < 5) AND coalesce({o.parse_years('v.required_text')} <= u.rank % 12 + 1, true) AS g1,
-         coalesce(job_country = 'NATION_' || (u.rank % 25), true) AS g2, u.rank % 5 <> 0 OR {o.remote('v.whole')} AS g3,
-         u.rank % 5 = 0 AS remote_only
-  FROM o_unique u LEFT JOIN (SELECT *, {o.WHOLE} AS whole FROM v_postings WHERE length(text) >= 100) v ON u.url = v.url
-  LEFT JOIN o_places p ON u.url = p.url)"""
+  SELECT *, rank % 12 AS years, has_text AS evaluated, rank % 5 = 0 AS remote_only,
+         NOT (gate_senior AND rank % 12 < 5) AND coalesce({o.parse_years('required_text')} <= rank % 12 + 1, true) AS g1,
+         coalesce(job_country = 'NATION_' || (rank % 25), true) AS g2, rank % 5 <> 0 OR is_remote AS g3
+  FROM o_jobs)"""
 
 
 def _trace(gate: str, why: str) -> str:
     return f"CASE WHEN evaluated THEN CASE WHEN {gate} THEN 'Passed — ' ELSE 'Failed — ' END || {why} ELSE 'Error' END"
 
 
-@query(o.ctes(o.UNIQUE, o.PLACES_OF, _GATES, views=VIEWS) + f"""SELECT query_id, url, evaluated AND g1 AND g2 AND g3 AS is_valid,
+@query(o.ctes(o.JOBS, _GATES, views=VIEWS) + f"""SELECT query_id, url, evaluated AND g1 AND g2 AND g3 AS is_valid,
 coalesce(required_text, 'Unknown') AS required_text,
 {_trace('g1', "'JD requires ' || required_text || ', candidate has ' || years || ' yrs.'")} AS experience_gate,
 {_trace('g2', "'location ' || coalesce(job_country, 'not stated')")} AS location_gate,
@@ -218,7 +227,7 @@ def contacts_of_matched_companies(view, spark, sf_dir):
     return contacts_of_matches(view("v_contacts"), found).select("name", "url", "company")
 
 
-@query(o.ctes(o.UNIQUE, o.PLACES_OF, _GATES, views=VIEWS) + f"""SELECT query_id, sha256(url) AS id, url, url AS linkedin,
+@query(o.ctes(o.JOBS, _GATES, views=VIEWS) + f"""SELECT query_id, sha256(url) AS id, url, url AS linkedin,
 {o.company_from_url('url', 'source')} AS company, title AS job_title, coalesce(required_text, 'Unknown') AS required_experience,
 'Exp: ' || {_trace('g1', "'JD requires ' || required_text || ', candidate has ' || years || ' yrs.'")} || ' | Loc: ' ||
 {_trace('g2', "'location ' || coalesce(job_country, 'not stated')")} AS reason FROM o_gates""")
@@ -232,7 +241,7 @@ def job_card_rows(view, spark, sf_dir):
                                   "required_experience", "reason")
 
 
-@query(o.ctes(o.UNIQUE, o.PLACES_OF, _GATES, views=VIEWS) + """SELECT source, count(*) AS total,
+@query(o.ctes(o.JOBS, _GATES, views=VIEWS) + """SELECT source, count(*) AS total,
 count(*) FILTER (evaluated AND g1 AND g2 AND g3) AS valid, count(*) FILTER (evaluated AND g1 AND g2 AND g3) / count(*) AS rate FROM o_gates GROUP BY source""")
 def gate_pass_rate(view, spark, sf_dir):
     """A-08"""

@@ -81,34 +81,53 @@ UNIQUE = f"""o_unique AS (
 
 WHOLE = "concat_ws(chr(10), location, text)"
 
-# Country named by location and text of each posting; and by the location of each profile, whose years are rounded.
-PLACES_OF = f"""o_named_places AS MATERIALIZED (SELECT country, {token_text('place')} AS place FROM v_places),
-o_tokens AS MATERIALIZED (SELECT url, {token_text(WHOLE)} AS tokens FROM v_postings WHERE length(text) >= 100),
+def place_text(x: str) -> str:
+    """Words with a blank on either side each, so that neighbours can be cut out one by one."""
+    return f"(' ' || replace(trim({token_text(x)}), ' ', '  ') || ' ')"
+
+
+def named(rows: str, key: str, text: str) -> str:
+    """The one country that `text` names, per key; a place inside a longer one at the same spot does not count."""
+    return f"""SELECT {key}, min(country) AS country FROM (SELECT {key}, {place_text(text)} AS tokens FROM {rows}) JOIN o_named_places
+  ON contains(tokens, place) AND (len(longer) = 0 OR contains(list_reduce(list_prepend(tokens, longer), lambda t, q: replace(t, q, ' # ')), place))
+  GROUP BY {key} HAVING count(DISTINCT country) = 1"""
+
+
+def stated(*found: str) -> str:
+    return f"nullif(array_to_string(list_sort(list_distinct(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))), ' / '), '')"
+
+
+# Country named by location and by text of each posting; and by the location of each profile, whose years are rounded.
+PLACES_OF = f"""o_place_words AS MATERIALIZED (SELECT DISTINCT country, {place_text('place')} AS place FROM v_places),
+o_named_places AS MATERIALIZED (SELECT country, place, coalesce((
+  SELECT list(DISTINCT o.place) FROM o_place_words o WHERE contains(o.place, p.place) AND o.place <> p.place), []) AS longer FROM o_place_words p),
+o_in_body AS MATERIALIZED ({named("v_postings WHERE length(text) >= 100", "url", "text")}),
+o_in_location AS MATERIALIZED ({named("v_postings WHERE length(text) >= 100 AND location IS NOT NULL", "url", "location")}),
 o_places AS (
-  SELECT url, min(country) AS job_country FROM o_tokens JOIN o_named_places ON contains(tokens, place)
-  GROUP BY url HAVING count(DISTINCT country) = 1)"""
+  SELECT v.url, l.country AS location_country, b.country AS body_country
+  FROM (SELECT url FROM v_postings WHERE length(text) >= 100) v LEFT JOIN o_in_body b ON v.url = b.url LEFT JOIN o_in_location l ON v.url = l.url)"""
 
 PROFILES = f"""o_profiles AS (
   SELECT p.* EXCLUDE (years, location), CAST(floor(coalesce(years, 0) + 0.5) AS INTEGER) AS years, c.country
-  FROM v_profiles p LEFT JOIN (
-    SELECT profile_id, min(country) AS country FROM v_profiles JOIN o_named_places ON contains({token_text('location')}, place)
-    GROUP BY profile_id HAVING count(DISTINCT country) = 1) c ON p.profile_id = c.profile_id)"""
+  FROM v_profiles p LEFT JOIN ({named("v_profiles WHERE location IS NOT NULL", "profile_id", "location")}) c ON p.profile_id = c.profile_id)"""
 
 # What the gates read of each posting with enough text.
 FACTS = f"""{PLACES_OF}, o_facts AS (
   SELECT v.url, {requirement('text')} AS required_text, {parse_years(requirement('text'))} AS min_required,
          nullif(regexp_extract(text, '{fixed.COMPANY}', 1), '') AS company_found,
          nullif(regexp_extract(text, '{fixed.TEAM}', 1), '') AS team,
-         {remote(WHOLE)} AS is_remote, job_country
+         {remote(WHOLE)} AS is_remote, location_country, body_country
   FROM v_postings v LEFT JOIN o_places p ON v.url = p.url WHERE length(text) >= 100)"""
 
 # Search results with those facts.
-JOBS = f"""{UNIQUE}, {FACTS}, o_jobs AS (
+JOBS = f"""{UNIQUE}, {FACTS}, o_in_title AS MATERIALIZED ({named('(SELECT DISTINCT title FROM v_search_results)', 'title', 'title')}),
+o_jobs AS (
   SELECT u.query_id, u.source, u.rank, u.url, u.title, f.url IS NOT NULL AS has_text, f.required_text, f.min_required,
-         f.company_found, f.team, f.job_country, coalesce(f.is_remote, false) AS is_remote,
+         f.company_found, f.team, t.country AS title_country, location_country, body_country,
+         {stated('t.country', 'location_country', 'body_country')} AS job_country, coalesce(f.is_remote, false) AS is_remote,
          {SOURCE_ORDER} AS source_order, {senior_title('u.title', 'u.url')} AS title_senior,
          {gate_senior('u.title')} AS gate_senior
-  FROM o_unique u LEFT JOIN o_facts f ON u.url = f.url)"""
+  FROM o_unique u LEFT JOIN o_facts f ON u.url = f.url LEFT JOIN o_in_title t ON u.title = t.title)"""
 
 
 def stages(experience_gate: bool = True, tolerance: float = fixed.POST_TOLERANCE, on: str = "p.query_id = j.query_id") -> str:

@@ -20,12 +20,19 @@ def gate_experience(title: Column, req: Column, years: Column, tolerance: float
     return ~senior & F.coalesce(parse_years(req) <= years + F.lit(tolerance), F.lit(True))
 
 
-def gate_location(country: Column, wanted: Column, body_country: Column | None = None) -> Column:
-    """P-07: no country found, none wanted, or the wanted one, in the location and (where given) in the text."""
-    def fits(found: Column) -> Column:
-        return found.isNull() | wanted.isNull() | (found == wanted)
+def gate_location(country: Column, wanted: Column) -> Column:
+    """P-07: no country found, none wanted, or the wanted one; `country` is that of `stated_country`."""
+    return country.isNull() | wanted.isNull() | (country == wanted)
 
-    return fits(country) if body_country is None else fits(country) & fits(body_country)
+
+def stated_country(*found: Column) -> Column:
+    """The country that title, location and text of a posting agree on, null where none of them names one.
+
+    Each is the one country its field names. Where fields name different ones, all are listed, so that nobody's country is
+    equal to it and the posting is rejected for everyone who wants one (a title says one country, the text another).
+    """
+    named = F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    return F.nullif(F.array_join(named, " / "), F.lit(""))
 
 
 def gate_remote(text: Column, remote_only: Column) -> Column:
@@ -33,26 +40,71 @@ def gate_remote(text: Column, remote_only: Column) -> Column:
     return ~remote_only | F.coalesce(text.rlike(fixed.REMOTE), F.lit(False))
 
 
-def detect_places(df: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
-    """Country named by a text: one row (key, country) per key whose texts name places of exactly one country.
+class Places:
+    """A table of places, prepared for finding them in texts; `places` has columns `place` and `country`.
 
-    `places` has columns `place` and `country`; a place may have any number of words. Each word and the one after it are
-    looked up by an equi-join on a place's first words; places of more than two words are then sought in the whole text.
+    A text's words are looked up by the first words of places. Up to `most_words` different ones, they are part of the
+    expression that reads the text, so only words that may begin a place leave it; a table with more of them is met by a
+    join on every word instead. Both give the same places.
     """
-    name = F.trim(token_text(F.col("place")))
-    lookup = places.select(name.alias("place"), "country").where("place <> ''").distinct()
-    lookup = lookup.select("*", F.split_part("place", F.lit(" "), F.lit(1)).alias("first"),
-                           F.nullif(F.split_part("place", F.lit(" "), F.lit(2)), F.lit("")).alias("second"),
-                           (F.split_part("place", F.lit(" "), F.lit(3)) != "").alias("longer"))
-    tokens = df.select(key, token_text(F.col(text)).alias("tokens")).where("tokens is not null")
-    split = tokens.select(key, F.split(F.trim("tokens"), " ").alias("words"))
-    pairs = split.select(key, F.explode(F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get("words", i + 1).alias("after")))).alias("p"))
-    named = (pairs.select(key, "p.*").join(lookup, F.col("word") == F.col("first")).where("second is null or second = after")
-             .select(key, "place", "country", "longer"))
-    longer = (named.where("longer").distinct().join(tokens, key).where(F.contains("tokens", F.concat(F.lit(" "), "place", F.lit(" ")))))
-    found = named.where("not longer").select(key, "country").unionByName(longer.select(key, "country"))
-    found = found.groupBy(key).agg(F.min("country").alias("country"), F.max("country").alias("_other"))
-    return found.filter(F.col("country") == F.col("_other")).drop("_other")
+
+    def __init__(self, places: DataFrame, most_words: int = 10_000):
+        name = F.trim(token_text(F.col("place")))
+        named = places.select(name.alias("place"), "country").where("place <> '' and country is not null")
+        # a place of several countries keeps the least and the largest of them
+        self.lookup = named.groupBy("place").agg(F.min("country").alias("low"), F.max("country").alias("high")).select(
+            "*", F.split_part("place", F.lit(" "), F.lit(1)).alias("first"), (F.regexp_count("place", F.lit(" ")) + 1).alias("words"))
+        firsts = self.lookup.groupBy("first").agg(F.max("words").alias("words"))
+        size = firsts.agg(F.count("*").alias("n"), F.max("words").alias("longest")).first()
+        self.longest = size["longest"] or 1
+        self.firsts = [r["first"] for r in firsts.select("first").collect()] if size["n"] <= most_words else None
+
+    def begins(self, text: Column) -> Column:
+        """Where a text may begin to name a place: an array of (at, window), the word's number and the words from there on."""
+        words = F.split(F.trim(token_text(text)), " ")
+
+        def window(word: Column, i: Column) -> Column:
+            ahead = F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, F.lit(self.longest)), " ").alias("window"))
+            return ahead if self.firsts is None else F.when(word.isin(self.firsts), ahead)
+
+        found = F.transform(words, window)
+        return F.coalesce(found if self.firsts is None else F.array_compact(found), F.array().cast("array<struct<at:int,window:string>>"))
+
+    def countries(self, df: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:
+        """keys and a column per field: the one country which that field's places name, null for none or several.
+
+        `fields` gives for a result column the column of `df` with what `begins` gave; keys that name no place have no row.
+        From left to right the longest place counts, and none that begins inside it.
+        """
+        def in_field(field: str):
+            return lambda b: F.struct(F.lit(field).alias("field"), b["at"].alias("at"), b["window"].alias("window"))
+
+        marked = [F.transform(F.col(column), in_field(field)) for field, column in fields.items()]
+        rows = df.select(*keys, F.explode(F.concat(*marked)).alias("b")).select(*keys, "b.*").withColumn("_first", F.split_part("window", F.lit(" "), F.lit(1)))
+        hits = (rows.join(self.lookup, F.col("_first") == F.col("first"))
+                .where(F.startswith(F.concat("window", F.lit(" ")), F.concat("place", F.lit(" ")))))
+        hit = F.struct("field", "at", (-F.col("words")).alias("back"), "low", "high")
+        per_key = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+
+        def country(field: str) -> Column:
+            none = F.lit(None).cast("string")
+            start = F.struct(F.lit(0).alias("end"), none.alias("low"), none.alias("high"))
+
+            def step(seen: Column, h: Column) -> Column:
+                return F.when(h["at"] < seen["end"], seen).otherwise(F.struct(
+                    (h["at"] - h["back"]).alias("end"), F.least(seen["low"], h["low"]).alias("low"), F.greatest(seen["high"], h["high"]).alias("high")))
+
+            last = F.aggregate(F.filter("hits", lambda h: h["field"] == field), start, step)
+            return F.when(last["low"] == last["high"], last["low"])
+
+        return per_key.select(*keys, *(country(field).alias(field) for field in fields))
+
+
+def detect_places(df: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
+    """Country named by a text: one row (key, country) per key whose text names places of exactly one country."""
+    known = Places(places)
+    begins = df.select(key, known.begins(F.col(text)).alias("_begins"))
+    return known.countries(begins, [key], {"country": "_begins"}).where("country is not null")
 
 
 def evaluate_gates(df: DataFrame) -> DataFrame:

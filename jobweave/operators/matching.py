@@ -12,7 +12,7 @@ from jobweave import fixed
 from jobweave.functions import extract_company, extract_requirement, extract_team, parse_years
 from jobweave.functions.experience import senior_title
 from jobweave.operators.filters import min_length
-from jobweave.operators.gates import detect_places, gate_senior
+from jobweave.operators.gates import Places, gate_senior, stated_country
 from jobweave.operators.ordered import dedupe_first, top_k
 from jobweave.session import written
 
@@ -31,24 +31,34 @@ def source_order(source: Column) -> Column:
     return chain.otherwise(F.lit(fixed.SOURCE_ORDER["Board"]))
 
 
-def posting_facts(postings: DataFrame, places: DataFrame) -> DataFrame:
+def posting_facts(postings: DataFrame, places: DataFrame | Places) -> DataFrame:
     """What the gates need to know of each posting with enough text, without the text itself.
 
-    Country and remote work are read from the location and the whole text; several countries count as none.
+    Texts are read once: everything found in them, and where they may name places, is written as a table of one short row
+    per posting. `location_country` and `body_country` are the one country that field names.
     """
-    kept = min_length(postings, "text").withColumn("whole", F.concat_ws("\n", "location", "text"))
-    where = detect_places(kept, "url", "whole", places).withColumnRenamed("country", "job_country")
-    facts = kept.select(
+    known = places if isinstance(places, Places) else Places(places)
+    facts = written(min_length(postings, "text").select(
         "url", extract_requirement(F.col("text")).alias("required_text"),
         extract_company(F.col("text")).alias("company_found"), extract_team(F.col("text")).alias("team"),
-        F.coalesce(F.col("whole").rlike(fixed.REMOTE), F.lit(False)).alias("is_remote"))
-    return facts.withColumn("min_required", parse_years(F.col("required_text"))).join(where, "url", "left")
+        F.coalesce(F.concat_ws("\n", "location", "text").rlike(fixed.REMOTE), F.lit(False)).alias("is_remote"),
+        known.begins(F.col("location")).alias("_location"), known.begins(F.col("text")).alias("_body")), "facts")
+    where = known.countries(facts, ["url"], {"location_country": "_location", "body_country": "_body"})
+    return facts.drop("_location", "_body").withColumn("min_required", parse_years(F.col("required_text"))).join(where, "url", "left")
 
 
-def with_text(results: DataFrame, facts: DataFrame) -> DataFrame:
-    """J-02: every search result with the facts of its posting; `has_text` is false without one."""
-    joined = results.join(facts.withColumn("has_text", F.lit(True)), "url", "left")
+def with_text(results: DataFrame, facts: DataFrame, places: DataFrame | Places) -> DataFrame:
+    """J-02: every search result with the facts of its posting; `has_text` is false without one.
+
+    `job_country` is what title, location and text agree on (`stated_country`); results are unique by query_id and url.
+    """
+    known = places if isinstance(places, Places) else Places(places)
+    titled = known.countries(results.select("query_id", "url", known.begins(F.col("title")).alias("_title")), ["query_id", "url"], {"title_country": "_title"})
+    joined = (results.join(facts.withColumn("has_text", F.lit(True)), "url", "left")
+              .join(titled.where("title_country is not null"), ["query_id", "url"], "left"))
+    fields = [F.col(c) for c in ("title_country", "location_country", "body_country")]
     return (joined.withColumn("has_text", F.coalesce("has_text", F.lit(False)))
+            .withColumn("job_country", stated_country(*fields))
             .withColumn("is_remote", F.coalesce("is_remote", F.lit(False)))
             .withColumn("source_order", source_order(F.col("source")))
             .withColumn("title_senior", senior_title(F.col("title"), F.col("url")))

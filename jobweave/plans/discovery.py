@@ -7,7 +7,7 @@ from jobweave.functions import resolve_company
 from jobweave.functions.company import board_source
 from jobweave.operators.contacts import attach_contacts
 from jobweave.operators.filters import filter_source_urls
-from jobweave.operators.gates import detect_places, evaluate_gates
+from jobweave.operators.gates import Places, detect_places, evaluate_gates
 from jobweave.operators.matching import ANYWHERE, match, posting_facts, source_order, with_text
 from jobweave.operators.ordered import dedupe_first
 from jobweave.operators.requests import job_cards
@@ -23,7 +23,8 @@ def unique_results(results: DataFrame) -> DataFrame:
 
 def jobs_of(results: DataFrame, postings: DataFrame, places: DataFrame) -> DataFrame:
     """Unique search results with the facts of their postings."""
-    return with_text(unique_results(results), posting_facts(postings, places))
+    known = Places(places)
+    return with_text(unique_results(results), posting_facts(postings, known), known)
 
 
 def candidates(profiles: DataFrame, places: DataFrame) -> DataFrame:
@@ -60,7 +61,8 @@ def discover_responses(profiles: DataFrame, responses: DataFrame, primary: DataF
     results = unique_results(found.select("query_id", "source", "rank", "url", "title"))
     texts = resolve_text(results.select("url").distinct(), primary, fallback)
     texts = texts.join(locations, "url", "left") if locations is not None else texts.withColumn("location", F.lit(None).cast("string"))
-    return match(candidates(profiles, places), with_text(results, posting_facts(texts, places)))
+    known = Places(places)
+    return match(candidates(profiles, places), with_text(results, posting_facts(texts, known), known))
 
 
 def discover_with_contacts(profiles: DataFrame, results: DataFrame, postings: DataFrame, places: DataFrame,
