@@ -3,15 +3,17 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed
 from jobweave.checks import sql as o
-from jobweave.checks.registry import query
+from jobweave.checks.registry import in_parts, query
 from jobweave.functions import company_domain
 from jobweave.operators.contacts import (
-    attach_email, attach_news, contact_cards, current_employee, department_rank, name_collision, parse_contacts, recent_news,
+    attach_email, attach_news, attach_news_at, contact_cards, current_employee, department_rank, name_collision, parse_contacts, recent_news,
     referrals, top_contacts,
 )
 from jobweave.operators.filters import verified
 from jobweave.operators.ordered import top_k
 from jobweave.plans.outreach import draft_requests
+from jobweave.session import work_folder
+from jobweave.streaming.news import newest_of, stream_news
 
 AS_OF = "2000-06-30"
 
@@ -107,6 +109,28 @@ def news_of_companies(view, spark, sf_dir):
     return attach_news(view("v_companies"), view("v_news"), AS_OF).select("company_id", F.array_join("news", "; ").alias("titles"))
 
 
+_RECENT_AT = """o_recent_at AS (
+  SELECT * FROM (SELECT a.request_id, n.news_id, n.title, n.published_at, ROW_NUMBER() OVER (PARTITION BY a.request_id ORDER BY n.published_at DESC, n.news_id) AS pos
+    FROM v_asked a JOIN v_news n ON a.company = n.company AND n.published_at > a.asked_on - INTERVAL 6 MONTH AND n.published_at <= a.asked_on) WHERE pos <= 3)"""
+
+
+@query(o.ctes(_RECENT_AT, views=("v_asked", "v_news")) + """SELECT a.request_id, coalesce(string_agg(r.title, '; ' ORDER BY r.pos), '') AS titles
+FROM v_asked a LEFT JOIN o_recent_at r ON a.request_id = r.request_id GROUP BY a.request_id""")
+def news_at_request_time(view, spark, sf_dir):
+    """J-04: each request looks back from its own day."""
+    return attach_news_at(view("v_asked"), view("v_news")).select("request_id", F.array_join("news", "; ").alias("titles"))
+
+
+@query(o.ctes(_RECENT_AT, views=("v_asked", "v_news")) + "SELECT request_id, news_id, pos FROM o_recent_at")
+def news_stream(view, spark, sf_dir):
+    """J-04 on streams: requests and news arrive in two batches each, by time; the delay spans the table."""
+    folder = work_folder(spark, "news")
+    asked = view("v_asked").withColumn("asked_at", F.col("asked_on").cast("timestamp")).drop("asked_on")
+    items = view("v_news").withColumn("published_at", F.col("published_at").cast("timestamp"))
+    stream_news(in_parts(asked, f"{folder}/asked", "asked_at", 2), in_parts(items, f"{folder}/news", "published_at", 2), folder, delay="4000 days").awaitTermination()
+    return newest_of(spark, folder).select("request_id", "news_id", F.col("pos").cast("bigint").alias("pos"))
+
+
 @query(o.ctes(_RECENT, views=("v_news",)) + """SELECT c_custkey AS request_id, 'Acme Labs ' || (c_custkey % (SELECT count(*) FROM supplier)) AS company, c_mktsegment AS job_title,
 CASE WHEN c_custkey % 3 = 0 THEN 'Hiring Team' ELSE c_name END AS poc_name,
 'Engineer with ' || (c_custkey % 12) || ' years exp. Skills: SQL, Figma' AS profile_summary, coalesce(n.titles, '') AS news_snippet

@@ -2,14 +2,14 @@
 from pyspark.sql import functions as F
 
 from jobweave import fixed
-from jobweave.checks.registry import query
+from jobweave.checks.registry import in_parts, query
 from jobweave.checks.sql import SOURCE_ORDER, UNIQUE, ctes, quoted
 from jobweave.functions import board_source, extract_emails, extract_phones, redact
 from jobweave.operators.filters import active_roles, filter_files, filter_source_urls, min_length, profile_urls
 from jobweave.operators.ordered import dedupe_first, union_sources
 from jobweave.plans.discovery import unique_results
 from jobweave.session import work_folder
-from jobweave.sources.files import append_calls, read_calls, to_lines
+from jobweave.sources.files import append_calls, read_calls, read_lines, stream_results, to_lines
 from jobweave.sources.pages import assemble_pages, main_content
 from jobweave.sources.search import explode_results, resolve_text
 
@@ -79,12 +79,23 @@ def result_lines(view, spark, sf_dir):
     return to_lines(view("supplier").select("s_suppkey", "s_name", "s_nationkey"))
 
 
+@query("""SELECT 'data: ' || to_json(struct_pack(event_id := event_id, user_id := user_id, event_type := event_type)) || chr(10) || chr(10) AS value FROM events""")
+def result_line_stream(view, spark, sf_dir):
+    """S-07 on a stream of four batches; the run that follows finds nothing new and leaves one copy."""
+    folder = work_folder(spark, "lines")
+    rows = in_parts(view("events").select("event_id", "user_id", "event_type"), folder, "event_id")
+    for _ in range(2):
+        stream_results(rows, folder).awaitTermination()
+    return read_lines(spark, folder)
+
+
 @query(ctes(views=("v_api_calls",)) + """SELECT service, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS calls, count(*) FILTER (ok) AS good
 FROM v_api_calls GROUP BY ALL""")
 def usage_log(view, spark, sf_dir):
-    """S-08: written, read back and counted."""
+    """S-08: written in three batches, one of them twice, read back and counted."""
     folder = work_folder(spark, "usage-log")
-    append_calls(view("v_api_calls"), folder)
+    for batch in (0, 1, 2, 1):
+        append_calls(view("v_api_calls").where(F.col("call_id") % 3 == batch), folder, batch)
     return read_calls(spark, folder).groupBy("service", F.col("day").cast("string").alias("day")).agg(
         F.count("*").alias("calls"), F.count_if("ok").alias("good"))
 

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from jobweave.checks import sql as o
 from jobweave.checks.q_discovery import VIEWS, _jobs, _profiles
 from jobweave.checks.q_usage import ADMITTED, LIMITS
-from jobweave.checks.registry import query
-from jobweave.session import work_folder
+from jobweave.checks.registry import in_parts, query
+from jobweave.session import work_folder, written
 from jobweave.streaming import results, usage
 
 KINDS = """o_kinds AS (
@@ -59,9 +59,10 @@ def lines_before_close(view, spark, sf_dir):
 
 @query(o.ctes(CUT, views=("v_sse_lines",)) + "SELECT session_id, line_no, line FROM o_cut")
 def stream_before_close(view, spark, sf_dir):
-    """W-02 on a stream"""
+    """W-02 on a stream of four batches, in order of the lines; sessions stay open as long as the table lasts."""
     folder = work_folder(spark, "cut")
-    results.stream_cut(_events(spark, sf_dir, "v_sse_lines"), folder).awaitTermination()
+    lines = view("v_sse_lines").withColumn("ts", F.col("ts").cast("timestamp"))
+    results.stream_cut(in_parts(lines, folder, "line_no"), folder, "400 days", 400 * 86_400_000).awaitTermination()
     return spark.read.parquet(f"{folder}/lines").select("session_id", "line_no", "line")
 
 
@@ -86,21 +87,21 @@ def stream_first_urls(view, spark, sf_dir):
 
 @query(o.ctes(o.MATCHES, views=VIEWS) + "SELECT profile_id, pos, url FROM o_matches")
 def stream_of_matches(view, spark, sf_dir):
-    """W-05: unique results arrive as a stream of files."""
+    """W-05: results arrive in four batches by the order of their sources and ranks, with some of the first ones again."""
     folder = work_folder(spark, "matches")
-    _jobs(view).write.parquet(f"{folder}/jobs")
-    table = spark.read.parquet(f"{folder}/jobs")
-    arriving = spark.readStream.schema(table.schema).parquet(f"{folder}/jobs")
+    jobs = written(_jobs(view).withColumn("place", F.col("source_order") * 10_000_000_000 + F.col("rank")), "jobs")
+    again = jobs.filter(F.col("rank") % 5 == 0).withColumn("place", F.col("place") + 15_000_000_000)
     profiles = _profiles(view)
-    results.stream_matches(profiles, arriving, folder).awaitTermination()
+    results.stream_matches(profiles, in_parts(jobs.unionByName(again), folder, "place"), folder).awaitTermination()
     return results.matches_of(profiles, folder).select("profile_id", F.col("pos").cast("bigint").alias("pos"), "url")
 
 
 @query(o.ctes(ADMITTED.replace("ELSE 60 END", "ELSE 1000 END"), views=("v_api_calls",)) + "SELECT call_id, service, admitted FROM o_admitted")
 def quota_stream(view, spark, sf_dir):
-    """W-06"""
+    """W-06: four batches in order of time."""
     folder = work_folder(spark, "quota")
-    usage.stream_quota(_events(spark, sf_dir, "v_api_calls"), folder, LIMITS).awaitTermination()
+    calls = view("v_api_calls").withColumn("ts", F.col("ts").cast("timestamp"))
+    usage.stream_quota(in_parts(calls.orderBy("ts"), folder, "ts"), folder, LIMITS).awaitTermination()
     return spark.read.parquet(f"{folder}/calls").select("call_id", "service", "admitted")
 
 

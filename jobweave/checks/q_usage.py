@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from jobweave import fixed
 from jobweave.checks import sql as o
 from jobweave.checks.registry import query
-from jobweave.operators.attempts import check_drafts, choose_draft, classify_attempts, parse_outputs, resolve_attempts
+from jobweave.operators.attempts import attempt_violations, check_drafts, choose_draft, classify_attempts, parse_outputs, resolve_attempts
 from jobweave.operators.usage import admit_calls, alert_report, daily_usage, feedback_tally, latest_feedback, usage_alerts
 
 # Limits small enough for the tables' traffic to reach them.
@@ -90,21 +90,45 @@ def call_outcomes(view, spark, sf_dir):
     return classify_attempts(view("v_attempts")).select("event_id", "outcome")
 
 
-@query(o.ctes(OUTCOME, views=("v_attempts",)) + """, o_numbered AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id, model_no ORDER BY event_id) AS attempt_no FROM o_tried),
-o_models AS (
-  SELECT request_id, model_no, count(*) AS n, bool_or(attempt_no = 1 AND (coalesce(status IN (500, 503, 429), false) OR outcome = 'request')) AS again
-  FROM o_numbered GROUP BY ALL),
-o_legal AS (SELECT request_id, bool_and(n = 1 OR (n = 2 AND again)) AS log_ok, CAST(sum(n) AS BIGINT) AS attempts FROM o_models GROUP BY ALL),
-o_good AS (SELECT request_id, arg_min(content, (model_no, attempt_no)) AS payload FROM o_numbered WHERE outcome = 'ok' GROUP BY ALL),
-o_last AS (SELECT request_id, arg_max(outcome, (model_no, attempt_no)) AS outcome FROM o_numbered GROUP BY ALL)
-SELECT l.request_id, g.payload, CASE WHEN g.request_id IS NULL THEN l.outcome END AS error, e.attempts, e.log_ok
+def _legal_sql(order: str, seq: str = "NULL::BIGINT") -> str:
+    """Broken rules per request of o_tried, by looking at each attempt and those around it in order."""
+    return f"""o_numbered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id, model_no ORDER BY {order}) AS attempt, {seq} AS place,
+         coalesce(status IN (500, 503, 429), false) OR outcome = 'request' AS again FROM o_tried),
+o_around AS (
+  SELECT *, lag(model_no) OVER w AS model_before, lag(again) OVER w AS again_before, lag(outcome) OVER w AS outcome_before,
+         lead(model_no) OVER w AS model_after, coalesce(bool_or(outcome = 'ok') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS good_before,
+         count(*) OVER (PARTITION BY request_id) AS attempts,
+         max(place) OVER (PARTITION BY request_id ORDER BY model_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place_before
+  FROM o_numbered WINDOW w AS (PARTITION BY request_id ORDER BY model_no, attempt)),
+o_legal AS (
+  SELECT request_id, CAST(count(*) AS BIGINT) AS attempts, concat_ws(', ',
+    CASE WHEN bool_or(attempt = 1 AND model_no <> coalesce(model_before + 1, 0)) THEN 'skipped model' END,
+    CASE WHEN bool_or(place < place_before) THEN 'models mixed' END,
+    CASE WHEN bool_or(outcome = 'limit' AND attempts > 1) THEN 'after limit' END, CASE WHEN bool_or(good_before) THEN 'after success' END,
+    CASE WHEN bool_or(attempt = 2 AND NOT again_before AND outcome_before <> 'ok') THEN 'no reason to retry' END,
+    CASE WHEN bool_or(attempt = 1 AND again AND model_no IS DISTINCT FROM model_after) THEN 'not retried' END,
+    CASE WHEN bool_or(attempt > 2) THEN 'third attempt' END) AS violations
+  FROM o_around GROUP BY request_id)"""
+
+
+@query(o.ctes(OUTCOME, _legal_sql("event_id"), views=("v_attempts",)) + """,
+o_good AS (SELECT request_id, arg_min(content, (model_no, attempt)) AS payload FROM o_numbered WHERE outcome = 'ok' GROUP BY ALL),
+o_last AS (SELECT request_id, arg_max(outcome, (model_no, attempt)) AS outcome FROM o_numbered GROUP BY ALL)
+SELECT l.request_id, g.payload, CASE WHEN g.request_id IS NULL THEN l.outcome END AS error, e.attempts, e.violations = '' AS log_ok
 FROM o_last l JOIN o_legal e ON l.request_id = e.request_id LEFT JOIN o_good g ON l.request_id = g.request_id""")
 def resolved_attempts(view, spark, sf_dir):
     """N-05: attempts in the order of their events."""
     return resolve_attempts(view("v_attempts").withColumn("attempt_no", F.col("event_id")))
 
 
+@query(o.ctes(OUTCOME.replace("v_attempts", "v_attempt_logs"), _legal_sql("attempt_no", "seq"), views=("v_attempt_logs",))
+       + "SELECT request_id, violations FROM o_legal")
+def illegal_attempts(view, spark, sf_dir):
+    """N-05: logs with every kind of violation, and legal ones."""
+    return attempt_violations(view("v_attempt_logs"), "seq")
+
+
 @query(o.ctes(views=("v_drafts",)) + """SELECT request_id, coalesce(subject, '') AS subject, coalesce(b, '') AS body, coalesce(critique_notes, '') AS critique_notes,
 coalesce(has_intent_line, false) AS has_intent_line FROM (
   SELECT r.request_id, d.subject, d.critique_notes, d.has_intent_line, coalesce(d.body, d.email, '') AS b

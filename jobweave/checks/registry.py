@@ -2,6 +2,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobweave.checks.views import tables, view
 from jobweave.session import use_local_folder
@@ -22,3 +23,12 @@ def query(sql: str | None = None):
             ORACLE[fn.__name__] = sql
         return fn
     return add
+
+
+def in_parts(df, folder: str, order: str, parts: int = 4, files: int = 1):
+    """Rows written in ranges of a column, one append after the other, and read as a stream of a range per batch."""
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    number = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for i in range(parts):
+        df.filter(number == i).repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")

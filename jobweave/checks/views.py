@@ -22,7 +22,7 @@ SELECT l.l_orderkey % 50 AS query_id,
          WHEN 4 THEN CONCAT('https://www.naukri.com/job-listings-', l.l_partkey)
          ELSE CONCAT('https://jobs.ashbyhq.com/east-', l.l_suppkey, '/', l.l_partkey) END AS url,
        CASE p.p_size % 4 WHEN 0 THEN CONCAT('Senior ', p.p_name) WHEN 1 THEN CONCAT('Staffing ', p.p_name)
-         ELSE p.p_name END AS title
+         WHEN 2 THEN CONCAT(p.p_name, ' in NATION_', l.l_partkey % 25) ELSE p.p_name END AS title
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
     "v_postings": """
 SELECT u.url,
@@ -31,7 +31,8 @@ SELECT u.url,
               CASE u.k % 3 WHEN 0 THEN 'Team: Growth' WHEN 1 THEN 'Team: Product' ELSE 'All teams' END, CHR(10),
               'Experience: ', u.required, CHR(10),
               CASE u.k % 7 WHEN 1 THEN CONCAT('Office hours as in NATION_', (u.k + u.k % 2) % 25) WHEN 2 THEN 'Fully remote, work from anywhere'
-                WHEN 3 THEN CONCAT('Based in the United Lands of Region ', u.k % 5, ' North.') ELSE 'On site' END, CHR(10), d.text) END AS text,
+                WHEN 3 THEN CONCAT('Based in the United Lands of Region ', u.k % 5, ' North.')
+                WHEN 4 THEN CONCAT('New NATION_', u.k % 25, ', new NATION_', u.k % 25, ' and more') ELSE 'On site' END, CHR(10), d.text) END AS text,
        u.required AS required_text,
        CASE WHEN u.k % 3 = 0 THEN 'Remote' WHEN u.k % 3 = 1 THEN CONCAT('Office in NATION_', u.k % 25) ELSE NULL END AS location
 FROM (SELECT w.url, w.k,
@@ -52,7 +53,8 @@ SELECT c.c_custkey AS profile_id, c.c_custkey % 50 AS query_id,
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "v_places": """
 SELECT n_name AS place, n_name AS country FROM nation
-UNION ALL SELECT CONCAT('United Lands of Region ', r_regionkey, ' North'), CONCAT('NATION_', r_regionkey * 5) FROM region""",
+UNION ALL SELECT CONCAT('United Lands of Region ', r_regionkey, ' North'), CONCAT('NATION_', r_regionkey * 5) FROM region
+UNION ALL SELECT CONCAT('New ', n_name), CONCAT('NATION_', (n_nationkey + 1) % 25) FROM nation WHERE n_nationkey % 3 = 0""",
     "v_roles": """
 SELECT o.o_custkey AS profile_id, o.o_orderkey AS role_id, o.o_orderpriority AS title,
        CAST(o.o_orderdate AS DATE) AS start_date, CAST(s.ship AS DATE) AS end_date, o.o_orderstatus <> 'F' AS active
@@ -60,7 +62,7 @@ FROM orders o LEFT JOIN (SELECT l_orderkey, MAX(l_shipdate) AS ship FROM lineite
   ON o.o_orderkey = s.l_orderkey""",
     "v_date_texts": """
 SELECT role_id, CAST(start_date AS DATE) AS d,
-       CASE role_id % 9
+       CASE role_id % 24
          WHEN 0 THEN CONCAT(LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'), '/', YEAR(start_date))
          WHEN 1 THEN CONCAT(MONTH(start_date), '/', YEAR(start_date))
          WHEN 2 THEN CONCAT(SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * MONTH(start_date) - 2, 3), ' ', YEAR(start_date))
@@ -69,7 +71,22 @@ SELECT role_id, CAST(start_date AS DATE) AS d,
          WHEN 5 THEN CONCAT(YEAR(start_date), '-', LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'))
          WHEN 6 THEN 'no date'
          WHEN 7 THEN NULL
-         ELSE CONCAT(' present ', MONTH(start_date), '/', YEAR(start_date), ' ') END AS date_text
+         WHEN 8 THEN CONCAT(' present ', MONTH(start_date), '/', YEAR(start_date), ' ')
+         WHEN 9 THEN CONCAT(YEAR(start_date), ' ', SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * MONTH(start_date) - 2, 3))
+         WHEN 10 THEN CONCAT(DAY(start_date), ' ', SPLIT_PART('January,February,March,April,May,June,July,August,September,October,November,December', ',', MONTH(start_date)), ', ', YEAR(start_date))
+         WHEN 11 THEN CONCAT(SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * MONTH(start_date) - 2, 3), ' 3rd ', YEAR(start_date))
+         WHEN 12 THEN SPLIT_PART('January,February,March,April,May,June,July,August,September,October,November,December', ',', MONTH(start_date))
+         WHEN 13 THEN CONCAT(SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * MONTH(start_date) - 2, 3), ' ''', SUBSTR(CAST(YEAR(start_date) AS STRING), 3, 2))
+         WHEN 14 THEN CONCAT(YEAR(start_date), LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'), LPAD(CAST(DAY(start_date) AS STRING), 2, '0'))
+         WHEN 15 THEN CONCAT(YEAR(start_date), '-', LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'), '-', LPAD(CAST(DAY(start_date) AS STRING), 2, '0'), 'T00:00:00')
+         WHEN 16 THEN CONCAT(LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'), '-', YEAR(start_date))
+         WHEN 17 THEN CONCAT(LPAD(CAST(DAY(start_date) AS STRING), 2, '0'), '/', LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'), '/', YEAR(start_date))
+         WHEN 18 THEN CONCAT(LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'), '.', YEAR(start_date))
+         WHEN 19 THEN CONCAT('Tuesday, ', SPLIT_PART('January,February,March,April,May,June,July,August,September,October,November,December', ',', MONTH(start_date)), ' ', DAY(start_date), ', ', YEAR(start_date))
+         WHEN 20 THEN CONCAT(YEAR(start_date), '-', LPAD(CAST(MONTH(start_date) AS STRING), 2, '0'), '-', LPAD(CAST(DAY(start_date) AS STRING), 2, '0'), ' 10:30 PM')
+         WHEN 21 THEN CONCAT(SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * MONTH(start_date) - 2, 3), '-', YEAR(start_date))
+         WHEN 22 THEN CONCAT(DAY(start_date), ' ', SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * MONTH(start_date) - 2, 3), ' ', SUBSTR(CAST(YEAR(start_date) AS STRING), 3, 2))
+         WHEN 23 THEN CONCAT('Smarch ', YEAR(start_date)) END AS date_text
 FROM v_roles""",
     "v_resume_lines": """
 SELECT c_custkey AS doc_id, CAST(0 AS BIGINT) AS line_no, c_name AS text FROM customer
@@ -100,6 +117,26 @@ SELECT user_id * 1000 + CAST(FLOOR(event_id / 40) AS BIGINT) % 40 AS request_id,
        CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'API Timeout' WHEN 1 THEN 'Request Error'
          ELSE 'API limit reached' END END AS error
 FROM events""",
+    "v_attempt_logs": """
+SELECT o_orderkey AS request_id, x.model_no, x.attempt_no, o_orderkey * 10 + x.place AS seq,
+       CASE WHEN x.kind = 'ok' THEN '{"a": 1}' WHEN x.kind = 'bad' THEN 'no json' END AS raw,
+       CASE x.kind WHEN 'ok' THEN 200 WHEN 'bad' THEN 200 WHEN 'busy' THEN 503 WHEN 'gone' THEN 404 END AS status,
+       CASE x.kind WHEN 'slow' THEN 'API Timeout' WHEN 'odd' THEN 'Request Error' WHEN 'stop' THEN 'API limit reached' END AS error
+FROM orders JOIN (
+  SELECT 0 AS variant, 0 AS model_no, 1 AS attempt_no, 0 AS place, 'ok' AS kind
+  UNION ALL SELECT 1, 0, 1, 0, 'busy' UNION ALL SELECT 1, 0, 2, 1, 'ok'
+  UNION ALL SELECT 2, 0, 1, 0, 'bad' UNION ALL SELECT 2, 1, 1, 1, 'ok'
+  UNION ALL SELECT 3, 0, 1, 0, 'odd' UNION ALL SELECT 3, 0, 2, 1, 'slow' UNION ALL SELECT 3, 1, 1, 2, 'gone' UNION ALL SELECT 3, 2, 1, 3, 'ok'
+  UNION ALL SELECT 4, 0, 1, 0, 'stop'
+  UNION ALL SELECT 5, 0, 1, 0, 'ok' UNION ALL SELECT 5, 1, 1, 1, 'ok'
+  UNION ALL SELECT 6, 0, 1, 0, 'bad' UNION ALL SELECT 6, 2, 1, 1, 'ok'
+  UNION ALL SELECT 7, 0, 1, 0, 'gone' UNION ALL SELECT 7, 0, 2, 1, 'ok'
+  UNION ALL SELECT 8, 0, 1, 0, 'busy' UNION ALL SELECT 8, 0, 2, 1, 'busy' UNION ALL SELECT 8, 0, 3, 2, 'busy'
+  UNION ALL SELECT 9, 0, 1, 0, 'busy' UNION ALL SELECT 9, 1, 1, 1, 'ok'
+  UNION ALL SELECT 10, 0, 1, 0, 'stop' UNION ALL SELECT 10, 1, 1, 1, 'ok'
+  UNION ALL SELECT 11, 0, 1, 1, 'bad' UNION ALL SELECT 11, 1, 1, 0, 'ok'
+  UNION ALL SELECT 12, 1, 1, 0, 'slow' UNION ALL SELECT 12, 1, 2, 1, 'slow' UNION ALL SELECT 12, 3, 1, 2, 'odd') x
+  ON o_orderkey % 13 = x.variant""",
     "v_drafts": """
 SELECT CAST(FLOOR(event_id / 2) AS BIGINT) AS request_id, event_id % 2 + 1 AS attempt, event_type <> 'error' AS has_intent_line,
        CONCAT('Subject ', event_id) AS subject,
@@ -109,7 +146,7 @@ SELECT CAST(FLOOR(event_id / 2) AS BIGINT) AS request_id, event_id % 2 + 1 AS at
        CONCAT('notes ', props) AS critique_notes
 FROM events""",
     "v_sse_lines": """
-SELECT user_id AS session_id, event_id AS line_no,
+SELECT user_id AS session_id, event_id AS line_no, ts,
        CASE event_type WHEN 'signup' THEN CONCAT('data: {"id": "', event_id, '", "company": "c', user_id, '"}')
          WHEN 'error' THEN 'data: {"error": "boom"}' WHEN 'view' THEN 'data: {"status": "s"}'
          WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'data: {}' WHEN 1 THEN 'data: {"id": 0}' ELSE 'data: {broken' END
@@ -133,6 +170,9 @@ SELECT s_suppkey AS company_id, CONCAT('Acme Labs ', s_suppkey) AS company,
     "v_news": """
 SELECT CONCAT('Acme Labs ', o_custkey % (SELECT COUNT(*) FROM supplier)) AS company, CONCAT('News ', o_orderkey) AS title,
        o_orderkey AS news_id, CAST(o_orderdate AS DATE) AS published_at FROM orders""",
+    "v_asked": """
+SELECT l_orderkey * 8 + l_linenumber AS request_id, CONCAT('Acme Labs ', MIN(l_suppkey)) AS company, CAST(MIN(l_shipdate) AS DATE) AS asked_on
+FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "v_skills": """
 SELECT p_partkey AS profile_id, 0 AS ord, p_brand AS skill FROM part
 UNION ALL SELECT p_partkey, 1, p_type FROM part""",

@@ -6,6 +6,7 @@ from jobweave import fixed
 from jobweave.functions import company_domain, referrer_name, token_text
 from jobweave.operators.filters import profile_urls, verified
 from jobweave.operators.ordered import top_k
+from jobweave.session import written
 
 
 def current_employee(snippet: Column, company: Column) -> Column:
@@ -105,3 +106,32 @@ def attach_news(matches: DataFrame, news: DataFrame, as_of: str, months: int = 6
         F.sort_array(F.collect_list(F.struct("pos", "title"))).getField("title").alias("news"))
     empty = F.array().cast("array<string>")
     return matches.join(titles, "company", "left").withColumn("news", F.coalesce("news", empty))
+
+
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
+def recent_news_at(asked: DataFrame, news: DataFrame, months: int = 6, k: int = fixed.MAX_NEWS) -> DataFrame:
+    """J-04 for many days: (company, asked_on) with the k newest items of the months before that day, as rows numbered by `pos`.
+
+    An interval join: news lie in the bucket of their month, and a day looks into the buckets that its interval touches, so
+    both meet by (company, month) and the interval itself is checked on what meets. Days of a company count once however many
+    requests share them, and of a day's news only the k first can matter, so a company's pairs are bounded by its days.
+    """
+    firsts = top_k(news.filter("published_at is not null"), ["company", "published_at"], ["news_id"], k, ["news_id"]).drop("pos")
+    first = F.add_months("asked_on", -months)
+    days = (asked.select("company", "asked_on").filter("asked_on is not null").distinct()
+            .withColumn("month", F.explode(F.sequence(_month(first), _month(F.col("asked_on"))))))
+    met = (days.join(firsts.withColumn("month", _month(F.col("published_at"))), ["company", "month"]).drop("month")
+           .filter((F.col("published_at") > first) & (F.col("published_at") <= F.col("asked_on"))))
+    return top_k(met, ["company", "asked_on"], [F.desc("published_at"), F.asc("news_id")], k)
+
+
+def attach_news_at(requests: DataFrame, news: DataFrame, months: int = 6, k: int = fixed.MAX_NEWS) -> DataFrame:
+    """J-04: requests, each with its own day `asked_on`, and the titles of their companies' newest items before it."""
+    titles = recent_news_at(requests, news, months, k).groupBy("company", "asked_on").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "title"))).getField("title").alias("news"))
+    titles = written(titles, "news-of-days")  # both sides of the join are then plain reads, so hot companies are split
+    none = F.array().cast("array<string>")
+    return requests.join(titles, ["company", "asked_on"], "left").withColumn("news", F.coalesce("news", none))

@@ -58,11 +58,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, wherever they are; one that is not there is no error."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `written` returned, when nothing reads them any more; others stay."""
     for table in tables:
-        path = getattr(table, "written_path", None)
-        if path:
-            spark = table.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if getattr(table, "written_path", None):
+            remove(table.sparkSession, table.written_path)

@@ -1,13 +1,15 @@
 """Streams of result lines and of search results."""
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from jobweave.functions import py_strip
 from jobweave.operators.matching import PROFILE_CLASS, class_matches
-from jobweave.operators.ordered import dedupe_first
+from jobweave.session import remove
 
 CLOSE = "event: close"
 
@@ -54,54 +56,95 @@ def start(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None
             .trigger(availableNow=True).start())
 
 
-def stream_cut(lines: DataFrame, folder: str) -> StreamingQuery:
+def keep_in_rocksdb(spark: SparkSession) -> None:
+    """Keyed state lives in RocksDB on the executors and, as changes per batch, in the checkpoint folder."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class SessionCut(StatefulProcessor):
+    """Lines before their session's close. The state of a session is where it closed; a timer frees it once it is idle."""
+
+    def __init__(self, idle_ms: int, columns: list[str]):
+        self.idle_ms, self.columns = idle_ms, columns
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.closed = handle.getValueState("closed", "line bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(rows)
+        closing = batch.loc[batch["line"].str.startswith(CLOSE), "line_no"]
+        closed = self.closed.get()[0] if self.closed.exists() else None
+        if len(closing):
+            closed = int(closing.min()) if closed is None else min(closed, int(closing.min()))
+            self.closed.update((closed,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(batch["ts"].max().timestamp() * 1000) + self.idle_ms)
+        yield (batch if closed is None else batch[batch["line_no"] < closed])[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.closed.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cut(lines: DataFrame, folder: str, delay: str = "1 hour", idle_ms: int = 24 * 3_600_000) -> StreamingQuery:
     """W-02 on a stream: lines before their session's close, written below `folder`/lines.
 
-    Closing positions are added batch by batch, one small row per closed session. Each batch joins
-    them by session; a batch that is run again overwrites only what it wrote itself.
+    `lines` has `session_id, line_no, line, ts`. A session is over `idle_ms` after its last line by event time; its state is
+    then freed, and a number that comes again begins a new one. Lines that arrive more than `delay` behind the newest line are
+    late and dropped. A task holds the lines of one session in one batch.
     """
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        schema = "session_id bigint, closed bigint"
-        (batch.filter(F.col("line").startswith(CLOSE)).groupBy("session_id").agg(F.min("line_no").alias("closed"))
-         .write.mode("overwrite").parquet(f"{folder}/closed/batch={n}"))
-        known = spark.read.schema(schema + ", batch bigint").parquet(f"{folder}/closed").filter(F.col("batch") <= n)
-        closed = known.groupBy("session_id").agg(F.min("closed").alias("closed"))
-        (batch.join(closed, "session_id", "left")
-         .filter(F.col("closed").isNull() | (F.col("line_no") < F.col("closed"))).drop("closed")
-         .write.mode("overwrite").parquet(f"{folder}/lines/batch={n}"))
+    keep_in_rocksdb(lines.sparkSession)
+    columns = ["session_id", "line_no", "line"]
+    schema = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in columns)
+    cut = (lines.select(*columns, "ts").withWatermark("ts", delay).groupBy("session_id")
+           .transformWithStateInPandas(SessionCut(idle_ms, columns), schema, "append", "EventTime"))
+    return (cut.writeStream.format("parquet").option("path", f"{folder}/lines").option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True).start())
 
-    return start(lines, folder, write)
+
+def first_arrivals(stream: DataFrame, key: list[str], delay: str = "30 days") -> DataFrame:
+    """The first row of each key to arrive; of rows of one key in the same batch any may be it.
+
+    Keys that came before are keyed state in RocksDB: a batch looks up its own keys, whatever the length of the history. Where
+    rows have an event time `ts`, a key is forgotten `delay` after it came, and rows later than that are dropped; without one
+    all keys are kept.
+    """
+    keep_in_rocksdb(stream.sparkSession)
+    if "ts" in stream.columns:
+        return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
+    return stream.dropDuplicates(key)
 
 
-def stream_matches(profiles: DataFrame, jobs: DataFrame, folder: str, k: int = 10) -> StreamingQuery:
+def stream_matches(profiles: DataFrame, jobs: DataFrame, folder: str, k: int = 10, delay: str = "30 days") -> StreamingQuery:
     """W-05: matches as postings arrive, at most k per profile over the whole stream.
 
-    The state is the number of matches per class of profiles, so its size follows the distinct facts, and every (query, URL)
-    that has arrived: the first arrival counts, later ones take no place.
-    A batch fills each class up to k in its order of arrival; new matches go to `folder`/matches,
-    one row per class, to be joined with the profiles by `matches_of`.
+    The first arrival of a (query, URL) counts, as keyed state tells (`first_arrivals`). The number of matches per class of profiles is a table as small as the distinct facts. A
+    batch fills each class up to k in its order of arrival; new matches go to `folder`/matches, one row per class, to be
+    joined with the profiles by `matches_of`. So a batch's work follows its own rows. A batch that is run again overwrites
+    only what it wrote itself.
     """
-    address = ", ".join(f"{c} {jobs.schema[c].dataType.simpleString()}" for c in ("query_id", "url"))
     state = ", ".join(f"{c} {profiles.schema[c].dataType.simpleString()}" for c in PROFILE_CLASS) + ", found bigint"
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         found = _previous(spark, f"{folder}/state", n, state)
-        first = dedupe_first(batch, ["query_id", "url"], ["source_order", "rank"])
-        if n > 0:
-            seen = spark.read.schema(address + ", batch bigint").parquet(f"{folder}/seen").filter(F.col("batch") < n)
-            seen = seen.select(F.col("query_id").alias("_query"), F.col("url").alias("_url"))
-            first = first.join(seen, F.col("query_id").eqNullSafe(F.col("_query")) & F.col("url").eqNullSafe(F.col("_url")), "left_anti")
-        first.select("query_id", "url").write.mode("overwrite").parquet(f"{folder}/seen/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{folder}/new/batch={n}")  # the state is read once
+        first = spark.read.schema(batch.schema).parquet(f"{folder}/new/batch={n}")
         picked = (class_matches(profiles, first, k).join(found, PROFILE_CLASS, "left")
                   .withColumn("pos", F.col("pos") + F.coalesce("found", F.lit(0))).filter(F.col("pos") <= k).drop("found"))
         picked.write.mode("overwrite").parquet(f"{folder}/matches/batch={n}")
-        new = spark.read.parquet(f"{folder}/matches/batch={n}").groupBy(*PROFILE_CLASS).agg(F.count("*").alias("found"))
+        new = spark.read.schema(picked.schema).parquet(f"{folder}/matches/batch={n}").groupBy(*PROFILE_CLASS).agg(F.count("*").alias("found"))
         (found.unionByName(new).groupBy(*PROFILE_CLASS).agg(F.sum("found").alias("found"))
          .write.mode("overwrite").parquet(f"{folder}/state/batch={n}"))
+        remove(spark, f"{folder}/new/batch={n}", *([f"{folder}/state/batch={n - 2}"] if n > 1 else []))
 
-    return start(jobs, folder, write)
+    return start(first_arrivals(jobs, ["query_id", "url"], delay), folder, write)
 
 
 def matches_of(profiles: DataFrame, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobweave import fixed
 from jobweave.operators.usage import admit_calls
+from jobweave.session import remove
 from jobweave.streaming.results import _previous, start
 
 
@@ -30,18 +31,28 @@ def read_usage(spark, folder: str) -> DataFrame:
 
 
 def stream_quota(calls: DataFrame, folder: str, limits: dict[str, int] = fixed.DAILY_LIMITS,
-                 share: float = fixed.STOP_SHARE) -> StreamingQuery:
+                 share: float = fixed.STOP_SHARE, delay_days: int = 1) -> StreamingQuery:
     """W-06: calls with flag `admitted`, written below `folder`/calls; the count starts anew every day.
 
-    The state is the number of good calls per (day, service). Calls of a batch are taken in time order.
+    The state is the number of good calls per (day, service). Days that end more than `delay_days` before the newest call's
+    day are over: their state is freed, and calls that still arrive for them are late and dropped. So the state holds
+    `delay_days` + 1 days, however long the stream runs. Calls of a batch are taken in time order, in parallel inside a hot
+    day and service too (`admit_calls`). A batch that is run again overwrites only what it wrote itself.
     """
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         used = _previous(spark, f"{folder}/state", n, "day date, service string, used bigint")
+        over = used.agg(F.max("day")).first()[0]  # as the batches before left it, so that a batch's own order does not matter
+        if over is not None:
+            batch = batch.filter(F.to_date("ts") >= F.date_sub(F.lit(over), delay_days))
         admit_calls(batch, limits, share, used=used).write.mode("overwrite").parquet(f"{folder}/calls/batch={n}")
-        new = (batch.filter("ok").groupBy(F.to_date("ts").alias("day"), "service").agg(F.count("*").alias("used")))
-        (used.unionByName(new).groupBy("day", "service").agg(F.sum("used").alias("used"))
-         .write.mode("overwrite").parquet(f"{folder}/state/batch={n}"))
+        new = (batch.groupBy(F.to_date("ts").alias("day"), "service").agg(F.count_if("ok").alias("used")))
+        counts = used.unionByName(new).groupBy("day", "service").agg(F.sum("used").alias("used"))
+        newest = counts.agg(F.max("day").alias("newest"))
+        (counts.crossJoin(newest).filter(F.col("day") >= F.date_sub("newest", delay_days)).drop("newest")  # one row
+         .coalesce(1).write.mode("overwrite").parquet(f"{folder}/state/batch={n}"))
+        if n > 1:
+            remove(spark, f"{folder}/state/batch={n - 2}")
 
     return start(calls, folder, write)
 

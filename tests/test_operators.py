@@ -1,4 +1,5 @@
 """Operators against brute force, hot groups included."""
+import calendar
 import datetime
 import random
 
@@ -7,13 +8,13 @@ from pyspark.sql import functions as F
 
 from jobweave import functions as fn
 from jobweave.operators import matching
-from jobweave.operators.contacts import attach_contacts, current_employee, department_rank, name_collision
+from jobweave.operators.contacts import attach_contacts, attach_news_at, current_employee, department_rank, name_collision
 from jobweave.operators.edits import apply_skill_edits
 from jobweave.operators.experience import experience_by_title, total_experience
 from jobweave.operators.ordered import dedupe_first, top_k
 from jobweave.operators.resume import resume_roles, resume_sections, resume_skills
 from jobweave.operators.usage import _calls_to_stop, admit_calls, alert_report, daily_usage, usage_alerts
-from jobweave.operators.gates import detect_places
+from jobweave.operators.gates import Places, detect_places, stated_country
 from jobweave.plans.resume import dated_roles, parse_resumes
 from jobweave.sources.files import append_calls, read_call_lines, read_calls, write_results
 from jobweave.sources.pages import assemble_pages, page_lines
@@ -261,6 +262,39 @@ def test_places(spark):
         "New Delhi, India": "India", "off the united lands of the far north, remote": "North"}
 
 
+def test_places_by_field_and_longest_first(spark):
+    places = spark.createDataFrame([("Guinea", "Guinea"), ("Papua New Guinea", "PNG"), ("Guinea Bissau", "Bissau"), ("New Delhi", "India"), ("India", "India"),
+                                    ("Paris", "France"), ("Paris", "USA"), ("", "None"), (None, "None"), ("Texas", "USA")], "place string, country string")
+    texts = [("Papua New Guinea", "office in Guinea", None), ("guinea bissau", "Guinea-Bissau, GUINEA BISSAU!", ""), ("Paris", "Paris, Texas", "New Delhi india"),
+             ("Papua New Guinea Bissau", "new guinea guinea bissau", "nowhere"), (None, None, None)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, a string, b string, c string")
+    want = {0: ("PNG", "Guinea", None), 1: ("Bissau", "Bissau", None), 2: (None, None, "India"), 3: ("PNG", None, None)}
+    for most in (10_000, 2):  # by a list of first words, and by a join on every word
+        known = Places(places, most)
+        begun = df.select("id", *[known.begins(F.col(c)).alias(c) for c in "abc"])
+        got = known.countries(begun, ["id"], {"x": "a", "y": "b", "z": "c"}).collect()
+        assert {r.id: (r.x, r.y, r.z) for r in got} == want
+    both = df.select(stated_country(F.lit("B"), F.lit(None).cast("string"), F.lit("A")).alias("two"), stated_country(F.lit("A"), F.lit("A")).alias("one"),
+                     stated_country(F.lit(None).cast("string")).alias("none")).first()
+    assert tuple(both) == ("A / B", "A", None)
+
+
+def test_news_of_each_requests_own_day(spark):
+    rng, day = random.Random(11), datetime.date(2024, 1, 31)
+    news = [(f"c{0 if rng.random() < .6 else rng.randrange(4)}", f"t{i}", i, None if i == 5 else day + datetime.timedelta(rng.randrange(-300, 300))) for i in range(400)]
+    asked = [(i, f"c{0 if rng.random() < .6 else rng.randrange(5)}", None if i == 3 else day + datetime.timedelta(rng.randrange(-100, 250))) for i in range(150)]
+    ndf = spark.createDataFrame(news, "company string, title string, news_id int, published_at date")
+    adf = spark.createDataFrame(asked, "request_id int, company string, asked_on date")
+
+    def months_before(d, n):
+        y, m = divmod(d.year * 12 + d.month - 1 - n, 12)
+        return datetime.date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
+
+    want = {i: [x[1] for x in sorted((x for x in news if x[0] == c and d and x[3] and months_before(d, 6) < x[3] <= d), key=lambda x: (-x[3].toordinal(), x[2]))[:3]]
+            for i, c, d in asked}
+    assert {r.request_id: r.news for r in attach_news_at(adf, ndf).collect()} == want
+
+
 def test_search_sources(spark):
     body = '{"organic": [{"title": "A", "link": "l1"}, {"link": "l2", "snippet": "s"}]}'
     df = spark.createDataFrame([(1, body), (2, "{}"), (3, "broken")], "q int, body string")
@@ -278,9 +312,15 @@ def test_usage_files(spark, tmp_path):
     path = str(tmp_path / "log")
     assert read_calls(spark, path).count() == 0
     calls = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1), "groq", True)], "call_id bigint, ts timestamp, service string, ok boolean")
-    append_calls(calls, path)
-    append_calls(calls, path)
+    append_calls(calls, path, 0)
+    append_calls(calls, path, 1)
+    append_calls(calls, path, 1)  # the same batch once more
+    assert read_calls(spark, path).count() == 2 and read_calls(spark, path).columns == ["call_id", "ts", "service", "ok", "day"]
+    append_calls(calls, path, "late")
+    (tmp_path / "log" / "batch=late" / "_SUCCESS").unlink()  # as a writer that died midway leaves it
     assert read_calls(spark, path).count() == 2
+    append_calls(calls, path, "late")
+    assert read_calls(spark, path).count() == 3
     lines = tmp_path / "lines.json"
     lines.write_text('{"call_id": 1, "ts": "2024-01-01T00:00:00", "service": "groq", "ok": true}\nnot json\n')
     assert [r.service for r in read_call_lines(spark, str(lines)).collect()] == ["groq"]

@@ -52,15 +52,45 @@ def test_quota_over_batches(spark, tmp_path):
     assert False in got.values()
 
 
+def test_a_day_that_is_over_frees_its_state(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    calls = [(i, t0 + datetime.timedelta(hours=i), "ab"[i % 2], True) for i in range(24 * 12)]
+    calls.append((9_000, t0, "a", True))  # arrives with the last batch, eleven days late
+    df = spark.createDataFrame(calls, "call_id int, ts timestamp, service string, ok boolean")
+    folder = str(tmp_path / "run")
+    usage.stream_quota(_arrive(spark, df, str(tmp_path / "in"), ["call_id"], files=6), folder, {"a": 10, "b": 10}).awaitTermination()
+    got = {r.call_id: r.admitted for r in spark.read.parquet(f"{folder}/calls").collect()}
+    want = {r.call_id: r.admitted for r in admit_calls(df.where("call_id < 9000"), {"a": 10, "b": 10}).collect()}
+    assert got == want and False in want.values()
+    states = [spark.read.parquet(str(p)) for p in (tmp_path / "run" / "state").iterdir()]
+    assert len(states) <= 2 and all(s.select("day").distinct().count() <= 2 for s in states)
+
+
 def test_close_holds_in_later_batches(spark, tmp_path):
-    rng = random.Random(3)
-    lines = [(0 if rng.random() < 0.5 else rng.randrange(6), i, "event: close" if rng.random() < 0.05 else "data: {}") for i in range(400)]
-    df = spark.createDataFrame(lines, "session_id bigint, line_no bigint, line string")
+    rng, t0 = random.Random(3), datetime.datetime(2024, 1, 1)
+    lines = [(0 if rng.random() < 0.5 else rng.randrange(6), i, "event: close" if rng.random() < 0.05 else "data: {}", t0 + datetime.timedelta(seconds=i)) for i in range(400)]
+    df = spark.createDataFrame(lines, "session_id bigint, line_no bigint, line string, ts timestamp")
     results.stream_cut(_arrive(spark, df, str(tmp_path / "in"), ["line_no"]), str(tmp_path / "run")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "run" / "lines")).select("session_id", "line_no")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, results.cut_at_close(df).select("session_id", "line_no").collect()))
 
 
+def test_idle_sessions_end_and_late_lines_are_dropped(spark, tmp_path):
+    def at(hour):
+        return datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hour)
+
+    batches = [[(1, 0, "data: a", at(0)), (1, 1, "event: close", at(0)), (2, 0, "data: b", at(0))], [(1, 2, "data: closed", at(1)), (2, 1, "data: c", at(9))],
+               [(2, 2, "data: d", at(20))], [(1, 3, "data: new session", at(21)), (2, 3, "data: late", at(2))]]
+    rows = [r for b in batches for r in b]
+    schema = "session_id bigint, line_no bigint, line string, ts timestamp"
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    results.stream_cut(stream, str(tmp_path / "run"), "1 hour", 5 * 3_600_000).awaitTermination()
+    got = {r.line for r in spark.read.parquet(str(tmp_path / "run" / "lines")).collect()}
+    assert got == {r[2] for r in rows} - {"event: close", "data: closed", "data: late"}
+
+
 def test_last_vote_over_batches(spark, tmp_path):
     rng, t0 = random.Random(6), datetime.datetime(2024, 1, 1)
     votes = [(i, t0 + datetime.timedelta(minutes=rng.randrange(900)), f"k{rng.randrange(9)}", rng.choice(["up", "down"])) for i in range(300)]
