@@ -25,6 +25,11 @@ MARKED = r"@|[0-9][\x20.-]?[0-9]|\+[0-9]"
 # A term: a run of letters, with marks, apostrophes and hyphens inside.
 WORD = r"\p{L}[\p{L}\p{M}'-]{2,}+"
 SPAN = "struct<kind:string,begin:int,end:int,value:string>"
+# Lines are looked at in segments of at most so many words; a number with blanks inside is one word.
+SEGMENT = 32
+SEGMENTS = (r"(?:(?:[0-9+(][0-9()+.\x20-]*+|[^\x20\x09-\x0D])[^\x20\x09-\x0D]*+[\x20\x09\x0B-\x0D]*+){1,%d}" % SEGMENT)
+# A text's disclosing terms are dealt over so many lists by a hash, so that looking up a word reads a short one.
+TERM_LISTS = 64
 # Items of a text whose results gather in one array before they join the others.
 BLOCK = 256
 
@@ -117,34 +122,43 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
-def _lines(text: Column) -> Column:
-    """The lines of a text that hold more than white space."""
-    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+def _segments(text: Column) -> Column:
+    """The lines of a text that hold more than white space, cut every SEGMENT words."""
+    return F.regexp_extract_all(text, F.lit(SEGMENTS), F.lit(0))
 
 
-def lines_near_entities(docs: DataFrame) -> DataFrame:
-    """(entities, terms) of each line that is near an entity: it or a neighbouring line has it; blank lines part no neighbours."""
+def segments_near_entities(docs: DataFrame) -> DataFrame:
+    """(entities, terms) of each segment that is near an entity: it or a neighbouring segment has it, or both share it.
+
+    A segment has SEGMENT words at most, so pairs of entities and terms grow with the text, however long its lines are.
+    """
     nothing = F.array().cast("array<string>")
-    own = F.transform("lines", lambda line: F.when(line.rlike(MARKED), _values(line)).otherwise(nothing))
-    marked = docs.where(F.col("text").rlike(MARKED)).select(_lines(F.col("text")).alias("lines")).select("lines", own.alias("own"))
-    near = marked.where(F.exists("own", lambda values: F.size(values) > 0)).withColumns({
-        "before": F.concat(F.array(nothing), F.slice("own", F.lit(1), F.size("own") - 1)), "after": F.concat(F.slice("own", F.lit(2), F.size("own")), F.array(nothing))})
-    line = near.select(F.explode(F.arrays_zip("lines", "own", "before", "after")).alias("x")).select(
-        F.col("x.lines").alias("line"), F.array_distinct(F.concat("x.own", "x.before", "x.after")).alias("entities"))
-    return line.where(F.size("entities") > 0).select("entities", _terms(F.col("line")).alias("terms"))
+    marked = docs.where(F.col("text").rlike(MARKED)).select(F.concat(F.array(F.lit("")), _segments(F.col("text")), F.array(F.lit(""))).alias("segments"))
+
+    def shared(segment: Column, following: Column) -> Column:  # lines keep their end: no base kind goes over it
+        both = F.concat_ws("\n", segment, following)
+        joined = F.when(segment.rlike(r"[\x20\x09\x0B-\x0D]$"), F.concat(segment, following)).otherwise(both)
+        return F.when(joined.rlike(MARKED), _values(joined)).otherwise(nothing)
+
+    pairs = F.zip_with(F.slice("segments", F.lit(1), F.size("segments") - 1), F.slice("segments", F.lit(2), F.size("segments") - 1), shared)
+    near = marked.select("segments", pairs.alias("pairs")).where(F.exists("pairs", lambda values: F.size(values) > 0))
+    each = F.arrays_zip(F.slice("segments", F.lit(2), F.size("segments") - 2).alias("segment"), F.slice("pairs", F.lit(1), F.size("pairs") - 1).alias("before"),
+                        F.slice("pairs", F.lit(2), F.size("pairs") - 1).alias("after"))
+    row = near.select(F.explode(each).alias("x")).select(F.col("x.segment").alias("segment"), F.array_distinct(F.concat("x.before", "x.after")).alias("entities"))
+    return row.where(F.size("entities") > 0).select("entities", _terms(F.col("segment")).alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame, share: float) -> DataFrame:
-    """(entity, term): terms that give away an entity, by smoothed pointwise mutual information over all lines.
+    """(entity, term): terms that give away an entity, by smoothed pointwise mutual information over all segments of lines.
 
-    An entity is the value of a base span, however seldom it stands. A line is near it if it or a neighbouring line has it (see
-    `lines_near_entities`). All four counts are over the same lines: those of all texts that are not blank; copies count as
-    often as they stand. With N lines, n(e) near e, n(t) with t and n(e, t) with t near e, a term discloses the share
-    log(N n(e,t) / (n(e) n(t))) / log(N / n(e)) of what the entity itself tells, and counts from `share` up. Half a line is
+    An entity is the value of a base span, however seldom it stands. A segment is near it if it or a neighbouring one has it
+    (see `segments_near_entities`). All four counts are over the same segments, those of all texts; copies count as
+    often as they stand. With N segments, n(e) near e, n(t) with t and n(e, t) with t near e, a term discloses the share
+    log(N n(e,t) / (n(e) n(t))) / log(N / n(e)) of what the entity itself tells, and counts from `share` up. Half a segment is
     added to each of the four cells (with and without t, near e or not), as counts of one or two are uncertain.
     """
-    lines = docs.where("text is not null").select(_lines(F.col("text")).alias("lines"))
-    near = written(lines_near_entities(docs), "near").select(F.explode("entities").alias("entity"), "terms")
+    lines = docs.where("text is not null").select(_segments(F.col("text")).alias("lines"))
+    near = written(segments_near_entities(docs), "near").select(F.explode("entities").alias("entity"), "terms")
     n_entity = near.groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = near.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     n_term = lines.select(F.explode("lines").alias("line")).select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
@@ -153,15 +167,44 @@ def disclosing_terms(docs: DataFrame, share: float) -> DataFrame:
     return joint.join(n_entity, "entity").join(n_term, "term").where((F.col("n_e") < n) & (told >= share * F.log((n + 2) / (F.col("n_e") + 1)))).select("entity", "term")
 
 
+def _outside(spans: Column, base: Column) -> Column:
+    """Those of the spans, in order of place, that overlap no base span: two sweeps over both in order."""
+    far = (1 << 31) - 1
+    place = f"struct<begin:int,own:int,end:int,span:{SPAN}>"
+
+    def placed(array: Column, own: int) -> Column:
+        return F.transform(array, lambda s: F.struct(s["begin"].alias("begin"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span")))
+
+    def sweep(items: Column, after, clear) -> Column:  # all base spans stay, of the others those that are clear
+        return _scan(items, place, lambda at, x: F.when(x["own"] == 0, F.greatest(at, after(x))).otherwise(at),
+                     lambda at, x: F.when((x["own"] == 0) | clear(at, x), F.array(x)).otherwise(F.array().cast(f"array<{place}>")))
+
+    items = F.array_sort(F.concat(placed(base, 0), placed(spans, 1)))
+    ahead = _let(items, lambda p: sweep(p, lambda x: x["end"], lambda at, x: x["begin"] >= at))
+    back = _let(F.reverse(ahead), lambda p: sweep(p, lambda x: F.lit(far) - x["begin"], lambda at, x: x["end"] <= F.lit(far) - at))
+    return F.transform(F.filter(F.reverse(back), lambda x: x["own"] == 1), lambda x: x["span"])
+
+
+def _let(value: Column, then) -> Column:
+    """What `then` makes of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _list_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_LISTS)).cast("int")
+
+
 def find_personal_data(docs: DataFrame, share: float = 0.8) -> DataFrame:
     """Rows of `docs` with base_spans and all_spans: arrays of (kind, begin, end, value) by kind, then begin.
 
     Base spans match the kinds' patterns and conditions. The method's spans (kind `term`) are words of a text that disclose
     an entity of the same text (see `disclosing_terms`) and stand outside its base spans. Statistics cover all lines of
     all texts. Null and empty texts have no spans; rows with equal id and text get equal results; an empty table gives
-    none; columns with the names of results are replaced. All expressions run in the JVM.
+    none; columns with the names of results are replaced, others stay. Work grows with a text's length, also where it is one
+    line. All expressions run in the JVM.
     """
-    docs = docs.drop("base_spans", "all_spans", "_hash", "_terms")
+    kept = docs.drop("base_spans", "all_spans")
+    docs = kept.toDF(*(c if c in ("doc_id", "text") else f"own {i}" for i, c in enumerate(kept.columns)))  # clear of the names below
     text, key = F.col("text"), ["doc_id", "_hash"]
     holds = text.rlike(MARKED) & (F.size(base_spans(text)) > 0)
     marked = docs.where(holds).withColumn("_hash", F.xxhash64("text"))
@@ -174,15 +217,17 @@ def find_personal_data(docs: DataFrame, share: float = 0.8) -> DataFrame:
     # By term first: a term discloses few entities, while an entity in many texts may have many terms.
     near = held.select(*key, F.explode("terms").alias("term")).join(pairs, "term")
     values = held.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.explode("entities").alias("_entity"))
-    told = near.join(values, same(values, near) & (near["entity"] == values["_entity"]), "left_semi").groupBy(*key).agg(F.collect_set("term").alias("_terms"))
-    told = written(told.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_terms"), "told")
+    told = near.join(values, same(values, near) & (near["entity"] == values["_entity"]), "left_semi").groupBy(*key, _list_of(F.col("term")).alias("list")).agg(
+        F.collect_set("term").alias("terms")).groupBy(*key).agg(F.collect_list(F.struct("list", "terms")).alias("lists"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(TERM_LISTS - 1)), lambda i: F.get(F.filter("lists", lambda x: x["list"] == i), F.lit(0))["terms"])
+    told = written(told.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), filled.alias("_terms")), "told")
     rows = marked.join(told, same(told, marked), "left").withColumn("base_spans", base_spans(text))
-    own = spans_of(text, TERM, lambda value: F.array_contains("_terms", value))
-    outside = F.filter(own, lambda t: ~F.exists("base_spans", lambda s: (s["begin"] < t["end"]) & (t["begin"] < s["end"])))
-    rows = rows.withColumn("all_spans", F.when(F.col("_terms").isNull(), F.col("base_spans")).otherwise(F.concat("base_spans", outside))).drop(
-        "_hash", "_id", "_h", "_terms")
+    own = spans_of(text, TERM, lambda value: F.coalesce(F.array_contains(F.get("_terms", _list_of(value)), value), F.lit(False)))
+    rows = rows.withColumn("all_spans", F.when(F.col("_terms").isNull(), F.col("base_spans")).otherwise(
+        _let(F.col("base_spans"), lambda base: F.concat(base, _outside(own, base)))))
     # Texts without spans, by far the most, take no part in the join.
-    return docs.where(~F.coalesce(holds, F.lit(False))).withColumns({"base_spans": _none(), "all_spans": _none()}).unionByName(rows)
+    rest = docs.where(~F.coalesce(holds, F.lit(False))).withColumns({"base_spans": _none(), "all_spans": _none()})
+    return rest.unionByName(rows.select(rest.columns)).toDF(*kept.columns, "base_spans", "all_spans")
 
 
 def number(spans: Column, kind: str) -> Column:

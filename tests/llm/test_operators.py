@@ -1,5 +1,8 @@
 import hashlib
+import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -442,3 +445,56 @@ def test_values_without_adjacent_digits_disclose_terms(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: [s["value"] for s in r["all_spans"]] for r in pii.find_personal_data(df).collect()}
     assert all(found[i] == [v, f"Wendeline{'abcd'[i]}"] for i, v in enumerate(values)) and not any(found[i] for i in range(4, len(texts)))
+
+
+def test_personal_data_beside_columns_of_any_name(edge):
+    clash = edge.withColumns({c: F.lit(c) for c in ("_id", "_h", "_hash", "_terms", "term", "entity", "lists", "Base_Spans")})
+    rows = pii.find_personal_data(clash).collect()
+    assert len(rows) == len(ROWS) and all(r[c] == c for r in rows for c in ("_id", "_h", "_hash", "_terms", "term", "entity", "lists"))
+    assert Counter((r["doc_id"], r["text"], str(r["all_spans"])) for r in rows) == Counter(
+        (r["doc_id"], r["text"], str(r["all_spans"])) for r in pii.find_personal_data(edge).collect())
+
+
+def test_disclosing_terms_against_plain_counts(spark):
+    rng = random.Random(17)
+    names = ["Quandor", "Velmira", "Tosk", "Ibarrow"]
+    texts = []
+    for i in range(120):
+        who = rng.randrange(4)
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(rng.randrange(5, 90))]
+        if rng.random() < .5:
+            at = rng.randrange(len(words))
+            words[at:at] = [names[who], rng.choice([f"mail{who}@x.example", "+49 30 1234 567", "1.2.3.4"])]
+        texts.append(" ".join(words[:40]) + "\n" + " ".join(words[40:]))
+    segments = []
+    for t in texts:
+        own = []
+        for line in t.split("\n"):
+            units = re.findall(r"(?:[0-9+(][0-9()+. -]*|[^ ])[^ ]* *", line)
+            own += ["".join(units[i:i + pii.SEGMENT]) for i in range(0, len(units), pii.SEGMENT)]
+        segments.append(own)
+
+    def of(t):
+        return set(re.findall(r"[^\W\d_][^\W\d_'-]{2,}", t))
+
+    n, n_e, n_t, n_et = sum(map(len, segments)), Counter(), Counter(), Counter()
+    for own in segments:
+        found = [{s.strip()[b:e] for _, b, e in brute.base_spans(s.strip())} for s in own]
+        for i, s in enumerate(own):
+            n_t.update(of(s))
+            for e in set().union(*found[max(i - 1, 0):i + 2]):
+                n_e[e] += 1
+                n_et.update((e, t) for t in of(s))
+    want = {(e, t) for (e, t), k in n_et.items() if n_e[e] < n and
+            math.log((n + 2) * (k + .5) / ((n_e[e] + 1) * (n_t[t] + 1))) >= .5 * math.log((n + 2) / (n_e[e] + 1))}
+    got = pii.disclosing_terms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), .5)
+    assert {tuple(r) for r in got.collect()} == want and any(t in names for _, t in want)
+
+
+def test_one_line_of_many_addresses(spark):
+    text = " ".join(f"user{i} word{i % 50}x u{i}@mail{i}.example" for i in range(20_000))
+    start = time.time()
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert sum(s["kind"] == "email" for s in row["base_spans"]) == 20_000
+    ends = sorted((s["begin"], s["end"]) for s in row["all_spans"])
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:])) and time.time() - start < 150
