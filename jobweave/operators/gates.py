@@ -1,4 +1,7 @@
 """The three gates a posting must pass: experience, location and remote work."""
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +64,23 @@ class Places:
 
     def begins(self, text: Column) -> Column:
         """Where a text may begin to name a place: an array of (at, window), the word's number and the words from there on."""
-        words = F.split(F.trim(token_text(text)), " ")
-
-        def window(word: Column, i: Column) -> Column:
-            ahead = F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, F.lit(self.longest)), " ").alias("window"))
-            return ahead if self.firsts is None else F.when(word.isin(self.firsts), ahead)
-
-        found = F.transform(words, window)
-        return F.coalesce(found if self.firsts is None else F.array_compact(found), F.array().cast("array<struct<at:int,window:string>>"))
+        none = F.array().cast("array<struct<at:int,window:string>>")
+
+        def windows(words: Column) -> Column:  # split once, however many words begin a place
+            def window(word: Column, i: Column) -> Column:
+                ahead = F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, F.lit(self.longest)), " ").alias("window"))
+                return ahead if self.firsts is None else F.when(word.isin(self.firsts), ahead)
+
+            return F.transform(words, window)
+
+        found = F.transform(F.array(F.split(F.trim(token_text(text)), " ")), windows)[0]
+        if self.firsts is None:
+            return F.coalesce(found, none)
+        found = F.array_compact(found)
+        if len(self.firsts) <= 50:  # a text without any of few words need not be split
+            low = F.lower(text)
+            found = F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in self.firsts], F.lit(False)), found)
+        return F.coalesce(found, none)
 
     def countries(self, df: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:
         """keys and a column per field: the one country which that field's places name, null for none or several.
