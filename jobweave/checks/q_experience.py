@@ -114,7 +114,12 @@ def resume_skill_words(view, spark, sf_dir):
 
 
 def _month(x: str) -> str:
-    return f"make_date(CAST(split_part({x}, '/', 2) AS INT), CAST(split_part({x}, '/', 1) AS INT), 1)"
+    def first(year: str, month: str) -> str:
+        return f"make_date(TRY_CAST({year} AS INT), {month}, 1)"
+    names = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+    return (f"CASE WHEN contains({x}, '/') THEN {first(f'split_part({x}, chr(47), 2)', f'TRY_CAST(split_part({x}, chr(47), 1) AS INT)')} "
+            f"WHEN contains({x}, '-') THEN {first(f'split_part({x}, chr(45), 1)', f'TRY_CAST(split_part({x}, chr(45), 2) AS INT)')} "
+            f"ELSE {first(f'right({x}, 4)', f'list_position({names}, left({x}, 3))')} END")
 
 
 _SKILLS = """SELECT doc_id, skill, min(line_no) AS line_no FROM (

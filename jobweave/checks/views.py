@@ -97,9 +97,8 @@ UNION ALL SELECT c_custkey, CAST(4 AS BIGINT), 'Experience' FROM customer
 UNION ALL SELECT o_custkey, 5 + 3 * o_orderkey, CONCAT('Acme Labs ', o_orderkey % 13) FROM orders
 UNION ALL SELECT o_custkey, 6 + 3 * o_orderkey, o_orderpriority FROM orders
 UNION ALL SELECT o_custkey, 7 + 3 * o_orderkey,
-                 CONCAT(LPAD(CAST(MONTH(o_orderdate) AS STRING), 2, '0'), '/', YEAR(o_orderdate), ' - ',
-                        CASE o_orderkey % 4 WHEN 0 THEN 'present'
-                          ELSE CONCAT(LPAD(CAST(o_orderkey % 12 + 1 AS STRING), 2, '0'), '/', YEAR(o_orderdate) + 1) END) FROM orders""",
+                 CONCAT(CASE o_orderkey % 3 WHEN 0 THEN CONCAT(LPAD(CAST(MONTH(o_orderdate) AS STRING), 2, '0'), '/', YEAR(o_orderdate)) WHEN 1 THEN CONCAT(SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * (MONTH(o_orderdate)) - 2, 3), ' ', YEAR(o_orderdate)) ELSE CONCAT(YEAR(o_orderdate), '-', LPAD(CAST(MONTH(o_orderdate) AS STRING), 2, '0')) END, CASE o_orderkey % 2 WHEN 0 THEN ' - ' ELSE ' – ' END,
+                        CASE o_orderkey % 4 WHEN 0 THEN 'present' ELSE CASE o_orderkey % 3 WHEN 0 THEN CONCAT(LPAD(CAST(o_orderkey % 12 + 1 AS STRING), 2, '0'), '/', YEAR(o_orderdate) + 1) WHEN 1 THEN CONCAT(SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * (o_orderkey % 12 + 1) - 2, 3), ' ', YEAR(o_orderdate) + 1) ELSE CONCAT(YEAR(o_orderdate) + 1, '-', LPAD(CAST(o_orderkey % 12 + 1 AS STRING), 2, '0')) END END) FROM orders""",
     "v_api_calls": """
 SELECT event_id AS call_id, ts, CASE event_type WHEN 'click' THEN 'serper' WHEN 'view' THEN 'groq' WHEN 'purchase' THEN 'hunter'
          WHEN 'signup' THEN 'hunter' ELSE 'other' END AS service,

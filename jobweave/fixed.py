@@ -80,7 +80,9 @@ TEAM = r"\b[Tt]eam:\s*([A-Z][A-Za-z]+)"
 REMOTE = r"(?i)\b(?:remote|wfh|work from anywhere)\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+?\d[\d ()-]{7,}\d"
-DATE_RANGE = r"^\s*(\d{1,2}/\d{4})\s*[-–]\s*(\d{1,2}/\d{4}|[Pp]resent|[Cc]urrent|[Nn]ow)\s*$"
+MONTH_POINT = (r"(?:\d{1,2}/\d{4}|\d{4}-\d{1,2}|\d{1,2}-\d{4}|\d{4}"
+               r"|(?:\d{1,2} )?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}\.?,? ?\x27?\d{2,4})")
+DATE_RANGE = rf"(?i)^\s*({MONTH_POINT})\s*(?:[-–—]|to|until)\s*({MONTH_POINT}|present|current|now)\s*$"
 
 # Words before a company name that mark a past job; titles that always count.
 PAST_JOB = ["ex", "former", "past", "previously at", "worked at"]

@@ -23,7 +23,9 @@ def parse_years(req: Column) -> Column:
 
 def extract_requirement(text: Column) -> Column:
     """F-04: the first phrase such as `3-5 years`, else `Not specified`."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, REQUIREMENT, 1), F.lit("")), F.lit("Not specified"))
+    low = F.lower(text)
+    found = F.when(F.contains(low, F.lit("year")) | F.contains(low, F.lit("yr")), F.nullif(F.regexp_extract(text, REQUIREMENT, 1), F.lit("")))
+    return F.coalesce(found, F.lit("Not specified"))
 
 
 def experience_mismatch(req: Column, years: Column, tolerance: float = fixed.POST_TOLERANCE) -> Column:

@@ -31,6 +31,13 @@ def source_order(source: Column) -> Column:
     return chain.otherwise(F.lit(fixed.SOURCE_ORDER["Board"]))
 
 
+def _remote(text: Column) -> Column:
+    """A text that offers remote work; only one with a word of the pattern is searched for it."""
+    low = F.lower(text)
+    named = F.contains(low, F.lit("remote")) | F.contains(low, F.lit("wfh")) | F.contains(low, F.lit("work from anywhere"))
+    return F.coalesce(named & text.rlike(fixed.REMOTE), F.lit(False))
+
+
 def posting_facts(postings: DataFrame, places: DataFrame | Places) -> DataFrame:
     """What the gates need to know of each posting with enough text, without the text itself.
 
@@ -41,7 +48,7 @@ def posting_facts(postings: DataFrame, places: DataFrame | Places) -> DataFrame:
     facts = written(min_length(postings, "text").select(
         "url", extract_requirement(F.col("text")).alias("required_text"),
         extract_company(F.col("text")).alias("company_found"), extract_team(F.col("text")).alias("team"),
-        F.coalesce(F.concat_ws("\n", "location", "text").rlike(fixed.REMOTE), F.lit(False)).alias("is_remote"),
+        _remote(F.concat_ws("\n", "location", "text")).alias("is_remote"),
         known.begins(F.col("location")).alias("_location"), known.begins(F.col("text")).alias("_body")), "facts")
     where = known.countries(facts, ["url"], {"location_country": "_location", "body_country": "_body"})
     return facts.drop("_location", "_body").withColumn("min_required", parse_years(F.col("required_text"))).join(where, "url", "left")

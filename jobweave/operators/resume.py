@@ -41,6 +41,9 @@ def resume_sections(lines: DataFrame) -> DataFrame:
 def resume_roles(lines: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """N-04: a role per date-range line of the experience section; title and company stand right before it.
 
+    A range is two dates, or a date and an open end, with a dash or a word between: `04/2025 - 09/2025`, `Jan 2019 – Present`,
+    `2012-01 - 2013-02`, `3 March 2015 to 2017`.
+
     Each line is sent to its own position and, where it may be a title or company, to the next two;
     one grouping by position then brings the three lines of a role together.
     """

@@ -135,6 +135,20 @@ Education
 01/2001 - 01/2005"""
 
 
+def test_roles_of_several_date_layouts(spark):
+    ranges = {"Jan 2019 - Present": ("Jan 2019", "Present"), "2012-01 - 2013-02": ("2012-01", "2013-02"), "2015–2017": ("2015", "2017"),
+              "3 March 2015 to Sept. 2017": ("3 March 2015", "Sept. 2017"), "MAY '19 — now": ("MAY '19", "now"), "04/2025-09/2025": ("04/2025", "09/2025"),
+              "2019 was a year": None, "since 2019 - 2020": None, "Maytag 2019 x - 2020": None}
+    lines = [(1, 0, "Experience")]
+    for i, r in enumerate(ranges):
+        lines += [(1, 3 * i + 1, f"Company {i}"), (1, 3 * i + 2, f"Title {i}"), (1, 3 * i + 3, r)]
+    roles = resume_roles(spark.createDataFrame(lines, "doc_id int, line_no int, text string"))
+    got = {r.title: (r.company, r.start_date, r.end_date) for r in roles.collect()}
+    assert got == {f"Title {i}": (f"Company {i}", *ends) for i, ends in enumerate(ranges.values()) if ends}
+    dated = {r.title: (str(r.start_date), str(r.end_date)) for r in dated_roles(roles, "2024-02-01").collect()}
+    assert dated["Title 0"] == ("2019-01-01", "2024-02-01") and dated["Title 3"] == ("2015-03-03", "2017-09-01") and dated["Title 2"] == ("2015-01-01", "2017-01-01")
+
+
 def test_resume_pages_to_totals(spark):
     lines = RESUME.split("\n")
     pages = [(7, 0, "\n".join(lines[:9])), (7, 1, ""), (7, 2, "\n".join(lines[9:]))]
