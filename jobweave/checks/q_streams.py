@@ -54,7 +54,7 @@ def typed_result_stream(view, spark, sf_dir):
 @query(o.ctes(CUT, views=("v_sse_lines",)) + "SELECT session_id, line_no, line FROM o_cut")
 def lines_before_close(view, spark, sf_dir):
     """W-02 on a table"""
-    return results.cut_at_close(view("v_sse_lines"))
+    return results.cut_at_close(view("v_sse_lines")).select("session_id", "line_no", "line")
 
 
 @query(o.ctes(CUT, views=("v_sse_lines",)) + "SELECT session_id, line_no, line FROM o_cut")
