@@ -5,7 +5,7 @@ for a profile on (years, country, remote only). Postings of one search with equa
 together, so the first k of each such class hold every row any profile's first k can need. The join
 then runs between classes, and its size follows the number of distinct facts, not of rows.
 """
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import fixed
@@ -21,6 +21,12 @@ PROFILE_CLASS = ["query_id", "years", "country", "remote_only"]
 # Country of a profile whose location names none, or several.
 ANYWHERE = "*"
 JOB_CLASS = ["title_senior", "gate_senior", "min_required", "job_country", "is_remote"]
+# What the gates see of a profile's years: below the senior threshold or not, and the largest requirements that pass.
+LEVEL = ["junior", "cap", "post_cap", "remote_only"]
+# Requirements from here on share one bucket of the join.
+NEEDS = 40
+# Positions of a source that are counted together when results are placed among the cuts of their search.
+BLOCK = 1000
 
 
 def source_order(source: Column) -> Column:
@@ -89,36 +95,40 @@ def _in_buckets(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("bucket", F.explode(F.array(F.coalesce("job_country", F.lit("")), F.lit(ANYWHERE))))
 
 
-def _pre_filtered() -> Column:
-    return F.col("title_senior") & (F.col("years") < fixed.SENIOR_YEARS)
+def _levels(profiles: DataFrame, tolerance: float, experience_gate: bool) -> DataFrame:
+    """Profiles with their LEVEL. Requirements are whole numbers (F-03), so years count only up to the next whole number."""
+    years = F.col("years").cast("double")
+    post = F.floor(years + F.lit(float(tolerance))).cast("double")
+    gate = F.least(post, F.floor(years + F.lit(float(fixed.GATE_TOLERANCE))).cast("double")) if experience_gate else post
+    return (profiles.withColumn("junior", F.col("years") < fixed.SENIOR_YEARS)
+            .withColumn("cap", gate).withColumn("post_cap", post))
 
 
-def _beyond(tolerance: float) -> Column:
-    return F.coalesce(F.col("min_required") > F.col("years") + F.lit(tolerance), F.lit(False))
-
-
-def _gated(experience_gate: bool) -> Column:
-    ok = F.col("has_text") & (~F.col("remote_only") | F.col("is_remote"))
-    if experience_gate:
-        ok = ok & ~(F.col("gate_senior") & (F.col("years") < fixed.SENIOR_YEARS)) & ~_beyond(fixed.GATE_TOLERANCE)
-    return ok
+def _open(experience_gate: bool) -> Column:
+    """All rules but the requirement."""
+    ok = F.col("has_text") & (~F.col("remote_only") | F.col("is_remote")) & ~(F.col("title_senior") & F.col("junior"))
+    return ok & ~(F.col("gate_senior") & F.col("junior")) if experience_gate else ok
 
 
 def class_matches(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCHES,
                   tolerance: float = fixed.POST_TOLERANCE, experience_gate: bool = True) -> DataFrame:
     """The first k postings for each class of profiles, numbered in `pos`.
 
-    Country is part of the join key, so the other facts of a profile meet the postings of one country,
-    and those of none, just once for all profiles that share them.
+    A range join by buckets: a posting stands in the bucket of its requirement, one without a requirement in bucket -1, and
+    a class looks into the buckets up to the largest requirement it may meet. Search, country and requirement are the join
+    key, so it stays spread where all results are one search, and the first k of a bucket are all that is read of it.
     """
     firsts = top_k(jobs.filter("has_text"), ["query_id", *JOB_CLASS], SEQ, k, ["url"]).drop("pos")
-    classes = _buckets(profiles.select(*PROFILE_CLASS).distinct())
-    seen_by = ["query_id", "bucket", "years", "remote_only"]
-    passed = (classes.select(*seen_by).distinct()
-              .join(_in_buckets(firsts), ["query_id", "bucket"])
-              .filter(~_pre_filtered() & _gated(experience_gate) & ~_beyond(tolerance)))
-    per_bucket = top_k(passed, seen_by, SEQ, k).drop("pos")
-    return top_k(classes.join(per_bucket, seen_by).drop("bucket"), PROFILE_CLASS, SEQ, k)
+    firsts = firsts.withColumn("need", F.least(F.coalesce("min_required", F.lit(-1.0)), F.lit(float(NEEDS))).cast("int"))
+    classes = _levels(_buckets(profiles.select(*PROFILE_CLASS).distinct()), tolerance, experience_gate)
+    seen_by = ["query_id", "bucket", *LEVEL]
+    highest = F.least(F.greatest("cap", F.lit(-1.0)), F.lit(float(NEEDS))).cast("int")
+    passed = (classes.select(*seen_by).distinct().filter("cap is not null")
+              .withColumn("need", F.explode(F.sequence(F.lit(-1), highest)))
+              .join(_in_buckets(firsts), ["query_id", "bucket", "need"])
+              .filter(_open(experience_gate) & (F.col("min_required").isNull() | (F.col("min_required") <= F.col("cap")))))
+    per_bucket = top_k(passed.drop("need"), seen_by, SEQ, k).drop("pos")
+    return top_k(classes.join(per_bucket, seen_by).drop("bucket", "junior", "cap", "post_cap"), PROFILE_CLASS, SEQ, k)
 
 
 def match(profiles: DataFrame, jobs: DataFrame, on_query: bool = True, tolerance: float = fixed.POST_TOLERANCE,
@@ -141,51 +151,88 @@ def match_count(profiles: DataFrame, jobs: DataFrame, **options) -> DataFrame:
             .select("profile_id", F.coalesce("matches", F.lit(0)).alias("matches")))
 
 
+def _placed(jobs: DataFrame, cuts: DataFrame, carry: list[str]) -> DataFrame:
+    """Rows of `jobs` with `segment`, the number of their search's cuts that lie before them, and the cuts (`is_cut`) with theirs.
+
+    Prefix sums in two steps: inside blocks of BLOCK positions of a source, and over the blocks of a search. Rows after the
+    last cut of their search are not sorted at all.
+    """
+    ends = written(cuts.groupBy("query_id").agg(F.max(F.struct(*SEQ)).alias("end"), F.count("*").alias("cuts")), "funnel-ends")
+    marked = jobs.join(ends, "query_id", "left")
+    near = F.coalesce(F.struct(*SEQ) <= F.col("end"), F.lit(False))
+    after = marked.filter(~near).select("query_id", "url", *carry, F.coalesce("cuts", F.lit(0)).alias("segment"), F.lit(0).alias("is_cut"))
+
+    rows = marked.filter(near).select("query_id", *SEQ, *carry, F.lit(0).alias("is_cut"))
+    rows = rows.unionByName(cuts.select("query_id", *SEQ, F.lit(1).alias("is_cut")), allowMissingColumns=True)
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("rank") / BLOCK), F.lit(-1)))
+    block = ["query_id", "source_order", "block"]
+    inside = F.sum("is_cut").over(Window.partitionBy(*block).orderBy("rank", "url", "is_cut").rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.sum("n").over(Window.partitionBy("query_id").orderBy("source_order", "block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy(*block).agg(F.sum("is_cut").alias("n")).select(*block, F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    within = rows.withColumn("inside", inside).join(blocks, block)
+    within = within.select("query_id", "url", *carry, (F.col("earlier") + F.col("inside") - F.col("is_cut")).alias("segment"), "is_cut")
+    return written(within.unionByName(after), "funnel-segments")
+
+
+def _up_to(counts: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """For each (key, last) asked: the sum of `n` over the counts of the same key whose segment is `last` at most.
+
+    Counts and questions are merged in order of segment and a running sum goes over both, so no question meets each count.
+    """
+    rows = counts.select(*key, "segment", "n", F.lit(0).alias("ask")).unionByName(
+        asked.select(*key, F.col("last").alias("segment"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("ask")).distinct())
+    running = F.sum("n").over(Window.partitionBy(*key).orderBy("segment", "ask").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("n", running).filter("ask = 1").select(*key, F.col("segment").alias("last"), "n")
+
+
 def funnel(profiles: DataFrame, jobs: DataFrame, k: int = fixed.MAX_MATCHES, tolerance: float = fixed.POST_TOLERANCE,
            experience_gate: bool = False, by: tuple = ()) -> DataFrame:
     """A-04: matched, pre-filtered and post-filtered results per profile (and per `by` columns of the jobs).
 
-    Results after the k-th match do not count. The k-th matches of a search cut its order into
-    segments; results are counted per segment, and a class adds up the segments up to its own cut.
-    Result rows beyond the last cut fall into one segment without being compared with the others.
+    Results after the k-th match do not count. The k-th matches of a search cut its order into segments; results are counted
+    per segment and facts, and a class takes the running sums at its own cut. All joins are on equal keys; a class meets the
+    distinct facts of its search, never its results or segments. Results are unique by query_id and url.
     """
     by = list(by)
-    jobs = written(jobs.select("query_id", *SEQ, *JOB_CLASS, "has_text", *by), "funnel-jobs")
-    picked = class_matches(profiles, jobs, k, tolerance, experience_gate).withColumn("seq", F.struct(*SEQ))
-    picked = written(picked.select(*PROFILE_CLASS, "pos", "seq", *by), "funnel-matches")
-    matched = picked.groupBy(*PROFILE_CLASS, *by).agg(F.count("*").alias("matched"))
-    cut = picked.filter(F.col("pos") == k).select(*PROFILE_CLASS, F.col("seq").alias("cut"))
-    cuts = cut.groupBy("query_id").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
-
-    seq = F.struct(*SEQ)
-    segment = (F.when(F.col("cuts").isNull(), 0)
-               .when(seq > F.element_at("cuts", -1), F.size("cuts"))
-               .otherwise(F.size(F.filter("cuts", lambda c: c < seq))))
-    facts = [*JOB_CLASS, "has_text"]
-    counted = (jobs.join(cuts, "query_id", "left").withColumn("segment", segment)
-               .groupBy("query_id", "segment", *facts, *by).agg(F.count("*").alias("n")))
+    group = F.struct(*by) if by else F.lit(0)
+    facts = [*JOB_CLASS, "has_text", "_by"]
+    jobs = written(jobs.withColumn("_by", group).select("query_id", *SEQ, *facts), "funnel-jobs")
+    picked = class_matches(profiles, jobs, k, tolerance, experience_gate)
+    picked = written(picked.select(*PROFILE_CLASS, "pos", *SEQ, "_by"), "funnel-matches")
+    cut = picked.filter(F.col("pos") == k).select(*PROFILE_CLASS, *SEQ)
+    placed = _placed(jobs, cut.select("query_id", *SEQ).distinct(), facts)
+    counted = placed.filter("is_cut = 0").groupBy("query_id", "segment", *facts).agg(F.count("*").alias("n"))
+    numbered = placed.filter("is_cut = 1").select("query_id", "url", F.col("segment").alias("last"))
+    whole = F.lit(2 ** 62)  # a class with fewer than k matches sees all segments
     classes = (profiles.select(*PROFILE_CLASS).distinct()
-               .join(cut, PROFILE_CLASS, "left").join(cuts, "query_id", "left")
-               .withColumn("last", F.when(F.col("cut").isNotNull(), F.array_position("cuts", F.col("cut")) - 1))
-               .select(*PROFILE_CLASS, "last"))
-    in_reach = F.col("last").isNull() | (F.col("segment") <= F.col("last"))
-
-    senior = (counted.filter("title_senior").groupBy("query_id", "segment", *by).agg(F.sum("n").alias("n")))
-    pre = (classes.filter(F.col("years") < fixed.SENIOR_YEARS).join(senior, "query_id").filter(in_reach)
-           .groupBy(*PROFILE_CLASS, *by).agg(F.sum("n").alias("pre_filtered")))
-    post = (_buckets(classes)
-            .join(_in_buckets(counted), ["query_id", "bucket"])
-            .filter(in_reach & ~_pre_filtered() & _gated(experience_gate) & _beyond(tolerance))
-            .groupBy(*PROFILE_CLASS, *by).agg(F.sum("n").alias("post_filtered")))
-    stages = [matched.withColumnRenamed("matched", "n").withColumn("stage", F.lit("matched")),
-              pre.withColumnRenamed("pre_filtered", "n").withColumn("stage", F.lit("pre_filtered")),
-              post.withColumnRenamed("post_filtered", "n").withColumn("stage", F.lit("post_filtered"))]
+               .join(cut.join(numbered, ["query_id", "url"]).select(*PROFILE_CLASS, "last"), PROFILE_CLASS, "left")
+               .withColumn("last", F.coalesce("last", whole)))
+    classes = written(_levels(classes, tolerance, experience_gate), "funnel-classes")
+
+    key = ["query_id", "_by"]
+    senior = counted.filter("title_senior").groupBy(*key, "segment").agg(F.sum("n").alias("n"))
+    asked = classes.filter("junior").select("query_id", "last").distinct().join(senior.select(*key).distinct(), "query_id")
+    pre = (classes.filter("junior").join(_up_to(senior, asked, key), ["query_id", "last"])
+           .select(*PROFILE_CLASS, "_by", "n", F.lit("pre_filtered").alias("stage")))
+
+    key = ["query_id", "bucket", "title_senior", "gate_senior", "min_required", "is_remote", "has_text", "_by"]
+    level = ["query_id", "country", *LEVEL, "last"]
+    asking = counted.filter("has_text and min_required is not null")
+    asking = _in_buckets(asking).groupBy(*key, "segment").agg(F.sum("n").alias("n"))
+    within_gate = F.col("min_required") <= F.col("cap") if experience_gate else F.lit(True)
+    pairs = (_buckets(classes.select(*level).distinct()).join(asking.select(*key).distinct(), ["query_id", "bucket"])
+             .filter(_open(experience_gate) & within_gate & (F.col("min_required") > F.col("post_cap"))))
+    sums = (pairs.join(_up_to(asking, pairs.select(*key, "last"), key), [*key, "last"])
+            .groupBy(*level, "_by").agg(F.sum("n").alias("n")))
+    post = classes.join(sums, level).select(*PROFILE_CLASS, "_by", "n", F.lit("post_filtered").alias("stage"))
+
+    matched = picked.groupBy(*PROFILE_CLASS, "_by").agg(F.count("*").alias("n")).withColumn("stage", F.lit("matched"))
     names = ["matched", "pre_filtered", "post_filtered"]
-    table = (stages[0].unionByName(stages[1]).unionByName(stages[2])
-             .groupBy(*PROFILE_CLASS, *by).pivot("stage", names).agg(F.sum("n")))
+    table = (matched.unionByName(pre).unionByName(post).filter("n > 0")
+             .groupBy(*PROFILE_CLASS, "_by").pivot("stage", names).agg(F.sum("n")))
     how = "inner" if by else "left"
     return (profiles.select("profile_id", *PROFILE_CLASS).join(table, PROFILE_CLASS, how)
-            .select("profile_id", *by, *[F.coalesce(c, F.lit(0)).alias(c) for c in names]))
+            .select("profile_id", *[F.col("_by")[c].alias(c) for c in by], *[F.coalesce(c, F.lit(0)).alias(c) for c in names]))
 
 
 def unmatched(jobs: DataFrame, matches: DataFrame) -> DataFrame:

@@ -92,6 +92,29 @@ def test_match_and_funnel_equal_the_loop(spark, seed, gate):
     assert {r.profile_id: r.matches for r in n} == {k: v[0] for k, v in counts.items()}
 
 
+def test_funnel_of_one_hot_search_by_source_with_years_in_parts(spark, monkeypatch):
+    """All results in one search, years that are not whole, blocks of a few positions, a group without a name."""
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    monkeypatch.setattr(matching, "NEEDS", 4)
+    profiles, jobs = _random_world(5)
+    profiles = [(i, 0, i * 0.17, country, remote) for i, _, _, country, remote in profiles]
+    jobs = [(0, *j[1:]) for j in jobs]
+    name = {j[3]: [None, "x", "y"][n % 3] for n, j in enumerate(jobs)}
+    want = {}
+    for p in profiles:
+        found = 0
+        for j in sorted(jobs, key=lambda j: j[1:4]):
+            stage = found < 10 and _stage(p, j, gate=False)
+            if stage:
+                found += stage == "matched"
+                row = want.setdefault((p[0], name[j[3]]), dict(matched=0, pre_filtered=0, post_filtered=0))
+                row[stage] += 1
+    pdf = spark.createDataFrame(profiles, P_SCHEMA.replace("years int", "years double"))
+    jdf = spark.createDataFrame([(*j, name[j[3]]) for j in jobs], J_SCHEMA + ", label string")
+    got = matching.funnel(pdf, jdf, by=("label",)).collect()
+    assert {(r.profile_id, r.label): (r.matched, r.pre_filtered, r.post_filtered) for r in got} == {k: tuple(v.values()) for k, v in want.items()}
+
+
 def test_match_plan_has_no_pairwise_join(spark):
     profiles, jobs = _random_world(3)
     df = matching.match(spark.createDataFrame(profiles, P_SCHEMA), spark.createDataFrame(jobs, J_SCHEMA))
