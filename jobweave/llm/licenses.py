@@ -34,6 +34,8 @@ TEMPLATES = {
 }
 # The share of a template's distinct words that a block must hold; one of few words must be there in full.
 SHARE, FEW = 0.8, 12
+# These words must stand within this many times the template's length, repeats included.
+STRETCH = 2
 
 _PART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,9 +66,11 @@ def needed(n: int, share: float = SHARE) -> int:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(label, words) of the templates, as distinct words."""
+    """(label, words, reach) of the templates: distinct words, and within how many words of a block they must stand."""
     rows = spark.createDataFrame(list(TEMPLATES.items()), "name string, text string")
-    return rows.select("name", F.substring_index("name", "-", 1).alias("label"), F.array_distinct(license_words(F.col("text"))).alias("words"))
+    words = license_words(F.col("text"))
+    return rows.select("name", F.substring_index("name", "-", 1).alias("label"), F.array_distinct(words).alias("words"),
+                       (F.size(words) * STRETCH).alias("reach"))
 
 
 def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
@@ -74,11 +78,12 @@ def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
 
     Base labels come from the places of PHRASES in the whole word sequence. The method's labels come from blocks
     (paragraphs: what blank lines part): a block gets a template's label if it holds at least `share` of the template's
-    distinct words (all of them if they are few). Found exactly, without comparing all pairs: the template words are put in order of their frequency in
-    the whole corpus, rarest first; a block can only qualify if it holds one of the first n - ceil(share n) + 1 words of a
-    template of n words (prefix) and has enough distinct words (length). Position prunes nothing: the condition on a prefix
-    word's place always holds, and the block's words are not ordered. Candidates are counted in full. score is the largest share held by any block that
-    qualifies, 1 if there is only a base label, else 0.
+    distinct words (all of them if they are few) within `reach` words in a row. Found exactly, without comparing all pairs:
+    the template words are put in order of their frequency in the whole corpus, rarest first, and a block is the ordered set
+    of those it holds. A pair needs a common word among the first n - need + 1 of the template (prefix), need words in the
+    block (length), and need words from the first common one on in either (position). Pairs that are left are counted in
+    full, then in each stretch of `reach` words that begins with a word of the template. score is the largest share held in
+    a stretch by any block that qualifies, 1 if there is only a base label, else 0.
 
     Only the templates' few words are counted over the corpus, summed per task. Null and empty texts have no words and no
     labels; rows of equal id and text get equal results; an empty table gives none; other columns are ignored.
@@ -93,9 +98,10 @@ def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
     for r in given.collect():
         words = sorted(r["words"], key=lambda w: (often.get(w, 0), w))
         need = needed(len(words), share)
-        ordered += [(r["label"], words, need, place, word) for place, word in enumerate(words[:len(words) - need + 1])]
-    prefix = spark.createDataFrame(ordered, "label string, template array<string>, need int, place int, word string")
-    starts = sorted({r[4] for r in ordered})
+        ordered += [(r["label"], words, need, r["reach"], place, word) for place, word in enumerate(words[:len(words) - need + 1])]
+    prefix = spark.createDataFrame(ordered, "label string, template array<string>, need int, reach int, place int, word string")
+    starts = sorted({r[5] for r in ordered})
+    order = F.array(*[F.lit(w) for w in sorted(vocabulary, key=lambda w: (often.get(w, 0), w))])
 
     words = license_words(F.col("text"))
     base = rows.select("doc_id", "hash", words.alias("words"))
@@ -103,13 +109,16 @@ def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
                        F.when(F.array_contains("words", "license"), _places(F.col("words"))).alias("places"))
     any_start = F.exists(F.split(F.translate("text", _UPPER, _LOWER), _PART), lambda w: w.isin(starts))
     blocks = (rows.where(any_start).select("doc_id", "hash", F.explode(F.split("text", r"\n[\x20\x09\x0B-\x0D]*\n")).alias("block"))
-              .select("doc_id", "hash", F.array_distinct(license_words(F.col("block"))).alias("own")))
-    candidates = (blocks.withColumn("word", F.explode(F.array_intersect("own", F.array(*map(F.lit, starts))))).join(prefix, "word")
-                  .where((F.size("own") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need"))))
+              .select("doc_id", "hash", license_words(F.col("block")).alias("all")))
+    blocks = blocks.withColumn("own", F.array_intersect(order, "all"))
+    candidates = (blocks.select("*", F.posexplode("own").alias("at", "word")).where(F.col("word").isin(starts)).join(prefix, "word")
+                  .where((F.size("own") - F.col("at") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need"))))
     # a pair meets at each prefix word it shares; the first in order stands for it
     first = F.filter("template", lambda w: F.array_contains("own", w))[0] == F.col("word")
-    held = F.size(F.array_intersect("own", "template"))
-    hits = (candidates.where(first).withColumn("held", held).where("held >= need")
+    pairs = candidates.where(first).where(F.size(F.array_intersect("own", "template")) >= F.col("need"))
+    begins = F.filter(F.transform("all", lambda w, i: F.when(F.array_contains("template", w), i + 1)), lambda i: i.isNotNull())
+    held = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect(F.slice("all", i, F.col("reach")), "template"))))
+    hits = (pairs.withColumn("held", held).where("held >= need")
             .select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "label", (F.col("held") / F.size("template")).alias("share")))
     found = written(hits.groupBy("_id", "_hash").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")), "notices")
     result = base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("hash").eqNullSafe(F.col("_hash")), "left")
@@ -138,10 +147,14 @@ def oracle() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_sql_words("coalesce(text, '')")} AS w FROM documents),
 base AS (SELECT *, list_concat({hits[0]}, list_concat({hits[1]}, {hits[2]})) AS p FROM docs),
-notices AS (SELECT label, list_distinct({_sql_words("text")}) AS words FROM (VALUES {notices}) AS t(label, text)),
+notices AS (SELECT label, list_distinct(w) AS words, len(list_distinct(w)) AS n, {STRETCH} * len(w) AS reach
+            FROM (SELECT label, {_sql_words("text")} AS w FROM (VALUES {notices}) AS t(label, text))),
 blocks AS (SELECT doc_id, unnest(string_split_regex(text, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n')) AS block FROM docs),
-own AS (SELECT doc_id, list_distinct({_sql_words("block")}) AS words FROM blocks),
-held AS (SELECT doc_id, label, len(n.words) AS n, len(list_intersect(o.words, n.words)) AS held FROM own o, notices n),
+own AS (SELECT doc_id, {_sql_words("block")} AS w FROM blocks),
+near AS (SELECT doc_id, label, n, reach, w, words FROM own o, notices
+         WHERE len(list_intersect(list_distinct(w), words)) >= CASE WHEN n <= {FEW} THEN n ELSE ceil(n * {SHARE}) END),
+held AS (SELECT doc_id, label, n, list_max(list_transform(range(1, len(w) + 1),
+         lambda i: len(list_intersect(list_distinct(w[i:i + reach - 1]), words)))) AS held FROM near),
 more AS (SELECT doc_id, list(label) AS labels, max(held::DOUBLE / n) AS share FROM held
          WHERE held >= CASE WHEN n <= {FEW} THEN n ELSE ceil(n * {SHARE}) END GROUP BY doc_id)
 SELECT b.doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x.at))::BIGINT AS first_word,

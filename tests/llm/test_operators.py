@@ -498,3 +498,12 @@ def test_one_line_of_many_addresses(spark):
     assert sum(s["kind"] == "email" for s in row["base_spans"]) == 20_000
     ends = sorted((s["begin"], s["end"]) for s in row["all_spans"])
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:])) and time.time() - start < 150
+
+
+def test_license_words_scattered_over_a_block_are_no_notice(spark):
+    filler = " ".join(f"w{i}" for i in range(10))
+    words = licenses.TEMPLATES["cc"].replace("-", " ").replace(".", " ").split()
+    rows = [(1, f" {filler} ".join(words)), (2, f"{filler} {' '.join(words)} {filler}"),
+            (3, f" {filler} ".join(words) + f" {filler} " + " x ".join(words)), (4, " ".join(words[:-1]))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("", 0.0), 2: ("cc", 1.0), 3: ("cc", 1.0), 4: ("", 0.0)}
