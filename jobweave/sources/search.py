@@ -17,12 +17,18 @@ def explode_results(df: DataFrame, json_col: str, kind: str = "organic") -> Data
                        F.coalesce("item.title", F.lit("")).alias("title"), F.col("item.snippet").alias("snippet"), *extra)
 
 
-def resolve_text(urls: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """S-05: posting text per URL; LinkedIn pages come from the fallback only, others prefer the primary.
+def resolve(urls: DataFrame, primary: DataFrame, fallback: DataFrame, value: str) -> DataFrame:
+    """S-05 for what was made of each text: `value` of the text that counts for a URL, null without one.
 
-    `primary` and `fallback` have `url, text`, one row per URL.
+    LinkedIn pages come from the fallback only, others prefer the primary. `primary` and `fallback` have `url` and `value`, one
+    row per URL; the value is null where the text is. Only values go through the joins, so texts need not.
     """
-    first = primary.filter(~F.contains(F.col("url"), F.lit("linkedin.com"))).withColumnRenamed("text", "_first")
-    second = fallback.withColumnRenamed("text", "_second")
+    first = primary.filter(~F.contains(F.col("url"), F.lit("linkedin.com"))).select("url", F.col(value).alias("_first"))
+    second = fallback.select("url", F.col(value).alias("_second"))
     return (urls.join(first, "url", "left").join(second, "url", "left")
-            .withColumn("text", F.coalesce("_first", "_second", F.lit(""))).drop("_first", "_second"))
+            .withColumn(value, F.coalesce("_first", "_second")).drop("_first", "_second"))
+
+
+def resolve_text(urls: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """S-05: posting text per URL, empty without one; whole texts go through the joins (`resolve` for what is read of them)."""
+    return resolve(urls, primary, fallback, "text").withColumn("text", F.coalesce("text", F.lit("")))

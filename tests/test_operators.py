@@ -18,7 +18,7 @@ from jobweave.operators.gates import Places, detect_places, stated_country
 from jobweave.plans.resume import dated_roles, parse_resumes
 from jobweave.sources.files import append_calls, read_call_lines, read_calls, write_results
 from jobweave.sources.pages import assemble_pages, page_lines
-from jobweave.sources.search import explode_results, resolve_text
+from jobweave.sources.search import explode_results, resolve, resolve_text
 
 
 def test_dedupe_and_top_k_with_a_hot_group(spark):
@@ -363,3 +363,12 @@ def test_usage_files(spark, tmp_path):
     assert [r.service for r in read_call_lines(spark, str(lines)).collect()] == ["groq"]
     write_results(calls, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_resolve_takes_what_was_made_of_the_text_that_counts(spark):
+    value = F.when(F.col("text").isNotNull(), F.struct(F.length("text").alias("chars"), F.nullif("text", F.lit("aa")).alias("kept"))).alias("value")
+    primary = spark.createDataFrame([("a", "aa"), ("b", None), ("linkedin.com/c", "cc")], "url string, text string").select("url", value)
+    fallback = spark.createDataFrame([("a", "longer"), ("b", "bbb"), ("linkedin.com/c", "cccc")], "url string, text string").select("url", value)
+    urls = spark.createDataFrame([("a",), ("b",), ("linkedin.com/c",), ("d",)], "url string")
+    got = {r.url: r.value and tuple(r.value) for r in resolve(urls, primary, fallback, "value").collect()}
+    assert got == {"a": (2, None), "b": (3, "bbb"), "linkedin.com/c": (4, "cccc"), "d": None}
