@@ -365,6 +365,34 @@ def test_usage_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
 
 
+def test_postings_in_two_parts_have_the_facts_of_the_whole_text(spark):
+    """What begins in the head may reach into the body; every pair must give what the whole text gives, by pattern and by join."""
+    places = spark.createDataFrame(
+        [(f"NATION_{i}", f"N{i}") for i in range(1, 5)] + [("New NATION_3", "N9"), ("United Lands of Region 0 North", "N1"), ("NATION_4", "N5")],
+        "place string, country string")
+    heads = ["", "Needs 5\n", "work at\n", "Team:\n", "Based in New\n", "New NATION_1\nin united\n", "remote\n", "About Acme\n3 -\n", "in nation\n"]
+    bodies = ["years of work", "4 Yrs at Blue Co", "Acme Labs rules", "Growth", "Nation 3 is big, nation 3 too", "3 or nation 2", "", None,
+              "lands of region 0 north, nation 1", "Remote for nation 1|nation_2", "12+ years\nTeam: Core"]
+    filler = " and so on" * 12
+    rows = [(f"{i}/{j}", h, None if b is None else b + filler * (j % 4 != 3), (None, "Nation 2", "WFH")[(i + j) % 3], j)
+            for i, h in enumerate(heads) for j, b in enumerate(bodies)]
+    parts = spark.createDataFrame(rows, "url string, head string, text string, location string, doc_id int")
+    whole = parts.select("url", F.concat("head", "text").alias("text"), "location")
+    known = Places(places)
+    shared = matching.read_bodies(parts.select("doc_id", "text").distinct(), known)
+    split = parts.select("url", "head", "location", "doc_id").join(shared, "doc_id")
+    columns = ["url", "required_text", "min_required", "company_found", "team", "is_remote", "location_country", "body_country"]
+
+    def facts(postings, known):
+        return sorted(map(tuple, matching.posting_facts(postings, known).select(columns).collect()), key=str)
+
+    got = facts(split, known)
+    assert got == facts(whole, known) == facts(whole, Places(places, 0)) and len(got) > 60
+    by_url = {r[0]: dict(zip(columns, r)) for r in got}
+    assert by_url["1/0"]["required_text"] == "5\nyears" and by_url["2/2"]["company_found"] == "Acme Labs"
+    assert by_url["4/4"]["body_country"] is None and by_url["8/5"]["body_country"] is None and by_url["5/8"]["body_country"] == "N1"
+
+
 def test_resolve_takes_what_was_made_of_the_text_that_counts(spark):
     value = F.when(F.col("text").isNotNull(), F.struct(F.length("text").alias("chars"), F.nullif("text", F.lit("aa")).alias("kept"))).alias("value")
     primary = spark.createDataFrame([("a", "aa"), ("b", None), ("linkedin.com/c", "cc")], "url string, text string").select("url", value)
