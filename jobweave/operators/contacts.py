@@ -1,12 +1,11 @@
 """Contacts, referrers and news of companies."""
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import fixed
 from jobweave.functions import company_domain, referrer_name, token_text
 from jobweave.operators.filters import profile_urls, verified
 from jobweave.operators.ordered import top_k
-from jobweave.session import written
 
 
 def current_employee(snippet: Column, company: Column) -> Column:
@@ -112,26 +111,49 @@ def _month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def recent_news_at(asked: DataFrame, news: DataFrame, months: int = 6, k: int = fixed.MAX_NEWS) -> DataFrame:
-    """J-04 for many days: (company, asked_on) with the k newest items of the months before that day, as rows numbered by `pos`.
+def newest_before(asked: DataFrame, news: DataFrame, months: int = 6, k: int = fixed.MAX_NEWS) -> DataFrame:
+    """Rows of `asked` (`company, asked_at`) with `news`: the k newest items of the months before, newest day first, then by `news_id`.
 
-    An interval join: news lie in the bucket of their month, and a day looks into the buckets that its interval touches, so
-    both meet by (company, month) and the interval itself is checked on what meets. Days of a company count once however many
-    requests share them, and of a day's news only the k first can matter, so a company's pairs are bounded by its days.
+    No pairs are built. Items and requests are merged by company and month in order of time, and each request takes the last
+    items that a running window has seen; k items that earlier months ended with are put before each month. So a company's
+    rows are spread over its months, and work follows the rows, not what meets. Where times are timestamps, an item of
+    the request's own day counts only if it came before the request, so days are merged up to the day before, and the items
+    of the day itself (the k first of each time) are looked up. Items are structs of all columns of `news` but the company.
     """
-    firsts = top_k(news.filter("published_at is not null"), ["company", "published_at"], ["news_id"], k, ["news_id"]).drop("pos")
-    first = F.add_months("asked_on", -months)
-    days = (asked.select("company", "asked_on").filter("asked_on is not null").distinct()
-            .withColumn("month", F.explode(F.sequence(_month(first), _month(F.col("asked_on"))))))
-    met = (days.join(firsts.withColumn("month", _month(F.col("published_at"))), ["company", "month"]).drop("month")
-           .filter((F.col("published_at") > first) & (F.col("published_at") <= F.col("asked_on"))))
-    return top_k(met, ["company", "asked_on"], [F.desc("published_at"), F.asc("news_id")], k)
+    timed = news.schema["published_at"].dataType.typeName() != "date"
+    rest = [c for c in news.columns if c != "company"]
+    firsts = top_k(news.filter("published_at is not null and company is not null"), ["company", "published_at"], ["news_id"], k).drop("pos")
+    items = firsts.select("company", F.to_date("published_at").alias("_day"), F.struct("news_id", *[c for c in rest if c != "news_id"]).alias("_item"))
+    items = items.withColumn("_month", _month(F.col("_day")))
+    in_order = Window.partitionBy("company", "_month").orderBy("_day", F.desc("_item.news_id"))
+    recent = (items.withColumn("_at", F.row_number().over(in_order))
+              .withColumn("_recent", F.reverse(F.collect_list("_item").over(in_order.rowsBetween(1 - k, 0)))))
+    ends = (recent.groupBy("company", "_month").agg(F.max_by("_recent", "_at").alias("_recent"))
+            .withColumn("_back", F.explode(F.sequence(F.lit(1), F.lit(months))))
+            .groupBy("company", (F.col("_month") + F.col("_back")).alias("_month"))
+            .agg(F.slice(F.flatten(F.array_sort(F.collect_list(F.struct("_back", "_recent")))["_recent"]), 1, k).alias("_ends")))
+
+    day = F.to_date("asked_at")
+    turn = {"end": 0, "request": 1 if timed else 2, "item": 2 if timed else 1}
+    request = F.struct(*asked.columns).alias("_request")
+    rows = (asked.select("company", _month(day).alias("_month"), day.alias("_day"), F.lit(turn["request"]).alias("_turn"), request)
+            .unionByName(recent.select("company", "_month", "_day", F.lit(turn["item"]).alias("_turn"), "_at", "_recent"), allowMissingColumns=True)
+            .unionByName(ends.select("company", "_month", F.lit(turn["end"]).alias("_turn"), "_ends"), allowMissingColumns=True))
+    seen = Window.partitionBy("company", "_month").orderBy(F.asc_nulls_first("_day"), "_turn", "_at").rowsBetween(Window.unboundedPreceding, 0)
+    none = F.array().cast(recent.schema["_recent"].dataType)
+    found = (rows.withColumn("_recent", F.last("_recent", ignorenulls=True).over(seen)).withColumn("_ends", F.last("_ends", ignorenulls=True).over(seen))
+             .filter("_request is not null").select("_request", "_day", F.concat(F.coalesce("_recent", none), F.coalesce("_ends", none)).alias("_found")))
+    if timed:
+        today = items.groupBy("company", "_day").agg(F.sort_array(F.collect_list("_item")).alias("_today"))
+        came = F.filter("_today", lambda x: x["published_at"] <= F.col("_request.asked_at"))
+        found = (found.withColumn("company", F.col("_request.company")).join(today, ["company", "_day"], "left")
+                 .select("_request", "_day", F.concat(F.coalesce(came, none), "_found").alias("_found")))
+    first = F.add_months("_day", -months)
+    near = F.filter(F.slice("_found", 1, k), lambda x: F.to_date(x["published_at"]) > first)
+    return found.select("_request.*", F.coalesce(near, none).alias("news"))
 
 
 def attach_news_at(requests: DataFrame, news: DataFrame, months: int = 6, k: int = fixed.MAX_NEWS) -> DataFrame:
     """J-04: requests, each with its own day `asked_on`, and the titles of their companies' newest items before it."""
-    titles = recent_news_at(requests, news, months, k).groupBy("company", "asked_on").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "title"))).getField("title").alias("news"))
-    titles = written(titles, "news-of-days")  # both sides of the join are then plain reads, so hot companies are split
-    none = F.array().cast("array<string>")
-    return requests.join(titles, ["company", "asked_on"], "left").withColumn("news", F.coalesce("news", none))
+    found = newest_before(requests.withColumn("asked_at", F.col("asked_on")), news.select("company", "title", "news_id", "published_at"), months, k)
+    return found.withColumn("news", F.col("news")["title"]).drop("asked_at")

@@ -330,6 +330,9 @@ def test_news_of_each_requests_own_day(spark):
     want = {i: [x[1] for x in sorted((x for x in news if x[0] == c and d and x[3] and months_before(d, 6) < x[3] <= d), key=lambda x: (-x[3].toordinal(), x[2]))[:3]]
             for i, c, d in asked}
     assert {r.request_id: r.news for r in attach_news_at(adf, ndf).collect()} == want
+    # no pairs of requests and items, and no requests repeated by month
+    plan = attach_news_at(adf, ndf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_search_sources(spark):
