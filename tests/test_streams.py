@@ -1,4 +1,5 @@
 """Streams over several small batches against the batch operators."""
+import calendar
 import datetime
 import random
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobweave.operators import matching
 from jobweave.operators.usage import admit_calls, latest_feedback
-from jobweave.streaming import results, usage
+from jobweave.streaming import news, results, usage
 from tests.test_operators import J_SCHEMA, P_SCHEMA, _random_world
 
 
@@ -127,3 +128,46 @@ def test_first_url_wins_in_stream(spark, tmp_path):
     (once.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
      .trigger(availableNow=True).start().awaitTermination())
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 3]
+
+
+def test_news_stream_counts_each_item_wherever_it_comes(spark, tmp_path):
+    rng, day = random.Random(5), datetime.datetime(2024, 1, 1)
+
+    def at(i):  # times within few days of each other, in no order; items also come after their requests
+        return day + datetime.timedelta(days=i + rng.randrange(-30, 30), hours=rng.choice([0, 9, 12, 15]))
+
+    items = [(i, f"c{0 if rng.random() < .6 else rng.randrange(3)}", f"t{i}", at(i)) for i in range(300)]
+    items += items[40:43] + [(400 + i, "c0", f"s{i}", day + datetime.timedelta(days=60, hours=9 + i)) for i in range(6)]
+    asked = [(i, f"c{rng.randrange(4)}", at(2 * i)) for i in range(150)] + [(200 + i, "c0", day + datetime.timedelta(days=60, hours=8 + i)) for i in range(8)]
+    idf = spark.createDataFrame(items, "news_id int, company string, title string, published_at timestamp")
+    adf = spark.createDataFrame(asked, "request_id int, company string, asked_at timestamp")
+    run = str(tmp_path / "run")
+    news.stream_news(_arrive(spark, adf, str(tmp_path / "asked"), F.hash("request_id")), _arrive(spark, idf, str(tmp_path / "news"), F.hash("title")),
+                     run, delay="4000 days").awaitTermination()
+
+    def first(d):
+        y, m = divmod(d.year * 12 + d.month - 1 - 6, 12)
+        return datetime.date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
+
+    want = {}
+    for r, c, t in asked:
+        near = sorted((x for x in items if x[1] == c and x[3] <= t and x[3].date() > first(t.date())), key=lambda x: (-x[3].toordinal(), x[0]))
+        want.update({(r, p + 1): x[0] for p, x in enumerate(near[:3])})
+    got = [((r.request_id, r.pos), r.news_id) for r in news.newest_of(spark, run).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    per_batch = spark.read.parquet(f"{run}/pairs").groupBy("request_id", "batch").count().agg(F.max("count")).first()[0]
+    assert per_batch <= 6  # 3 newest of each side of a batch, not every item of the six months
+
+
+def test_late_news_are_dropped_and_old_months_freed(spark, tmp_path):
+    day = datetime.datetime(2020, 1, 15)
+    step = [day + datetime.timedelta(days=200 * i) for i in range(6)]
+    asked = spark.createDataFrame([(i, "c", d, i) for i, d in enumerate(step)], "request_id int, company string, asked_at timestamp, o int")
+    rows = [(i, "c", f"t{i}", d, i) for i, d in enumerate(step[:4])] + [(8, "c", "late", day, 4), (9, "c", "t9", step[5], 5)]
+    items = spark.createDataFrame(rows, "news_id int, company string, title string, published_at timestamp, o int")
+    run = str(tmp_path / "run")
+    news.stream_news(_arrive(spark, asked, str(tmp_path / "asked"), ["o"], 6), _arrive(spark, items, str(tmp_path / "news"), ["o"], 6), run).awaitTermination()
+    assert {(r.request_id, r.news_id) for r in news.newest_of(spark, run).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 9)}
+    kept = spark.read.parquet(f"{run}/rows")
+    assert kept.filter("news_id = 8").count() == 0
+    assert kept.agg(F.min("at")).first()[0] > step[1]
