@@ -209,3 +209,13 @@ def test_patterns_take_a_megabyte(column):
     column(lambda t: F.concat_ws("|", fn.extract_requirement(t), fn.parse_role_date(t, "2025-03-15").cast("string"), F.size(fn.extract_phones(t)).cast("string")),
            [(t,) for t in long], "t string")
     assert time.time() - start < 30
+
+
+def test_patterns_run_once_per_text(spark):
+    from jobweave.functions import extract_team, parse_years
+    from jobweave.functions.experience import first_requirement
+    texts = spark.createDataFrame([("Team: Growth, 3-5 years",), ("no team",), (None,), ("Not specified",), ("7+ yrs",), ("12345678901 years",)], "t string")
+    read = texts.select(first_requirement(F.col("t")).alias("r"), extract_team(F.col("t")).alias("m"), parse_years(F.col("t")).alias("y"))
+    assert [tuple(r) for r in read.collect()] == [
+        ("3-5 years", "Growth", 3.0), (None, None, None), (None, None, None), (None, None, None), ("7+ yrs", None, 7.0), ("12345678901 years", None, 12345678901.0)]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 5
