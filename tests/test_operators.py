@@ -172,6 +172,32 @@ def test_roles_of_several_date_layouts(spark):
     assert dated["Title 0"] == ("2019-01-01", "2024-02-01") and dated["Title 3"] == ("2015-03-03", "2017-09-01") and dated["Title 2"] == ("2015-01-01", "2017-01-01")
 
 
+def test_roles_at_the_edges_of_blocks_and_of_repeated_lines(spark):
+    rng = random.Random(3)
+    lines = [(d, 0, "Experience") for d in range(3)]
+    for d in range(3):
+        for n in [*range(1010, 1040), *range(2040, 2060)]:
+            lines += [(d, n, rng.choice([f"Text {n} {i} ", "2012-01 - 2013-02", "03/2015 - now", None])) for i in range(rng.choice([0, 1, 1, 1, 2]))]
+    lines += [(0, None, "2012-01 - 2013-02"), (None, 7, "x")]
+    df = spark.createDataFrame(lines, "doc_id int, line_no bigint, text string").withColumn("section", F.lit("experience"))
+    texts, want = {}, {}
+    for d, n, text in lines:
+        if text is not None and n is not None:
+            texts.setdefault((d, n), []).append(text)
+    for (d, n), found in texts.items():
+        dates = [x for x in found if " - " in x]
+        if dates:
+            title, company = (max(texts[d, n - i]).strip() if (d, n - i) in texts else None for i in (1, 2))
+            want[d, n] = (title, company, *max(dates).split(" - "))
+    roles = resume_roles(df, df)
+    got = [((r.doc_id, r.line_no), (r.title, r.company, r.start_date, r.end_date)) for r in roles.where("line_no is not null").collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert [tuple(r)[2:] for r in roles.where("line_no is null").collect()] == [("2012-01 - 2013-02", "2012-01 - 2013-02", "2012-01", "2013-02")]
+    # one sort holds a line once: no line is sent to several positions and sorted again there
+    plan = roles._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("+- Sort ") == 1
+
+
 def test_resume_pages_to_totals(spark):
     lines = RESUME.split("\n")
     pages = [(7, 0, "\n".join(lines[:9])), (7, 1, ""), (7, 2, "\n".join(lines[9:]))]
