@@ -2,8 +2,10 @@
 from unittest import mock
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from jobweave.functions import parse_years
 from jobweave.session import work_folder
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -23,6 +25,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
 
 
+def test_no_method_too_long_to_be_compiled(spark):
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_years_are_read_without_casting_empty_texts(spark):
+    rows = spark.createDataFrame([("3-5 years",), ("4+ years",), ("none",), ("",), (None,)], "req string").repartition(1)
+    plan = rows.select(parse_years(F.col("req")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract(" not in plan  # gives an empty text where nothing is found, and the cast an error
+    assert [r[0] for r in rows.select(parse_years(F.col("req"))).collect()] == [3.0, 4.0, None, None, None]
+
+
 def test_work_folder_follows_the_session():
     cluster = mock.Mock()
     cluster.conf.get.side_effect = {"spark.checkpoint.dir": "s3a://shared/work/"}.get
