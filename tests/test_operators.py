@@ -115,6 +115,16 @@ def test_funnel_of_one_hot_search_by_source_with_years_in_parts(spark, monkeypat
     assert {(r.profile_id, r.label): (r.matched, r.pre_filtered, r.post_filtered) for r in got} == {k: tuple(v.values()) for k, v in want.items()}
 
 
+def test_what_is_told_of_a_posting_is_told_before_profiles_join(spark):
+    profiles, jobs = (spark.createDataFrame(rows, schema) for rows, schema in zip(_random_world(5), (P_SCHEMA, J_SCHEMA)))
+    told = {"told": F.regexp_extract("url", "([0-9]+)", 1)}
+    got = matching.match(profiles, jobs, told=told)
+    want = matching.match(profiles, jobs).withColumns(told)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 0
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert lines[0].startswith("Project") and "regexp_extract" not in lines[0] and any("regexp_extract" in line for line in lines[1:])
+
+
 def test_match_plan_has_no_pairwise_join(spark):
     profiles, jobs = _random_world(3)
     df = matching.match(spark.createDataFrame(profiles, P_SCHEMA), spark.createDataFrame(jobs, J_SCHEMA))
@@ -422,6 +432,32 @@ def test_postings_in_two_parts_have_the_facts_of_the_whole_text(spark):
     assert by_url["4/4"]["body_country"] is None and by_url["8/5"]["body_country"] is None and by_url["5/8"]["body_country"] == "N1"
 
 
+def test_parts_are_read_for_results_only_and_give_what_whole_texts_give(spark):
+    """Results without a posting, with a short one, and with several of one URL; postings that no result has."""
+    places = spark.createDataFrame([(f"NATION_{i}", f"N{i}") for i in range(1, 4)], "place string, country string")
+    texts = [(0, "long enough in nation 2" + " and so on" * 12), (1, "short"), (2, None), (3, "4 years at Blue Co" + " and so on" * 12)]
+    heads = [("a", "Needs 5 years\n", "Nation 1", 0), ("a", "", None, 1), ("b", "remote\n", None, 1), ("c", "", "WFH", 2), ("d", "", "WFH", 3),
+             ("d", "About Acme\nin nation 3\n", None, 3), ("unfound", "Needs 9 years\n", None, 0), (None, "", None, 0)]
+    results = [(1, "a", "Board", 1, "Senior in nation 2"), (2, "a", "LinkedIn", 2, None), (1, "b", "Board", 3, "b"), (1, "c", "Naukri", 4, "c"),
+               (1, "d", "Board", 5, "d"), (1, "none", "Board", 6, "e"), (1, None, "Board", 7, "f")]
+    results = spark.createDataFrame(results, "query_id int, url string, source string, rank int, title string")
+    parts = spark.createDataFrame(heads, "url string, head string, location string, doc_id int")
+    docs, known = spark.createDataFrame(texts, "doc_id int, text string"), Places(places)
+    split = parts.join(matching.read_bodies(docs, known), "doc_id")
+    whole = parts.join(docs, "doc_id").select("url", F.concat("head", "text").alias("text"), "location")
+    got = matching.with_title(matching.parts_of_results(results, split, known), known)
+    want = matching.with_text(results, matching.posting_facts(whole, known), known)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.select(sorted(want.columns)).collect()), key=str)
+
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    assert {r.url: r.has_text for r in got.collect()} == {"a": True, "b": False, "c": False, "d": True, "none": False, None: False}
+    with pytest.raises(Exception, match="a head must end with its line"):
+        odd = split.withColumn("head", F.lit("no line end"))
+        matching.parts_of_results(results, odd, known).collect()
+
+
 def test_resolve_takes_what_was_made_of_the_text_that_counts(spark):
     value = F.when(F.col("text").isNotNull(), F.struct(F.length("text").alias("chars"), F.nullif("text", F.lit("aa")).alias("kept"))).alias("value")
     primary = spark.createDataFrame([("a", "aa"), ("b", None), ("linkedin.com/c", "cc")], "url string, text string").select("url", value)

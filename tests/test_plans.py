@@ -25,6 +25,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
 
 
+def test_postings_are_read_beside_their_results(spark):
+    lines = entry.queries()["country_conflicts"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    assert not [line for line in lines[join:] if "regexp_extract" in line]
+
+
+def test_partitions_are_merged_to_three_a_core_at_least(spark):
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionNum")) == 3 * spark.sparkContext.defaultParallelism
+
+
 def test_no_method_too_long_to_be_compiled(spark):
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
 
