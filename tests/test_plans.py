@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from jobweave.functions import parse_years
+from jobweave.operators.gates import Places
+from jobweave.operators.matching import match_count, read_bodies
+from jobweave.plans.discovery import candidates, jobs_of
 from jobweave.session import work_folder
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -31,6 +34,25 @@ def test_postings_are_read_beside_their_results(spark):
     assert not [line for line in lines[join:] if "regexp_extract" in line]
 
 
+def test_matching_reads_each_text_once(spark):
+    """No filter repeats the search of a text: neither of the texts of postings for the join's bucket, nor of locations."""
+    places = spark.createDataFrame([("Nation 1", "N1"), ("Nation 2", "N2"), ("New Nation 2", "N1")], "place string, country string")
+    known = Places(places)
+    bodies = read_bodies(spark.createDataFrame([(0, "long enough" + " and so on" * 12), (1, "short")], "doc_id int, text string"), known)
+    heads = spark.createDataFrame([("a", "Needs 5 years\n", "Nation 1", 0), ("b", "2 years\n", None, 0), ("c", "", "WFH", 1)],
+                                  "url string, head string, location string, doc_id int")
+    results = spark.createDataFrame([(1, "a", "Board", 1, "in nation 1"), (1, "b", "Board", 2, "b"), (1, "c", "Board", 3, "c")],
+                                    "query_id int, url string, source string, rank int, title string")
+    profiles = [(1, 1, 6.0, "nation 1", False), (2, 1, 6.0, "Nation 1 or nation 2", False), (3, 1, None, "new nation 2", False),
+                (4, 1, 2.0, "nowhere", True), (5, 1, 6.0, "Nation 2", None), (6, 1, 6.0, None, False)]
+    profiles = spark.createDataFrame(profiles, "profile_id int, query_id int, years double, location string, remote_only boolean")
+    counts = match_count(candidates(profiles, known), jobs_of(results, heads.join(bodies, "doc_id"), known))
+    assert {r.profile_id: r.matches for r in counts.collect()} == {1: 2, 2: 2, 3: 0, 4: 0, 5: 1, 6: 2}
+    lines = counts._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    reading = [line for line in lines if any(f in line for f in ("regexp_extract", "RLIKE", "regexp_replace"))]
+    assert reading and not [line[:200] for line in reading if "Join " in line or "Filter " in line]
+
+
 def test_partitions_are_merged_to_three_a_core_at_least(spark):
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionNum")) == 3 * spark.sparkContext.defaultParallelism
 
