@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.text import BASE, inverse_powers, mix, pieces, powers, prefix_hashes, stretch_hashes
-from jobweave.session import written
+from jobweave.session import discard, written
 
 # Bytes of a repeated string, and of the anchors: short strings that both copies of a repeated one choose alike.
 LENGTH, ANCHOR = 200, 32
 # Lengths to which an anchor is extended on either side, to see how far any other occurrence can agree.
 LEVELS = (6, 24, 84, 144, LENGTH - ANCHOR)
+# First bytes of suffixes that are compared as numbers, before any are merged.
+HEAD = 24
 # Bytes of text that a task works on at once: its arrays are a hundred times as large.
 PIECE = 256 << 10
 
@@ -65,14 +67,20 @@ class Runs:
         begin = np.arange(len(data) - ANCHOR + 1)
         value = mix((self.prefix[ANCHOR:] - self.prefix[:-ANCHOR]) * self.back[:len(begin)])
         anchor = _leftmost_minima(value, LENGTH - ANCHOR + 1)
-        starts = np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in zip(at[:-1], at[1:]) if b - a >= LENGTH] or [empty])
-        if not len(starts):
+        long = np.flatnonzero(np.diff(at) >= LENGTH)
+        if not len(long):
             return
-        row = np.searchsorted(at, starts, "right") - 1
-        first = np.ones(len(starts), bool)
-        first[1:] = (anchor[starts[1:]] != anchor[starts[:-1]]) | (row[1:] != row[:-1])
+        # a run begins with its text or where the anchor changes, and ends before the next one or with its text
+        begins, ends = at[long], at[long + 1] - LENGTH
+        first = np.zeros(len(anchor) + 1, bool)
+        first[1:-1] = anchor[1:] != anchor[:-1]
+        first[begins] = first[ends + 1] = True
         cut = np.flatnonzero(first)
-        self.row, self.low, self.high = row[cut], starts[cut], np.append(starts[cut[1:] - 1], starts[-1])
+        of = np.searchsorted(begins, cut, "right") - 1
+        inside = (of >= 0) & (cut <= ends[of])
+        cut, of = cut[inside], of[inside]
+        self.row, self.low = long[of], cut
+        self.high = np.minimum(np.append(cut[1:] - 1, ends[-1]), ends[of])
         self.number = np.arange(len(cut)) - np.searchsorted(self.row, self.row)
         self.place = anchor[self.low]
         self.anchor = value[self.place]
@@ -103,49 +111,55 @@ class Suffixes:
             same = stretch_hashes(self.prefix, self.back, x, x + middle) == stretch_hashes(self.prefix, self.back, y, y + middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
 
-    def less(self, x: np.ndarray, y: np.ndarray, key_x: np.ndarray, key_y: np.ndarray) -> np.ndarray:
-        """Whether suffix x sorts before y: by their first 8 bytes, and where those agree by the byte after the common extension."""
-        out = key_x < key_y
-        tie = np.flatnonzero((key_x == key_y) & (x != y))
-        if len(tie):
-            a, b = x[tie], y[tie]
-            n = self.common(a, b)
-            inside = np.minimum(n, LENGTH - 1)
-            out[tie] = (n < LENGTH) & (self.data[a + inside] < self.data[b + inside])
-        return out
+    def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether suffix x sorts before y: by the byte after their common extension."""
+        n = self.common(x, y)
+        inside = np.minimum(n, LENGTH - 1)
+        return (n < LENGTH) & (self.data[x + inside] < self.data[y + inside])
 
     def sort(self, starts: np.ndarray) -> np.ndarray:
-        """The starts in the order of their suffixes, by merging sorted runs from the bottom up.
+        """The starts in the order of their suffixes: by the first HEAD bytes, and among suffixes that agree in those by merging
+        sorted runs from the bottom up.
 
-        All runs of a level merge at once: each suffix finds its rank in the neighbouring run by binary search.
+        All runs of a level merge at once: each suffix finds its rank in the neighbouring run by binary search. Merging takes place
+        only among suffixes with the same first bytes, so most suffixes meet few others.
         """
-        n, width = len(starts), 1
-        x = starts.copy()
-        key = np.zeros(n, np.uint64)
-        for i in range(8):
-            key = key << np.uint64(8) | self.data[x + i].astype(np.uint64)
-        while width < n:
-            place = np.arange(n)
-            block, right = place // (2 * width) * (2 * width), (place // width) % 2 == 1
+        keys = []
+        for a in range(0, HEAD, 8):
+            key = np.zeros(len(starts), np.uint64)
+            for i in range(a, a + 8):
+                key = key << np.uint64(8) | self.data[starts + i].astype(np.uint64)
+            keys.append(key)
+        order = np.lexsort(keys[::-1])
+        x, new = starts[order], np.ones(len(starts), bool)
+        if len(x) > 1:
+            new[1:] = np.any([key[order[1:]] != key[order[:-1]] for key in keys], axis=0)
+        group = np.flatnonzero(new)
+        size = np.diff(np.append(group, len(x)))
+        width = 1
+        while True:
+            more = size > width  # in larger groups there is still more than one run
+            if not more.any():
+                return x
+            group, size = group[more], size[more]
+            begin, n = np.repeat(group, size), np.repeat(size, size)
+            local = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            block, right = local // (2 * width) * (2 * width), (local // width) % 2 == 1
             other = np.where(right, block, np.minimum(block + width, n))
             low, high = other.copy(), np.minimum(other + width, n)
+            mine = x[begin + local]
             while True:
                 open_ = np.flatnonzero(low < high)
                 if not len(open_):
                     break
                 middle = (low[open_] + high[open_]) // 2
-                mine, theirs, on_right = x[open_], x[middle], right[open_]
+                theirs, on_right = x[begin[open_] + middle], right[open_]
                 # equal suffixes keep the left run's first
-                first, second = np.where(on_right, mine, theirs), np.where(on_right, theirs, mine)
-                f_key, s_key = np.where(on_right, key[open_], key[middle]), np.where(on_right, key[middle], key[open_])
-                before = self.less(first, second, f_key, s_key) ^ on_right
+                before = self.less(np.where(on_right, mine[open_], theirs), np.where(on_right, theirs, mine[open_])) ^ on_right
                 low[open_] = np.where(before, middle + 1, low[open_])
                 high[open_] = np.where(before, high[open_], middle)
-            to = place + low - other - np.where(right, width, 0)
-            moved, moved_key = np.empty_like(x), np.empty_like(key)
-            moved[to], moved_key[to] = x, key
-            x, key, width = moved, moved_key, 2 * width
-        return x
+            x[begin + local + low - other - np.where(right, width, 0)] = mine
+            width *= 2
 
     def classes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One start and the number of starts for each different string of LENGTH bytes. Equal hashes are checked on bytes."""
@@ -284,10 +298,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    runs = find_runs(rows)
+    runs = written(find_runs(rows), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("z"))
-    anchors = anchors.where("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed"))
+    # a table, so that the join's hot anchors can be split: an aggregate in the join's own stage would prevent it
+    anchors = written(anchors.where("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed")), "anchors")
     found = written(runs.join(anchors, "anchor"), "repeated-anchors")
+    discard(runs, anchors)
     mixed = found.where("mixed")
     token = F.xxhash64("doc_id", "number", "anchor", "content")
     contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(token).alias("first"))
@@ -300,8 +316,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     some = F.col("runs").isNotNull()
     texts = written(joined.select("doc_id", "runs", F.when(some, F.xxhash64("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"),
                                   F.when(~some, F.sha2("text", 256)).alias("sha"), F.when(some, F.col("text")).alias("text")), "texts")
+    discard(found)
     open_texts = texts.where(F.exists("runs", lambda r: r["state"].isin(SINGLE, SHARED)))
-    shared = _extensions(open_texts)
+    shared = written(_extensions(open_texts), "extensions")
     agreed = shared.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     beyond = F.array(*map(F.lit, [n - 1 for n in LEVELS] + [LEVELS[-1]]))  # less than the first length that nobody shares
 
@@ -315,6 +332,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     open_texts = open_texts.select("doc_id", "key", "text")
     open_texts = written(open_texts.join(limits, _null_safe(open_texts, limits, "doc_id", "_id") & _null_safe(open_texts, limits, "key", "_key"))
                          .select("doc_id", "key", "text", "limits"), "open-texts")
+    discard(shared)
     twice = written(_windows(open_texts, True).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"), "strings")
     places = (_windows(open_texts, False).join(twice, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
               .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts"))

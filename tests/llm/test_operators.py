@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from jobweave.llm import fingerprint, graph, language, licenses, mixing, neardup, packing, pii, quality, suffix, tokens
 from jobweave.llm.queries import vocabulary
 from jobweave.llm.text import pieces, words
+from jobweave.session import written
 from tests.llm import brute
 from tests.llm.conftest import edge_rows, sentence
 
@@ -342,6 +343,30 @@ def test_suffixes_sort_and_class_like_strings():
         assert {raw[x:x + 200]: c for x, c in zip(heads, n)} == Counter(raw[x:x + 200] for x in starts)
 
 
+def test_sorting_compares_only_suffixes_with_the_same_first_bytes(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 123, 20_200).astype(np.uint8)
+    data[10_000:10_300] = data[500:800]
+    s = suffix.Suffixes(data, suffix.prefix_hashes(data), suffix.inverse_powers(len(data) + 1))
+    compared, less = [], suffix.Suffixes.less
+    monkeypatch.setattr(suffix.Suffixes, "less", lambda self, x, *rest: compared.append(len(x)) or less(self, x, *rest))
+    starts = np.arange(20_000)
+    order = s.sort(starts)
+    raw = data.tobytes()
+    assert [raw[x:x + 200] for x in order] == sorted(raw[x:x + 200] for x in starts)
+    assert 0 < sum(compared) < 2_000
+
+
+def test_texts_are_searched_once_for_runs_and_extensions(edge, spark, monkeypatch):
+    """What two steps read is a table; tables that no later step reads are gone when the result is read."""
+    tables = {}
+    monkeypatch.setattr(suffix, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    assert suffix.remove_repeats(edge).count() == len(ROWS)
+    assert set(tables) == {"runs", "anchors", "repeated-anchors", "texts", "extensions", "open-texts", "strings"}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    kept = {n for n, t in tables.items() if path(t.written_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(t.written_path))}
+    assert kept == {"texts", "open-texts", "strings"}
+
+
 # ---- 8
 
 def test_targets_and_taken(spark, edge, nothing):
