@@ -307,8 +307,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     mixed = found.where("mixed")
     token = F.xxhash64("doc_id", "number", "anchor", "content")
     contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(token).alias("first"))
-    state = F.when(F.col("n") == 1, SINGLE).when(F.col("first") == token, SHARED).otherwise(WHOLE)
-    judged = mixed.join(contents, ["anchor", "content"]).select("doc_id", "anchor", "number", state.alias("state"))
+    again = written(contents.where("n > 1").drop("n"), "contents")
+    state = F.when(F.col("first").isNull(), SINGLE).when(F.col("first") == token, SHARED).otherwise(WHOLE)
+    judged = mixed.join(again, ["anchor", "content"], "left").select("doc_id", "anchor", "number", state.alias("state"))
     judged = judged.unionByName(found.where("not mixed").select("doc_id", "anchor", "number", F.lit(WHOLE).alias("state")))
     listed = judged.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "number", "state")).alias("runs")).withColumnRenamed("doc_id", "_id")
 
@@ -316,7 +317,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     some = F.col("runs").isNotNull()
     texts = written(joined.select("doc_id", "runs", F.when(some, F.xxhash64("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"),
                                   F.when(~some, F.sha2("text", 256)).alias("sha"), F.when(some, F.col("text")).alias("text")), "texts")
-    discard(found)
+    discard(found, again)
     open_texts = texts.where(F.exists("runs", lambda r: r["state"].isin(SINGLE, SHARED)))
     shared = written(_extensions(open_texts), "extensions")
     agreed = shared.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -336,6 +337,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     twice = written(_windows(open_texts, True).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"), "strings")
     places = (_windows(open_texts, False).join(twice, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
               .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts"))
+    places = written(places, "places")  # before the texts are shuffled, so that the places of all strings aren't kept beside them
+    discard(open_texts, twice)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in pieces(batches, most=PIECE):

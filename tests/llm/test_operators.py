@@ -361,10 +361,10 @@ def test_texts_are_searched_once_for_runs_and_extensions(edge, spark, monkeypatc
     tables = {}
     monkeypatch.setattr(suffix, "written", lambda df, name: tables.setdefault(name, written(df, name)))
     assert suffix.remove_repeats(edge).count() == len(ROWS)
-    assert set(tables) == {"runs", "anchors", "repeated-anchors", "texts", "extensions", "open-texts", "strings"}
+    assert set(tables) == {"runs", "anchors", "repeated-anchors", "contents", "texts", "extensions", "open-texts", "strings", "places"}
     path = spark._jvm.org.apache.hadoop.fs.Path
     kept = {n for n, t in tables.items() if path(t.written_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(t.written_path))}
-    assert kept == {"texts", "open-texts", "strings"}
+    assert kept == {"texts", "places"}
 
 
 # ---- 8
