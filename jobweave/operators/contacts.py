@@ -118,7 +118,8 @@ def newest_before(asked: DataFrame, news: DataFrame, months: int = 6, k: int = f
     items that a running window has seen; k items that earlier months ended with are put before each month. So a company's
     rows are spread over its months, and work follows the rows, not what meets. Where times are timestamps, an item of
     the request's own day counts only if it came before the request, so days are merged up to the day before, and the items
-    of the day itself (the k first of each time) are looked up. Items are structs of all columns of `news` but the company.
+    of the day itself (the k first of each time) stand before its requests in the same order, so that requests are shuffled once.
+    Items are structs of all columns of `news` but the company.
     """
     timed = news.schema["published_at"].dataType.typeName() != "date"
     rest = [c for c in news.columns if c != "company"]
@@ -139,15 +140,18 @@ def newest_before(asked: DataFrame, news: DataFrame, months: int = 6, k: int = f
     rows = (asked.select("company", _month(day).alias("_month"), day.alias("_day"), F.lit(turn["request"]).alias("_turn"), request)
             .unionByName(recent.select("company", "_month", "_day", F.lit(turn["item"]).alias("_turn"), "_at", "_recent"), allowMissingColumns=True)
             .unionByName(ends.select("company", "_month", F.lit(turn["end"]).alias("_turn"), "_ends"), allowMissingColumns=True))
+    if timed:
+        today = items.groupBy("company", "_month", "_day").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+        rows = rows.unionByName(today.select("company", "_month", "_day", F.lit(turn["end"]).alias("_turn"), F.struct("_day", "_items").alias("_today")),
+                                allowMissingColumns=True)
     seen = Window.partitionBy("company", "_month").orderBy(F.asc_nulls_first("_day"), "_turn", "_at").rowsBetween(Window.unboundedPreceding, 0)
     none = F.array().cast(recent.schema["_recent"].dataType)
-    found = (rows.withColumn("_recent", F.last("_recent", ignorenulls=True).over(seen)).withColumn("_ends", F.last("_ends", ignorenulls=True).over(seen))
-             .filter("_request is not null").select("_request", "_day", F.concat(F.coalesce("_recent", none), F.coalesce("_ends", none)).alias("_found")))
+    last = {c: F.last(c, ignorenulls=True).over(seen) for c in ("_recent", "_ends", "_today") if c in rows.columns}
+    met = [F.coalesce("_recent", none), F.coalesce("_ends", none)]
     if timed:
-        today = items.groupBy("company", "_day").agg(F.sort_array(F.collect_list("_item")).alias("_today"))
-        came = F.filter("_today", lambda x: x["published_at"] <= F.col("_request.asked_at"))
-        found = (found.withColumn("company", F.col("_request.company")).join(today, ["company", "_day"], "left")
-                 .select("_request", "_day", F.concat(F.coalesce(came, none), "_found").alias("_found")))
+        same = F.when(F.col("_today._day") == F.col("_day"), F.col("_today._items"))
+        met.insert(0, F.coalesce(F.filter(same, lambda x: x["published_at"] <= F.col("_request.asked_at")), none))
+    found = rows.withColumns(last).filter("_request is not null").select("_request", "_day", F.concat(*met).alias("_found"))
     first = F.add_months("_day", -months)
     near = F.filter(F.slice("_found", 1, k), lambda x: F.to_date(x["published_at"]) > first)
     return found.select("_request.*", F.coalesce(near, none).alias("news"))

@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 from jobweave import fixed
 from jobweave.operators.contacts import _month, newest_before
 from jobweave.operators.ordered import top_k
-from jobweave.session import remove
+from jobweave.session import dropping_shuffles, remove
 from jobweave.streaming.results import _previous, start
 
 STATE = "asked timestamp, published timestamp"
@@ -61,8 +61,9 @@ def stream_news(requests: DataFrame, news: DataFrame, folder: str, months: int =
             met.append(newest_before(waiting, rows("news", own), months, k))
         for i, found in enumerate(met or [None]):
             if found is not None:
-                (found.select("request_id", "asked_at", "company", F.explode("news").alias("n")).select("request_id", "asked_at", "company", "n.*")
-                 .write.mode("append" if i else "overwrite").parquet(f"{folder}/pairs/batch={n}"))
+                pairs = found.select("request_id", "asked_at", "company", F.explode("news").alias("n")).select("request_id", "asked_at", "company", "n.*")
+                with dropping_shuffles(spark):
+                    pairs.write.mode("append" if i else "overwrite").parquet(f"{folder}/pairs/batch={n}")
         state = spark.range(1).select(*[
             F.greatest(F.lit(seen[c] if seen else None), F.lit(newest[kind].at if kind in newest else None)).cast("timestamp").alias(c)
             for c, kind in (("asked", "asked"), ("published", "news"))])

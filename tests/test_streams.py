@@ -171,3 +171,26 @@ def test_late_news_are_dropped_and_old_months_freed(spark, tmp_path):
     kept = spark.read.parquet(f"{run}/rows")
     assert kept.filter("news_id = 8").count() == 0
     assert kept.agg(F.min("at")).first()[0] > step[1]
+
+
+def test_requests_and_news_are_merged_without_a_join(spark):
+    """Items of a request's own day stand before it in the same order; those of no day and no company meet nothing."""
+    from jobweave.operators.contacts import newest_before
+    asked = spark.createDataFrame([(1, "a", "2024-03-05 12:00:00"), (2, "a", "2024-03-05 00:00:00"), (3, "a", "2024-03-06 00:00:00"), (4, "b", "2024-03-05 12:00:00"),
+                                   (5, None, "2024-03-05 12:00:00"), (6, "a", None)], "request_id int, company string, asked_at string")
+    news = spark.createDataFrame([(10, "a", "x", "2024-03-05 11:00:00"), (11, "a", "x", "2024-03-05 12:00:01"), (12, "a", "x", "2024-03-05 12:00:00"), (13, "a", "x", "2024-03-04 23:00:00"),
+                                  (14, "a", "x", "2024-01-31 00:00:00"), (15, None, "x", "2024-03-05 11:00:00"), (16, "b", "x", None)], "news_id int, company string, title string, published_at string")
+    found = newest_before(asked.withColumn("asked_at", F.col("asked_at").cast("timestamp")), news.withColumn("published_at", F.col("published_at").cast("timestamp")))
+    assert {r.request_id: [n.news_id for n in r.news] for r in found.collect()} == {1: [10, 12, 13], 2: [13, 14], 3: [10, 11, 12], 4: [], 5: [], 6: []}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_stream_are_not_kept_twice(spark, tmp_path):
+    import os
+    from urllib.parse import urlparse
+    from jobweave.checks.registry import in_parts
+    kept = urlparse(spark.sparkContext.getCheckpointDir()).path
+    before = {f for f in os.listdir(kept) if f.startswith("parts-")}
+    rows = in_parts(spark.range(100), str(tmp_path), "id", 2)
+    assert spark.read.schema(rows.schema).parquet(f"{tmp_path}/in").count() == 100
+    assert {f for f in os.listdir(kept) if f.startswith("parts-")} == before
